@@ -226,23 +226,27 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = blocks.withColumns({"rank": F.row_number().over(by_token), "next": F.lead("cid").over(by_token)}).where("rank > 1 or next is not null").drop("next")
     blocks = stored(blocks, "blocks")
 
+    sizes = stored(sets.where("cid is not null").groupBy("cid").agg(F.min("row_id").alias("least_id"), F.first("n").alias("n")), "classes")
+    shared = stored(blocks.groupBy("cid", "n").agg(F.collect_list("token").alias("rare")), "rare")  # a list is part of one text
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = stored(_near(pairs, shared, num, den), "pairs")
+        wanted = _filter(spark, near.select(F.explode(F.array("a", "b")).alias("cid")))
+        segments = text.mapInArrow(_segments(n, order, wanted), "cid long, fragment int, grams array<long>")
+        segments = stored(segments.groupBy("cid", "fragment").agg(F.first("grams").alias("grams")), "segments")  # copies in several tasks
+        return stored(_linked(near, segments, num, den), "links")
+
     # every class of a block meets the first few of it
     fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
     leaders = blocks.where(F.col("rank") <= LEADERS).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("rank").alias("lead_rank"))
     met = blocks.join(leaders, "token").where((F.col("rank") > F.col("lead_rank")) & fits)
-    pairs = met.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-    segments = text.mapInArrow(_segments(n, order, _filter(spark, blocks.select("cid").distinct())), "cid long, fragment int, grams array<long>")
-    segments = stored(segments.groupBy("cid", "fragment").agg(F.first("grams").alias("grams")), "segments")  # copies in several tasks
-    sizes = sets.where("cid is not null").groupBy("cid").agg(F.min("row_id").alias("least_id"), F.first("n").alias("n"))
-    sizes = stored(sizes, "classes")
-    links = stored(_linked(pairs, segments, sizes, num, den), "links")
+    links = linked(met.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct())
+    joined = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # what the leaders left apart though it shares a block
-    joined = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rest = _apart(blocks, joined, fits)
-    more = stored(_linked(rest, segments, sizes, num, den), "links")
-    if more.limit(1).count():
-        links = links.unionByName(more)
+    rest = stored(_near(_apart(blocks, joined, fits), shared, num, den), "pairs")
+    if rest.limit(1).count():
+        links = links.unionByName(linked(rest.select("a", "b")))
         joined = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = sizes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
@@ -251,15 +255,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return NgramJoin(documents, links)
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+def _near(pairs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that can still reach the threshold by what they share in the rare end of the order.
+
+    Of two prefixes, the one that ends first in the order has all it shares with the other set in
+    the other prefix; so the overlap is at most the prefixes' common n-grams and that set's rest.
+    """
+    left, right = (shared.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("rare").alias(f"rare_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("rare_a", "rare_b")).alias("common"))
+    rest = lambda x: f"(({num} * {x} + {den - 1}) div {den} - 1)"
+    return both.where(F.expr(f"({num} + {den}) * (common + greatest({rest('n_a')}, {rest('n_b')})) >= {num} * (n_a + n_b)")).select("a", "b", "n_a", "n_b")
+
+
+def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, counted by fragment and summed, reach the threshold."""
     left = segments.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = segments.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
-    whole = partial.groupBy("a", "b").agg(F.sum("common").alias("overlap"))
-    n_a = sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"))
-    n_b = sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"))
-    return whole.join(n_a, "a").join(n_b, "b").where(F.expr(f"{den} * overlap >= {num} * (n_a + n_b - overlap)"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+    whole = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("overlap"))
+    return whole.where(F.expr(f"{den} * overlap >= {num} * (n_a + n_b - overlap)"))
 
 
 def _apart(blocks: DataFrame, joined: DataFrame, fits) -> DataFrame:
