@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op3_ngram_join
+from .packing import op4_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_join": op3_ngram_join}
+    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing}
 
 
 def oracle_sql() -> dict[str, str]:
