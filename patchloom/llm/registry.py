@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op5_mixing
 from .ngram_join import op3_ngram_join
 from .packing import op4_packing
+from .secrets import op7_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing}
+    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op7_secrets": op7_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
