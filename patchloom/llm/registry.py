@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op2_lz_fingerprint
 from .mixing import op5_mixing
 from .ngram_join import op3_ngram_join
 from .packing import op4_packing
 from .secrets import op7_secrets
+from .topk import OP8_SQL, op8_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op7_secrets": op7_secrets}
+    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op7_secrets": op7_secrets, "op2_lz_fingerprint": op2_lz_fingerprint, "op8_topk": op8_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": OP8_SQL}
