@@ -28,7 +28,7 @@ from .graph import components
 SKETCH_BITS, SKETCH_PARTS = 18, 16
 #: Bits of the filter of classes that have a candidate (a fixed 2 MB), and its pieces.
 FILTER_BITS, FILTER_PARTS = 24, 64
-LEADERS = 4
+LEADERS = 2
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -200,7 +200,7 @@ class NgramJoin:
     links: DataFrame
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, fragments: int = 8) -> NgramJoin:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, fragments: int = 4) -> NgramJoin:
     """Links documents whose n-gram sets have a Jaccard similarity of num/den or more.
 
     Words are runs of other bytes than space and U+0009..U+000D, with A-Z lower-cased. A text with
@@ -233,8 +233,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         near = stored(_near(pairs, shared, num, den), "pairs")
         wanted = _filter(spark, near.select(F.explode(F.array("a", "b")).alias("cid")))
         segments = text.mapInArrow(_segments(n, order, wanted), "cid long, fragment int, grams array<long>")
-        segments = stored(segments.groupBy("cid", "fragment").agg(F.first("grams").alias("grams")), "segments")  # copies in several tasks
-        return stored(_linked(near, segments, num, den), "links")
+        segments = segments.groupBy("cid", "fragment").agg(F.first("grams").alias("grams"))  # copies in several tasks
+        return stored(_linked(near, segments, len(order.value.pivots) + 1, num, den), "links")
 
     # every class of a block meets the first few of it
     fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
@@ -267,11 +267,15 @@ def _near(pairs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(F.expr(f"({num} + {den}) * (common + greatest({rest('n_a')}, {rest('n_b')})) >= {num} * (n_a + n_b)")).select("a", "b", "n_a", "n_b")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose overlaps, counted by fragment and summed, reach the threshold."""
+def _linked(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose overlaps, counted by fragment and summed, reach the threshold.
+
+    Both joins take the segments as their aggregation has dealt them out, so they move once.
+    """
+    pairs = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(fragments)])))
     left = segments.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = segments.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+    partial = pairs.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
     whole = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("overlap"))
     return whole.where(F.expr(f"{den} * overlap >= {num} * (n_a + n_b - overlap)"))
 
@@ -284,18 +288,18 @@ def _apart(blocks: DataFrame, joined: DataFrame, fits) -> DataFrame:
     """
     label = joined.withColumnRenamed("node", "cid")
     known = stored(blocks.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("token", "cid", "n", "rank", "comp"), "blocks")
-    mixed = known.groupBy("token", "comp").agg(F.count("*").alias("here"), F.min("rank").alias("least_rank"))
+    mixed = known.groupBy("token", "comp").agg(F.count("*").alias("here"))
     several = mixed.groupBy("token").agg(F.count("*").alias("comps"), F.sum("here").alias("all")).where(f"comps > 1 and all > {LEADERS}").select("token")
     members = known.select("cid", "n", "comp").distinct()
     weight = members.groupBy("comp").agg(F.count("*").alias("members"))
     held = stored(known.join(several, "token").join(weight, "comp"), "blocks")
     others = held.groupBy("token", "comp", "members").agg(F.count("*").alias("here")).select("token", F.col("comp").alias("other"), F.col("members").alias("other_members"), "here")
-    meets = held.join(others, "token").where("comp <> other and struct(members, comp) < struct(other_members, other)")
-    meets = stored(meets.groupBy("cid", "n", "other", "other_members").agg(F.sum("here").alias("rows")), "meets")
+    meets = stored(held.join(others, "token").where("comp <> other and struct(members, comp) < struct(other_members, other)").select("token", "cid", "n", "other", "other_members", "here"), "meets")
+    each = Window.partitionBy("cid", "other")
+    weighed = meets.withColumn("rows", F.sum("here").over(each))
     target = lambda df: df.select(F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), *(["token"] if "token" in df.columns else []))
-    few = meets.where("rows <= other_members").select("cid", "n", "other")
-    by_block = held.select("token", "cid").join(few, "cid").join(target(held), ["token", "other"])
-    by_member = meets.where("rows > other_members").select("cid", "n", "other").join(target(members), "other")
+    by_block = weighed.where("rows <= other_members").join(target(held), ["token", "other"])
+    by_member = weighed.where("rows > other_members").select("cid", "n", "other").distinct().join(target(members), "other")
     both = by_block.select("cid", "n", "lead", "m").unionByName(by_member.select("cid", "n", "lead", "m")).where(fits)
     return both.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
 
