@@ -14,11 +14,12 @@ from .packing import op4_packing
 from .quality import op1_quality
 from .secrets import op7_secrets
 from .topk import OP8_SQL, op8_topk
+from .toxicity import op6_toxicity
 from .urls import op9_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op7_secrets": op7_secrets, "op2_lz_fingerprint": op2_lz_fingerprint, "op8_topk": op8_topk, "op9_url_rules": op9_url_rules, "op10_language": op10_language, "op1_quality": op1_quality}
+    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op7_secrets": op7_secrets, "op2_lz_fingerprint": op2_lz_fingerprint, "op8_topk": op8_topk, "op9_url_rules": op9_url_rules, "op10_language": op10_language, "op1_quality": op1_quality, "op6_toxicity": op6_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
