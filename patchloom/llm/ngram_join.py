@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from .common import Rolling, mix, rows, stored, table, text_chunks
 from .graph import components
 
-#: Counters of the frequency sketch (a fixed 2 MB), and the pieces it travels in.
-SKETCH_BITS, SKETCH_PARTS = 18, 16
+#: Counters of the frequency sketch (a fixed 8 MB), and the pieces it travels in.
+SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Bits of the filter of classes that have a candidate (a fixed 2 MB), and its pieces.
 FILTER_BITS, FILTER_PARTS = 24, 64
-LEADERS = 2
+#: Leaders of a block; of those it met, the ones that a class is first held against, by what they share.
+LEADERS, FIRST = 4, 3
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,13 +99,22 @@ def _sketching(n: int):
                 yield rows(schema, ids[lo:hi], [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets], none, none)
         if sketch.any():
             none = [None] * SKETCH_PARTS
-            yield rows(schema, none, none, none, range(SKETCH_PARTS), [x.tobytes() for x in np.split(sketch, SKETCH_PARTS)])
+            yield rows(schema, none, none, none, range(SKETCH_PARTS), [_packed(x) for x in np.split(sketch, SKETCH_PARTS)])
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(next(t for t in (np.int16, np.int32, np.int64) if counts.max() <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = (1 << SKETCH_BITS) // SKETCH_PARTS
+    return np.frombuffer(data, f"i{len(data) // n}").astype(np.int64)
+
+
 def _summed(groups):
-    return groups.applyInArrow(lambda t: pa.table({"part": t.column("part")[:1], "counts": pa.array([sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts")).tobytes()], pa.binary())}), "part int, counts binary")
+    return groups.applyInArrow(lambda t: pa.table({"part": t.column("part")[:1], "counts": pa.array([_packed(sum(_unpacked(x.as_py()) for x in t.column("counts")))], pa.binary())}), "part int, counts binary")
 
 
 @dataclass
@@ -215,7 +225,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     pieces = first.where("part is not null").select("part", F.spark_partition_id().alias("task"), "counts")
     for r in _summed(_summed(pieces.groupBy("part", F.col("task") % 64)).groupBy("part")).collect():
-        sketch[r.part] = np.frombuffer(r.counts, np.int64)
+        sketch[r.part] = _unpacked(r.counts)
     order = spark.sparkContext.broadcast(Order.of(sketch.ravel(), fragments))
     sets = first.where("part is null").select("row_id", "n", "cid")
 
@@ -227,27 +237,37 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = stored(blocks, "blocks")
 
     sizes = stored(sets.where("cid is not null").groupBy("cid").agg(F.min("row_id").alias("least_id"), F.first("n").alias("n")), "classes")
-    shared = stored(blocks.groupBy("cid", "n").agg(F.collect_list("token").alias("rare")), "rare")  # a list is part of one text
+    shared = stored(blocks.groupBy("cid").agg(F.collect_list("token").alias("rare")), "rare")  # a list is part of one text
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = stored(_near(pairs, shared, num, den), "pairs")
-        wanted = _filter(spark, near.select(F.explode(F.array("a", "b")).alias("cid")))
+        pairs = stored(pairs.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"), F.when(F.col("cid") < F.col("lead"), F.col("n")).otherwise(F.col("m")).alias("n_a"), F.when(F.col("cid") < F.col("lead"), F.col("m")).otherwise(F.col("n")).alias("n_b")).distinct(), "pairs")
+        wanted = _filter(spark, pairs.select(F.explode(F.array("a", "b")).alias("cid")))
         segments = text.mapInArrow(_segments(n, order, wanted), "cid long, fragment int, grams array<long>")
         segments = segments.groupBy("cid", "fragment").agg(F.first("grams").alias("grams"))  # copies in several tasks
-        return stored(_linked(near, segments, len(order.value.pivots) + 1, num, den), "links")
+        return stored(_linked(pairs, segments, len(order.value.pivots) + 1, num, den), "links")
+
+    def joined_by(links: DataFrame) -> DataFrame:
+        return components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    # every class of a block meets the first few of it
+    # every class of a block meets the first few of it, and is held against those it shares most with
     fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("common"), "lead"))
     leaders = blocks.where(F.col("rank") <= LEADERS).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("rank").alias("lead_rank"))
-    met = blocks.join(leaders, "token").where((F.col("rank") > F.col("lead_rank")) & fits)
-    links = linked(met.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct())
-    joined = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    met = blocks.join(leaders, "token").where((F.col("rank") > F.col("lead_rank")) & fits).select("cid", "n", "lead", "m").distinct()
+    links = linked(_near(met, shared, num, den).withColumn("place", best("cid")).where(F.col("place") <= FIRST))
+    joined = joined_by(links)
 
-    # what the leaders left apart though it shares a block
-    rest = stored(_near(_apart(blocks, joined, fits), shared, num, den), "pairs")
+    # what is apart by then though it shares a block: first the likeliest pairs of a class and a component, then all that still matter
+    rest = stored(_near(_apart(blocks, joined, fits), shared, num, den).withColumn("place", best("cid", "other")), "rest")
     if rest.limit(1).count():
-        links = links.unionByName(linked(rest.select("a", "b")))
-        joined = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        links = links.unionByName(linked(rest.where(F.col("place") <= FIRST)))
+        joined = joined_by(links)
+        label = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        still = rest.where(F.col("place") > FIRST).join(label("cid"), "cid", "left").join(label("lead"), "lead", "left")
+        still = stored(still.where("coalesce(cid_comp, cid) <> coalesce(lead_comp, lead)").select("cid", "n", "lead", "m"), "still")
+        if still.limit(1).count():
+            links = links.unionByName(linked(still))
+            joined = joined_by(links)
     classes = sizes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = classes.join(ids, "comp").select("cid", "least_id", "component_id")
@@ -256,15 +276,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _near(pairs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that can still reach the threshold by what they share in the rare end of the order.
+    """The pairs (cid, n, lead, m, ...) that can still reach the threshold by the rare n-grams they have in common.
 
     Of two prefixes, the one that ends first in the order has all it shares with the other set in
     the other prefix; so the overlap is at most the prefixes' common n-grams and that set's rest.
     """
-    left, right = (shared.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("rare").alias(f"rare_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("rare_a", "rare_b")).alias("common"))
+    left, right = shared.select("cid", F.col("rare").alias("own")), shared.select(F.col("cid").alias("lead"), "rare")
+    both = pairs.join(left, "cid").join(right, "lead").withColumn("common", F.size(F.array_intersect("own", "rare"))).drop("own", "rare")
     rest = lambda x: f"(({num} * {x} + {den - 1}) div {den} - 1)"
-    return both.where(F.expr(f"({num} + {den}) * (common + greatest({rest('n_a')}, {rest('n_b')})) >= {num} * (n_a + n_b)")).select("a", "b", "n_a", "n_b")
+    return both.where(F.expr(f"({num} + {den}) * (common + greatest({rest('n')}, {rest('m')})) >= {num} * (n + m)"))
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
@@ -281,7 +301,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den
 
 
 def _apart(blocks: DataFrame, joined: DataFrame, fits) -> DataFrame:
-    """The pairs (a, b) of classes that share a block but are not connected yet, each in at least one direction.
+    """(cid, n, lead, m, other): pairs of classes that share a block but are not connected; other is lead's component.
 
     A class of the smaller component meets the other component's members either in the blocks they
     share or, if those hold more rows than the component has members, in the whole component.
@@ -300,8 +320,7 @@ def _apart(blocks: DataFrame, joined: DataFrame, fits) -> DataFrame:
     target = lambda df: df.select(F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), *(["token"] if "token" in df.columns else []))
     by_block = weighed.where("rows <= other_members").join(target(held), ["token", "other"])
     by_member = weighed.where("rows > other_members").select("cid", "n", "other").distinct().join(target(members), "other")
-    both = by_block.select("cid", "n", "lead", "m").unionByName(by_member.select("cid", "n", "lead", "m")).where(fits)
-    return both.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+    return by_block.select("cid", "n", "lead", "m", "other").unionByName(by_member.select("cid", "n", "lead", "m", "other")).where(fits).distinct()
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
