@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .fingerprint import op2_lz_fingerprint
 from .language import op10_language
 from .mixing import op5_mixing
@@ -19,7 +21,19 @@ from .urls import op9_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_join": op3_ngram_join, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op7_secrets": op7_secrets, "op2_lz_fingerprint": op2_lz_fingerprint, "op8_topk": op8_topk, "op9_url_rules": op9_url_rules, "op10_language": op10_language, "op1_quality": op1_quality, "op6_toxicity": op6_toxicity}
+    return {
+        "op1_quality": op1_quality,
+        "op2_lz_fingerprint": op2_lz_fingerprint,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_packing": op4_packing,
+        "op5_mixing": op5_mixing,
+        "op6_toxicity": op6_toxicity,
+        "op7_secrets": op7_secrets,
+        "op8_topk": op8_topk,
+        "op9_url_rules": op9_url_rules,
+        "op10_language": op10_language,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
