@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, rows, table
 
 SIGNATURE = 128
+#: Ranges of ids that documents are dealt out in; beyond, a range takes more documents (it is streamed, not held).
+MAX_RANGES = 1 << 16
 
 
 def parse(text: str, at: int = 0, phrases: set[str] | None = None, cuts: list[int] | None = None, start: int = 0) -> tuple[set[str], list[int], int]:
@@ -96,28 +98,32 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, per_range: int) -> Da
     """Deals the documents out in ranges of ids, each with a guest row: the first document of the next range.
 
     One shuffle of the texts; the order is by id, then text, nulls first. Only ids are looked at
-    before, for the ranges' bounds and first rows. Returns (range, guest, id, text).
+    before, for the ranges' bounds and first ids. Returns (range, guest, id, text).
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    n = ids.count()
-    ranges = max(1, -(-n // per_range))
+    ranges = max(1, min(MAX_RANGES, -(-ids.count() // per_range)))
     bounds = sorted({int(x) for x in ids.where("id is not null").approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
-    sorted_bounds = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # 8 bytes a range
+    held = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # at most MAX_RANGES numbers
+    least = -(1 << 63)  # stands for null
 
     @F.pandas_udf("int")
     def range_of(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(sorted_bounds.value, i.to_numpy(np.int64), "right").astype(np.int32))
-
-    pick = lambda c: range_of(F.coalesce(F.col(c), F.lit(-(1 << 63))))
-    first = [(r["range"], r["id"]) for r in ids.groupBy(pick("id").alias("range")).agg(F.min(F.struct(F.col("id").isNotNull(), "id")).getField("id").alias("id")).collect()]  # one row a range
-    first.sort()
-    guest_of = {first[(k + 1) % len(first)]: first[k][0] for k in range(len(first))} if first else {}
-    heads = spark.createDataFrame([(at, i, to) for (at, i), to in guest_of.items()], "range int, head long, guest_of int")
-    dealt = source.withColumn("range", pick("id"))
-    guests = dealt.join(heads, (dealt["range"] == heads["range"]) & dealt["id"].eqNullSafe(heads["head"])).select(heads["guest_of"].alias("range"), F.lit(1).alias("guest"), "id", "text")
-    return dealt.select("range", F.lit(0).alias("guest"), "id", "text").unionByName(guests)
+        return pd.Series(np.searchsorted(held.value, i.to_numpy(np.int64), "right").astype(np.int32))
+
+    known = ids.select(F.coalesce("id", F.lit(least)).alias("id")).withColumn("range", range_of("id"))
+    first = sorted((r["range"], r["id"]) for r in known.groupBy("range").agg(F.min("id").alias("id")).collect())  # a row for each range
+    heads = spark.sparkContext.broadcast({first[(k + 1) % len(first)][1]: first[k][0] for k in range(len(first))} if first else {})
+
+    @F.pandas_udf("array<int>")
+    def places(i: pd.Series) -> pd.Series:
+        """Twice the id's range and, for the first id of a range, twice the range before, plus 1."""
+        own = np.searchsorted(held.value, i.to_numpy(np.int64), "right")
+        return pd.Series([[2 * r] if (g := heads.value.get(x)) is None else [2 * r, 2 * g + 1] for x, r in zip(i.tolist(), own.tolist(), strict=True)])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    dealt = source.withColumn("place", F.explode(places(F.coalesce("id", F.lit(least)))))
+    return dealt.select(F.expr("place div 2").cast("int").alias("range"), F.expr("place % 2").alias("guest"), "id", "text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIGNATURE, per_range: int = 512) -> DataFrame:
