@@ -254,20 +254,24 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("common"), "lead"))
     leaders = blocks.where(F.col("rank") <= LEADERS).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("rank").alias("lead_rank"))
     met = blocks.join(leaders, "token").where((F.col("rank") > F.col("lead_rank")) & fits).select("cid", "n", "lead", "m").distinct()
-    links = linked(_near(met, shared, num, den).withColumn("place", best("cid")).where(F.col("place") <= FIRST))
+    met = stored(_near(met, shared, num, den).withColumn("place", best("cid")), "met")
+    links = linked(met.where(F.col("place") <= FIRST))
     joined = joined_by(links)
 
-    # what is apart by then though it shares a block: first the likeliest pairs of a class and a component, then all that still matter
-    rest = stored(_near(_apart(blocks, joined, fits), shared, num, den).withColumn("place", best("cid", "other")), "rest")
+    # classes that are apart though they share a block: each against the likeliest delegates of the other component
+    held = _mixed(blocks, joined)
+    likely = _near(_delegates(held, fits), shared, num, den).withColumn("place", best("cid", "other")).where(F.col("place") <= FIRST)
+    links = links.unionByName(linked(likely))
+    joined = joined_by(links)
+
+    # and then every pair that is still apart
+    rest = _near(_apart(_mixed(blocks, joined), fits, num, den), shared, num, den).select("cid", "n", "lead", "m")
+    label = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    rest = rest.unionByName(met.where(F.col("place") > FIRST).select("cid", "n", "lead", "m")).join(label("cid"), "cid", "left").join(label("lead"), "lead", "left")
+    rest = stored(rest.where("coalesce(cid_comp, cid) <> coalesce(lead_comp, lead)").select("cid", "n", "lead", "m"), "rest")
     if rest.limit(1).count():
-        links = links.unionByName(linked(rest.where(F.col("place") <= FIRST)))
+        links = links.unionByName(linked(rest))
         joined = joined_by(links)
-        label = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-        still = rest.where(F.col("place") > FIRST).join(label("cid"), "cid", "left").join(label("lead"), "lead", "left")
-        still = stored(still.where("coalesce(cid_comp, cid) <> coalesce(lead_comp, lead)").select("cid", "n", "lead", "m"), "still")
-        if still.limit(1).count():
-            links = links.unionByName(linked(still))
-            joined = joined_by(links)
     classes = sizes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = classes.join(ids, "comp").select("cid", "least_id", "component_id")
@@ -300,27 +304,39 @@ def _linked(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den
     return whole.where(F.expr(f"{den} * overlap >= {num} * (n_a + n_b - overlap)"))
 
 
-def _apart(blocks: DataFrame, joined: DataFrame, fits) -> DataFrame:
-    """(cid, n, lead, m, other): pairs of classes that share a block but are not connected; other is lead's component.
+def _mixed(blocks: DataFrame, joined: DataFrame) -> DataFrame:
+    """(token, cid, n, comp, members): the blocks that hold several components and are too large to have met in whole."""
+    label = joined.withColumnRenamed("node", "cid")
+    known = stored(blocks.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("token", "cid", "n", "comp"), "blocks")
+    mixed = known.groupBy("token", "comp").agg(F.count("*").alias("here"))
+    several = mixed.groupBy("token").agg(F.count("*").alias("comps"), F.sum("here").alias("all")).where(f"comps > 1 and all > {LEADERS + 1}").select("token")
+    weight = known.select("cid", "comp").distinct().groupBy("comp").agg(F.count("*").alias("members"))
+    return stored(known.join(several, "token").join(weight, "comp"), "blocks")
+
+
+def _delegates(held: DataFrame, fits) -> DataFrame:
+    """(cid, n, lead, m, other): every class with a few members of each other component of its blocks, chosen anew for each block."""
+    chosen = F.row_number().over(Window.partitionBy("token", "comp").orderBy(F.xxhash64("token", "cid"), "cid"))
+    few = held.withColumn("_k", chosen).where(F.col("_k") <= 2).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("members").alias("other_members"))
+    return held.join(few, "token").where(F.expr("comp <> other and struct(members, comp) < struct(other_members, other)") & fits).select("cid", "n", "lead", "m", "other").distinct()
+
+
+def _apart(held: DataFrame, fits, num: int, den: int) -> DataFrame:
+    """(cid, n, lead, m): all pairs of classes that share a block but are not connected.
 
     A class of the smaller component meets the other component's members either in the blocks they
     share or, if those hold more rows than the component has members, in the whole component.
     """
-    label = joined.withColumnRenamed("node", "cid")
-    known = stored(blocks.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("token", "cid", "n", "rank", "comp"), "blocks")
-    mixed = known.groupBy("token", "comp").agg(F.count("*").alias("here"))
-    several = mixed.groupBy("token").agg(F.count("*").alias("comps"), F.sum("here").alias("all")).where(f"comps > 1 and all > {LEADERS}").select("token")
-    members = known.select("cid", "n", "comp").distinct()
-    weight = members.groupBy("comp").agg(F.count("*").alias("members"))
-    held = stored(known.join(several, "token").join(weight, "comp"), "blocks")
-    others = held.groupBy("token", "comp", "members").agg(F.count("*").alias("here")).select("token", F.col("comp").alias("other"), F.col("members").alias("other_members"), "here")
-    meets = stored(held.join(others, "token").where("comp <> other and struct(members, comp) < struct(other_members, other)").select("token", "cid", "n", "other", "other_members", "here"), "meets")
-    each = Window.partitionBy("cid", "other")
-    weighed = meets.withColumn("rows", F.sum("here").over(each))
+    members = held.select("cid", "n", "comp").distinct()
+    others = held.groupBy("token", "comp", "members").agg(F.count("*").alias("here"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    others = others.select("token", F.col("comp").alias("other"), F.col("members").alias("other_members"), "here", "least_n", "most_n")
+    sized = f"{den} * most_n >= {num} * n and {den} * n >= {num} * least_n"  # some member there has a size that fits
+    meets = stored(held.join(others, "token").where(f"comp <> other and struct(members, comp) < struct(other_members, other) and {sized}").select("token", "cid", "n", "other", "other_members", "here"), "meets")
+    weighed = meets.withColumn("rows", F.sum("here").over(Window.partitionBy("cid", "other")))
     target = lambda df: df.select(F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), *(["token"] if "token" in df.columns else []))
-    by_block = weighed.where("rows <= other_members").join(target(held), ["token", "other"])
-    by_member = weighed.where("rows > other_members").select("cid", "n", "other").distinct().join(target(members), "other")
-    return by_block.select("cid", "n", "lead", "m", "other").unionByName(by_member.select("cid", "n", "lead", "m", "other")).where(fits).distinct()
+    by_block = weighed.where("rows <= other_members").join(target(held), ["token", "other"]).where(fits)
+    by_member = weighed.where("rows > other_members").select("cid", "n", "other").distinct().join(target(members), "other").where(fits)
+    return by_block.select("cid", "n", "lead", "m").unionByName(by_member.select("cid", "n", "lead", "m")).distinct()
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
