@@ -26,7 +26,7 @@ def weighted_estimates() -> tuple[Column, Column, Column]:
     n, sw = F.col("_n"), F.col("_sw")
     mean = F.try_divide(F.col("_swx"), sw)
     ratio = F.try_divide(n, (n - 1) * sw * sw) * (F.col("_swwxx") - 2 * mean * F.col("_swwx") + mean * mean * F.col("_sww"))
-    variance = F.when(F.col("_wide") == 0, mean * (1 - mean) * F.try_divide(F.col("_sww"), sw * sw)).otherwise(F.greatest(ratio, F.lit(0.0)))
+    variance = F.when(F.col("_wide") == 0, mean * (1 - mean) * F.try_divide(F.col("_sww"), sw * sw)).otherwise(F.when(ratio.isNotNull(), F.greatest(ratio, F.lit(0.0))))
     return mean, F.try_divide(F.col("_s2x"), F.col("_s2")), variance
 
 
