@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step takes; a longer document is a step of its own.
-CHUNK_BYTES = 1 << 21
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from patchloom.sources.scratch import stored
+from patchloom.sources.tables import table
 
+__all__ = ["Rolling", "fold", "mix", "rows", "stored", "table", "text_chunks"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-patchloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/patchloom-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+#: Bytes of text that one numpy step takes; a longer document is a step of its own.
+CHUNK_BYTES = 1 << 21
 
 
 def fold(id_col: str, parts: int) -> Column:
