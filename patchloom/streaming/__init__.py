@@ -1,0 +1 @@
+"""The surveyed operators have no streams; the estimators' partial sums (functions.stats) combine, should one be needed."""
