@@ -30,6 +30,8 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 FILTER_BITS, FILTER_PARTS = 24, 64
 #: Leaders of a block; of those it met, the ones that a class is first held against, by what they share.
 LEADERS, FIRST = 4, 3
+#: Members of a component that stand for it in a block, and how many of those a class is held against.
+DELEGATES, TRIES = 8, 12
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -139,13 +141,13 @@ class Order:
 
 
 def _prefixes(n: int, num: int, den: int, order):
-    schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, seen = Rolling(), set()
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch, 0):
-                tokens, cids, sizes = [], [], []
+                tokens, cids, sizes, places = [], [], [], []
                 for s in shingle_sets(data, offsets, rolling, n):
                     if not len(s) or (key := set_key(s)) in seen:
                         continue
@@ -154,8 +156,9 @@ def _prefixes(n: int, num: int, den: int, order):
                     tokens.append(own)
                     cids.append(np.full(len(own), key))
                     sizes.append(np.full(len(own), len(s), np.int32))
+                    places.append(np.arange(len(own), dtype=np.int32))
                 if tokens:
-                    yield rows(schema, np.concatenate(tokens).view(np.int64), np.concatenate(cids), np.concatenate(sizes))
+                    yield rows(schema, np.concatenate(tokens).view(np.int64), np.concatenate(cids), np.concatenate(sizes), np.concatenate(places))
 
     return run
 
@@ -210,7 +213,7 @@ class NgramJoin:
     links: DataFrame
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, fragments: int = 4) -> NgramJoin:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, fragments: int = 3) -> NgramJoin:
     """Links documents whose n-gram sets have a Jaccard similarity of num/den or more.
 
     Words are runs of other bytes than space and U+0009..U+000D, with A-Z lower-cased. A text with
@@ -231,7 +234,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     text = source.select("text")
     by_token = Window.partitionBy("token").orderBy("cid")
-    blocks = text.mapInArrow(_prefixes(n, num, den, order), "token long, cid long, n int")
+    blocks = text.mapInArrow(_prefixes(n, num, den, order), "token long, cid long, n int, pos int")
     blocks = blocks.withColumn("before", F.lag("cid").over(by_token)).where("before is null or before <> cid").drop("before")
     blocks = blocks.withColumns({"rank": F.row_number().over(by_token), "next": F.lead("cid").over(by_token)}).where("rank > 1 or next is not null").drop("next")
     blocks = stored(blocks, "blocks")
@@ -250,9 +253,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # every class of a block meets the first few of it, and is held against those it shares most with
-    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
+    # sizes that can link, and at the first n-gram that two sets share, enough of both to come
+    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m) and {num + den} * least(n - pos, m - lead_pos) >= {num} * (n + m)")
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("common"), "lead"))
-    leaders = blocks.where(F.col("rank") <= LEADERS).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("rank").alias("lead_rank"))
+    leaders = blocks.where(F.col("rank") <= LEADERS).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("lead_pos"), F.col("rank").alias("lead_rank"))
     met = blocks.join(leaders, "token").where((F.col("rank") > F.col("lead_rank")) & fits).select("cid", "n", "lead", "m").distinct()
     met = stored(_near(met, shared, num, den).withColumn("place", best("cid")), "met")
     links = linked(met.where(F.col("place") <= FIRST))
@@ -260,7 +264,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # classes that are apart though they share a block: each against the likeliest delegates of the other component
     held = _mixed(blocks, joined)
-    likely = _near(_delegates(held, fits), shared, num, den).withColumn("place", best("cid", "other")).where(F.col("place") <= FIRST)
+    likely = _near(_delegates(held, fits), shared, num, den).withColumn("place", best("cid", "other")).where(F.col("place") <= TRIES)
     links = links.unionByName(linked(likely))
     joined = joined_by(links)
 
@@ -305,9 +309,9 @@ def _linked(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den
 
 
 def _mixed(blocks: DataFrame, joined: DataFrame) -> DataFrame:
-    """(token, cid, n, comp, members): the blocks that hold several components and are too large to have met in whole."""
+    """(token, cid, n, pos, comp, members): the blocks that hold several components and are too large to have met in whole."""
     label = joined.withColumnRenamed("node", "cid")
-    known = stored(blocks.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("token", "cid", "n", "comp"), "blocks")
+    known = stored(blocks.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("token", "cid", "n", "pos", "comp"), "blocks")
     mixed = known.groupBy("token", "comp").agg(F.count("*").alias("here"))
     several = mixed.groupBy("token").agg(F.count("*").alias("comps"), F.sum("here").alias("all")).where(f"comps > 1 and all > {LEADERS + 1}").select("token")
     weight = known.select("cid", "comp").distinct().groupBy("comp").agg(F.count("*").alias("members"))
@@ -317,7 +321,7 @@ def _mixed(blocks: DataFrame, joined: DataFrame) -> DataFrame:
 def _delegates(held: DataFrame, fits) -> DataFrame:
     """(cid, n, lead, m, other): every class with a few members of each other component of its blocks, chosen anew for each block."""
     chosen = F.row_number().over(Window.partitionBy("token", "comp").orderBy(F.xxhash64("token", "cid"), "cid"))
-    few = held.withColumn("_k", chosen).where(F.col("_k") <= 2).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("members").alias("other_members"))
+    few = held.withColumn("_k", chosen).where(F.col("_k") <= DELEGATES).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("lead_pos"), F.col("comp").alias("other"), F.col("members").alias("other_members"))
     return held.join(few, "token").where(F.expr("comp <> other and struct(members, comp) < struct(other_members, other)") & fits).select("cid", "n", "lead", "m", "other").distinct()
 
 
@@ -328,14 +332,14 @@ def _apart(held: DataFrame, fits, num: int, den: int) -> DataFrame:
     share or, if those hold more rows than the component has members, in the whole component.
     """
     members = held.select("cid", "n", "comp").distinct()
-    others = held.groupBy("token", "comp", "members").agg(F.count("*").alias("here"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    others = others.select("token", F.col("comp").alias("other"), F.col("members").alias("other_members"), "here", "least_n", "most_n")
-    sized = f"{den} * most_n >= {num} * n and {den} * n >= {num} * least_n"  # some member there has a size that fits
-    meets = stored(held.join(others, "token").where(f"comp <> other and struct(members, comp) < struct(other_members, other) and {sized}").select("token", "cid", "n", "other", "other_members", "here"), "meets")
+    others = held.groupBy("token", "comp", "members").agg(F.count("*").alias("here"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("most_left"))
+    others = others.select("token", F.col("comp").alias("other"), F.col("members").alias("other_members"), "here", "least_n", "most_n", "most_left")
+    sized = f"{den} * most_n >= {num} * n and {den} * n >= {num} * least_n and {num + den} * least(n - pos, most_left) >= {num} * (n + least_n)"  # some member there may fit
+    meets = stored(held.join(others, "token").where(f"comp <> other and struct(members, comp) < struct(other_members, other) and {sized}").select("token", "cid", "n", "pos", "other", "other_members", "here"), "meets")
     weighed = meets.withColumn("rows", F.sum("here").over(Window.partitionBy("cid", "other")))
-    target = lambda df: df.select(F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), *(["token"] if "token" in df.columns else []))
+    target = lambda df: df.select(F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), *(["token", F.col("pos").alias("lead_pos")] if "token" in df.columns else []))
     by_block = weighed.where("rows <= other_members").join(target(held), ["token", "other"]).where(fits)
-    by_member = weighed.where("rows > other_members").select("cid", "n", "other").distinct().join(target(members), "other").where(fits)
+    by_member = weighed.where("rows > other_members").select("cid", "n", "other").distinct().join(target(members), "other").where(f"{den} * least(n, m) >= {num} * greatest(n, m)")
     return by_block.select("cid", "n", "lead", "m").unionByName(by_member.select("cid", "n", "lead", "m")).distinct()
 
 
