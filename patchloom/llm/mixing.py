@@ -120,10 +120,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counts = chunks.mapInArrow(lambda b: points(b, bounds, slots, True), "chunk long, source_no int, held long")
         counts = counts.select("chunk", "source_no", F.coalesce(F.sum("held").over(earlier("chunk").partitionBy("source_no")), F.lit(0)).alias("before"))
         drawn = chunks.mapInArrow(lambda b: points(b, bounds, slots, False), "chunk long, source_no int, slot long, rank long")
-        drawn = drawn.join(counts, ["chunk", "source_no"]).select("source_no", "slot", (F.col("before") + F.col("rank")).alias("block"))
+        # merge: Spark takes these tables for small, but they grow with the words
+        drawn = drawn.hint("merge").join(counts, ["chunk", "source_no"]).select("source_no", "slot", (F.col("before") + F.col("rank")).alias("block"))
     else:
         drawn = spark.createDataFrame([], "source_no int, slot long, block long")
-    schedule = drawn.join(given, ["source_no", "block"]).select("slot", "source_no", "block", "row", "cycle", "first_word", "words")
+    schedule = drawn.hint("merge").join(given, ["source_no", "block"]).select("slot", "source_no", "block", "row", "cycle", "first_word", "words")
     taken = schedule.groupBy("row").agg(F.sum("words").alias("taken"))
     return Mix(known.select("row", "id", "source", "size", "source_size", "target"), taken, schedule)
 
