@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fold, rows, table
 
 #: At most so many labelled documents of either kind are fitted to.
-SAMPLE = 2000
+SAMPLE = 1500
 LANDMARKS, GAP_PRICE, SPAN = 64, 0.6, 4
 LONGEST = 24  # letters; longer words are read in overlapping windows
 ROUNDS, PENALTY = 3, 1e-3
@@ -143,16 +143,22 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarra
     z = np.hstack([x, np.ones((len(x), 1))])
     v = np.zeros(z.shape[1])
     ridge = PENALTY * np.diag([1.0] * x.shape[1] + [1e-6])
-    for _ in range(40):
+    for turn in range(40):
         inside = y * (z @ v) < 1
         zi, wi = z[inside], weight[inside, None]
         new = np.linalg.solve(zi.T @ (wi * zi) + ridge, zi.T @ (weight[inside] * y[inside]))
         if np.allclose(new, v, atol=1e-7):
             break
-        v = 0.5 * v + 0.5 * new if _ > 10 else new
+        v = 0.5 * v + 0.5 * new if turn > 10 else new
     return v[:-1], float(v[-1])
 
 
+def _runs(word: str) -> set[str]:
+    """The runs of four letters of a word between marks of its ends."""
+    s = "^" + "".join(c for c in word if c.isalpha())[:LONGEST] + "$"
+    return {s[k : k + 4] for k in range(max(1, len(s) - 3))}
+
+
 def _best(words: np.ndarray, value: np.ndarray, most: int = 3) -> list[int]:
     """The word of the highest value, and up to two more if theirs are above zero."""
     top = words[np.argsort(-value[words], kind="stable")[:most]]
@@ -193,20 +199,21 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 11) -> ToxicityModel | No
     if not names:
         return None
     number = {w: k for k, w in enumerate(names)}
-    own = [np.array([number[w] for w in ws], int) for _, ws in bags]
-    clean = np.zeros(len(names), bool)
-    for k in np.flatnonzero(y == 0):
-        clean[own[k]] = True
+    own = [np.array([number[w] for w in ws], np.int32) for _, ws in bags]
+    clean, bears = np.zeros(len(names), bool), np.zeros(len(names), bool)
+    for k, ws in enumerate(own):
+        (bears if y[k] == 1 else clean)[ws] = True
     # first guess of the words that bear the label: what letter runs they have that clean documents lack
-    letters = ["^" + "".join(c for c in w if c.isalpha())[: LONGEST] + "$" for w in names]
-    runs = [{s[k : k + 4] for k in range(max(1, len(s) - 3))} for s in letters]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for k, ws in enumerate(own):
-        seen[int(y[k] == 1)].update({g for w in ws.tolist() for g in runs[w]})
+        seen[int(y[k] == 1)].update({g for w in ws.tolist() for g in _runs(names[w])})
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     odds = {g: np.log((n + 0.5) / (seen[0][g] + 2.5) * n0 / n1) for g, n in seen[1].items()}
-    guess = np.array([max(odds.get(g, -9.0) for g in r) for r in runs])
+    guess = np.full(len(names), -9.0, np.float32)
+    for k in np.flatnonzero(bears).tolist():
+        guess[k] = max(odds.get(g, -9.0) for g in _runs(names[k]))
     guess[clean] -= 5
+    del seen, odds
     toxic = [k for k in np.flatnonzero(y == 1) if len(own[k])]
     bearers = Counter(w for k in toxic for w in _best(own[k], guess))
     landmarks: list[str] = []
@@ -216,25 +223,42 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 11) -> ToxicityModel | No
         if not landmarks or kernel([names[w]], landmarks).max() < 0.65:
             landmarks.append(names[w])
     rng = np.random.default_rng(seed)
-    near = kernel(names, landmarks) if landmarks else np.zeros((len(names), 1))
-    hard = [k for k in np.argsort(-near.max(1), kind="stable") if clean[k]]
-    for k in [*hard[: LANDMARKS // 8], *rng.permutation(np.flatnonzero(clean))[: LANDMARKS // 8].tolist()]:
+    harmless = np.flatnonzero(clean)
+    near = np.zeros(len(harmless), np.float32)
+    for lo in range(0, len(harmless), 4096) if landmarks else ():
+        near[lo : lo + 4096] = kernel([names[k] for k in harmless[lo : lo + 4096]], landmarks).max(1)
+    hard = harmless[np.argsort(-near, kind="stable")].tolist()
+    for k in [*hard[: LANDMARKS // 8], *rng.permutation(harmless)[: LANDMARKS // 8].tolist()]:
         if names[k] not in landmarks:
             landmarks.append(names[k])
     gram = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-    x = kernel(names, landmarks) @ whiten
-    negative = np.array(sorted({*hard[:6000], *rng.permutation(np.flatnonzero(clean))[:6000].tolist()}), int)
+    # features of the words that may bear the label and of the hardest and some other clean ones
+    negative = np.array(sorted({*hard[:8000], *rng.permutation(harmless)[:8000].tolist()}), int)
+    used = np.union1d(np.flatnonzero(bears & ~clean), negative)
+    place = np.full(len(names), -1, np.int64)
+    place[used] = np.arange(len(used))
+    x = np.zeros((len(used), len(landmarks)), np.float32)
+    for lo in range(0, len(used), 4096):
+        x[lo : lo + 4096] = kernel([names[k] for k in used[lo : lo + 4096]], landmarks) @ whiten
     chosen = guess
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         positive = np.array([w for k in toxic for w in _best(own[k], chosen)], int)
-        positive = positive[~clean[positive]] if (~clean[positive]).any() else positive
-        rows_ = np.concatenate((positive, negative))
+        positive = positive[place[positive] >= 0]
+        if not len(positive):
+            return None
+        rows_ = place[np.concatenate((positive, negative))]
         label = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        u, bias = fit_svm(x[rows_], label, np.concatenate((np.full(len(positive), 0.5 / max(1, len(positive))), np.full(len(negative), 0.5 / max(1, len(negative))))))
-        chosen = x @ u + bias
-        negative = np.array(sorted({*negative.tolist(), *np.argsort(-np.where(clean, chosen, -9), kind="stable")[:2000].tolist()} & set(np.flatnonzero(clean).tolist())), int)
+        u, bias = fit_svm(x[rows_].astype(np.float64), label, np.concatenate((np.full(len(positive), 0.5 / len(positive)), np.full(len(negative), 0.5 / max(1, len(negative))))))
+        chosen = np.full(len(names), -9.0, np.float32)
+        chosen[used] = x @ u + bias
+        if turn == 0:  # clean words that the machine takes for toxic
+            value = np.concatenate([kernel([names[k] for k in harmless[lo : lo + 4096]], landmarks) @ (whiten @ u) for lo in range(0, len(harmless), 4096)])
+            more = np.setdiff1d(harmless[np.argsort(-value, kind="stable")[:2000]], negative)
+            place[more] = np.arange(len(used), len(used) + len(more))
+            used, negative = np.concatenate((used, more)), np.concatenate((negative, more))
+            x = np.concatenate((x, (kernel([names[k] for k in more], landmarks) @ whiten).astype(np.float32)))
     beta = whiten @ u
     keys, w = triples(coded(landmarks)[0][: len(landmarks)])
     weights = np.zeros(SYMBOLS**3)
@@ -284,7 +308,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield rows(schema, b.column(0), b.column(2), words)
 
     got = texts.select("id", "text", "y").mapInArrow(run, "id long, y int, words array<string>").orderBy("id", "words").collect()
-    return fit([(r.y, [w for w in r.words if any(c.isalpha() for c in w)]) for r in got], seed)
+    names: dict[str, str] = {}  # one copy of each word
+    bags = [(r.y, [names.setdefault(w, w) for w in r.words if any(c.isalpha() for c in w)]) for r in got]
+    del got
+    return fit(bags, seed)
 
 
 def worst_sentence(text: str, words: Iterable[str]) -> str | None:
