@@ -245,7 +245,7 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 11) -> ToxicityModel | No
     chosen = guess
     for turn in range(ROUNDS):
         positive = np.array([w for k in toxic for w in _best(own[k], chosen)], int)
-        positive = positive[place[positive] >= 0]
+        positive = positive[~clean[positive]]
         if not len(positive):
             return None
         rows_ = place[np.concatenate((positive, negative))]
