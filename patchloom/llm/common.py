@@ -16,7 +16,7 @@ from patchloom.sources.tables import table
 __all__ = ["Rolling", "fold", "mix", "rows", "stored", "table", "text_chunks"]
 
 #: Bytes of text that one numpy step takes; a longer document is a step of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def fold(id_col: str, parts: int) -> Column:
