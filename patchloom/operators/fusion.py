@@ -113,8 +113,8 @@ class DonorFusion:
     id_col: str
     weight: str | None = None
     quantiles: tuple[float, float] = (0.25, 0.75)
-    nclusters: int = 40
-    krange: tuple[int, int] = (10, 100)
+    nclusters: int = 2000
+    krange: tuple[int, int] = (10, 500)
     k_block: int = 10
     trees: int = 10
     depth: int = 5
@@ -179,8 +179,7 @@ class DonorFusion:
         mads = expected.agg(*[(F.percentile_approx(F.abs(F.col(f) - medians[f]), 0.5, 100000) * 1.4826).alias(f) for f in features], *[F.stddev_samp(f).alias(f"sd_{f}") for f in features]).collect()[0]
         step.scales = {f: (medians[f], mads[f] or mads[f"sd_{f}"] or 1.0) for f in features}
         scaled = stored(self.scale(step, expected), "scaled")
-        vectors = VectorAssembler(inputCols=features, outputCol="_v").transform(scaled)
-        found = KMeans(k=self.nclusters, featuresCol="_v", seed=self.seed, maxIter=20).fit(vectors).clusterCenters()
+        found = self._centers(scaled, features)
         spark = data.sparkSession
         step.centers = spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(found)], "cid int, " + ", ".join(f"`{f}` double" for f in features))
         k = 30 if step.kind == "block" else self.krange[1]
@@ -201,6 +200,18 @@ class DonorFusion:
         spread = step.donors.groupBy("cid").agg(F.avg(t).alias("m"), F.count("*").alias("n"), F.var_pop(t).alias("v")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("w"), F.var_pop("m").alias("b")).collect()[0]
         step.r2 = None if not spread.b else spread.b / (spread.b + (spread.w or 0.0))
 
+    def _centers(self, scaled: DataFrame, features: list[str]) -> list:
+        """Every distinct expectation if there are at most nclusters of them, else exactly nclusters means.
+
+        k-means starts from a sample without replacement of the distinct expectations, weighted by their donors.
+        """
+        points = stored(scaled.groupBy(*features).agg(F.count("*").cast("double").alias("_n")), "points")
+        few = points.select(*features).limit(self.nclusters + 1).collect()
+        if len(few) <= self.nclusters:
+            return sorted(tuple(r) for r in few)
+        vectors = VectorAssembler(inputCols=features, outputCol="_v").transform(points)
+        return KMeans(k=self.nclusters, featuresCol="_v", weightCol="_n", initMode="random", seed=self.seed, maxIter=20).fit(vectors).clusterCenters()
+
     @staticmethod
     def _unscaled(c, center: float, scale: float):
         from patchloom.functions.stats import denormalize

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Centers that are sent to every task; a larger table of centers is an error.
 MAX_CENTERS = 10_000
+#: Distances that a task computes at once.
+BLOCK = 1 << 20
+#: Donors whose distances bound the k-th nearest beforehand, where centers * k is over this number too.
+SAMPLE = 50_000
 
 
 def collect_centers(centers: DataFrame, cid: str, features: Sequence[str]) -> pd.DataFrame:
@@ -23,45 +27,75 @@ def collect_centers(centers: DataFrame, cid: str, features: Sequence[str]) -> pd
 def nearest_center(df: DataFrame, centers: DataFrame, cid: str, features: Sequence[str]) -> DataFrame:
     """Adds cid and dist2 of the center at the least squared distance, ties to the lesser cid; rows with a null feature get nulls.
 
-    The few centers become a literal array, so it is one narrow projection in the JVM.
+    The few centers are a broadcast matrix; only the features go to Python, a bounded block of distances at a time.
     """
     pdf = collect_centers(centers, cid, features)
     if not len(pdf):
         return df.withColumns({cid: F.lit(None).cast(centers.schema[cid].dataType), "dist2": F.lit(None).cast("double")})
-    options = []
-    for row in pdf.itertuples(index=False):
-        d = None
-        for k, f in enumerate(features):
-            gap = (F.col(f).cast("double") - F.lit(float(row[k + 1]))) * (F.col(f).cast("double") - F.lit(float(row[k + 1])))
-            d = gap if d is None else d + gap
-        options.append(F.struct(d.alias("dist2"), F.lit(row[0]).cast(centers.schema[cid].dataType).alias(cid)))
-    best = F.when(F.greatest(*[F.col(f).isNull().cast("int") for f in features], F.lit(0)) == 0, F.array_min(F.array(*options)))
-    return df.withColumn("_best", best).withColumns({cid: F.col(f"_best.{cid}"), "dist2": F.col("_best.dist2")}).drop("_best")
+    held = df.sparkSession.sparkContext.broadcast((pdf[cid].to_numpy(), pdf[list(features)].to_numpy(float)))
+
+    def find(*columns: pd.Series) -> pd.DataFrame:
+        names, c = held.value
+        x = np.column_stack([v.to_numpy(float) for v in columns])
+        at, least, step = np.zeros(len(x), np.int64), np.zeros(len(x)), max(1, BLOCK // len(c))
+        for lo in range(0, len(x), step):
+            d2 = _distances(x[lo : lo + step], c)
+            at[lo : lo + step] = d2.argmin(axis=1)
+            least[lo : lo + step] = d2[np.arange(len(d2)), at[lo : lo + step]]
+        return pd.DataFrame({"cid": names[at], "dist2": least})
+
+    nearest = F.pandas_udf(find, f"cid {centers.schema[cid].dataType.simpleString()}, dist2 double")(*[F.col(f).cast("double") for f in features])
+    whole = F.greatest(*[F.col(f).isNull().cast("int") for f in features], F.lit(0)) == 0
+    return df.withColumn("_best", F.when(whole, nearest)).withColumns({cid: F.col("_best.cid"), "dist2": F.col("_best.dist2")}).drop("_best")
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all centers."""
+    out = np.zeros((len(x), len(c)))
+    for j in range(c.shape[1]):
+        gap = x[:, [j]] - c[:, j]
+        out += gap * gap
+    return out
 
 
 def top_k_donors(donors: DataFrame, centers: DataFrame, k: int, cid: str, donor_id: str, features: Sequence[str]) -> DataFrame:
     """(cid, donor_id, dist2, rank): the k nearest donors of each center, ties to the lesser id.
 
     Every task keeps its own k best for each center before anything moves, so the shuffle carries
-    tasks * centers * k rows at most, and the final ranking sees only those.
+    tasks * centers * k rows at most, and the final ranking sees only those. With many centers,
+    donors farther than the k-th nearest of a sample of them stay behind too: no result needs them.
     """
     pdf = collect_centers(centers, cid, features)
     c = pdf[list(features)].to_numpy(float)
+    whole = donors.select(donor_id, *features).dropna()
+    limit = np.full(len(c), np.inf)
+    if len(c) * k > SAMPLE:
+        n = whole.count()
+        some = whole.select(*[F.col(f).cast("double") for f in features]).sample(min(1.0, SAMPLE / max(1, n)), seed=1).limit(2 * SAMPLE).toPandas().to_numpy(float)
+        if len(some) >= k:
+            limit = np.array([np.partition(_distances(some, c[[m]])[:, 0], k - 1)[k - 1] for m in range(len(c))])
+
+    def best(d2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1]) if len(d2) > k else np.arange(len(d2))
+        near = near[np.lexsort((ids[near], d2[near]))][:k]
+        return d2[near], ids[near]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
+        kept: list = [None] * len(c)
         for b in batches:
-            x = b[list(features)].to_numpy(float)
-            d2 = sum((x[:, [j]] - c[:, j]) ** 2 for j in range(c.shape[1]))
-            ids = b[donor_id].to_numpy()
-            order = np.lexsort((np.broadcast_to(ids[:, None], d2.shape), d2), axis=0)[:k]
-            new = pd.DataFrame({cid: np.repeat(pdf[cid].to_numpy(), len(order)), donor_id: ids[order].T.ravel(), "dist2": np.take_along_axis(d2, order, 0).T.ravel()})
-            both = new if kept is None else pd.concat([kept, new])
-            kept = both.sort_values([cid, "dist2", donor_id]).groupby(cid).head(k)
-        if kept is not None:
-            yield kept
+            x, ids = b[list(features)].to_numpy(float), b[donor_id].to_numpy()
+            step = max(1, BLOCK // max(1, len(x)))
+            for lo in range(0, len(c), step):
+                for m, d2 in enumerate(np.ascontiguousarray(_distances(x, c[lo : lo + step]).T), lo):
+                    old, names = kept[m] or (d2[:0], ids[:0])
+                    near = np.flatnonzero(~(d2 > (old[-1] if len(old) == k else limit[m])))
+                    if len(near):
+                        kept[m] = best(np.concatenate((old, d2[near])), np.concatenate((names, ids[near])))
+        for lo in range(0, len(c), 64):
+            some = [(n, *x) for n, x in zip(pdf[cid].to_numpy()[lo : lo + 64], kept[lo : lo + 64], strict=True) if x is not None]
+            if some:
+                yield pd.DataFrame({cid: np.repeat([n for n, _, _ in some], [len(d) for _, d, _ in some]), donor_id: np.concatenate([i for _, _, i in some]), "dist2": np.concatenate([d for _, d, _ in some])})
 
-    whole = donors.select(donor_id, *features).dropna()
     types = f"{cid} {centers.schema[cid].dataType.simpleString()}, {donor_id} {donors.schema[donor_id].dataType.simpleString()}, dist2 double"
     rank = F.row_number().over(Window.partitionBy(cid).orderBy("dist2", donor_id))
     return whole.mapInPandas(partial, types).withColumn("rank", rank).where(F.col("rank") <= k)

@@ -120,3 +120,24 @@ def test_imputation_fills_everything(spark, data_dir):
 def test_zero_inflation(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 4 == 0, 0.0).otherwise(F.col("id") / 10 + 30).alias("z"), (F.col("id") / 500 - 1).alias("plain"))
     assert zero_inflated(df, "z") and not zero_inflated(df, "plain")
+
+
+def test_default_donor_pools_reach_every_expectation(spark):
+    df = spark.range(900).select(F.col("id").alias("rid"), (F.col("id") % 30).alias("a"), F.floor(F.col("id") / 30).alias("b"), (F.col("id") * F.col("id") % 977 + 200).cast("double").alias("y"))
+    spec = DonorFusion(["y"], ["a", "b"], "rid", trees=3)
+    assert (spec.nclusters, spec.krange) == (2000, (10, 500))
+    assert spec.fit(df).steps[0].centers.count() > 40
+    points = spark.range(300).select(F.col("id").cast("double").alias("a"))
+    assert len(DonorFusion(["y"], ["x"], "rid", nclusters=300)._centers(points, ["a"])) == 300
+    assert len(DonorFusion(["y"], ["x"], "rid", nclusters=299)._centers(points, ["a"])) == 299
+
+
+def test_many_centers(spark):
+    df = spark.range(500).select(F.col("id").alias("rid"), F.when(F.col("id") != 7, F.col("id") % 50 + 0.5).alias("v"))
+    centers = spark.range(2000).select(F.col("id").cast("int").alias("cid"), (F.col("id") / 40).alias("v"))
+    got = {r.rid: r for r in neighbors.nearest_center(df.repartition(3), centers, "cid", ["v"]).collect()}
+    assert len(got) == 500 and got[7].cid is None and got[7].dist2 is None
+    assert all((r.cid, r.dist2) == (40 * (i % 50) + 20, 0.0) for i, r in got.items() if i != 7)
+    near = neighbors.top_k_donors(df.repartition(5), centers, 12, "cid", "rid", ["v"]).where("cid = 21").orderBy("rank").collect()
+    want = sorted(((i % 50 + 0.5 - 21 / 40) ** 2, i) for i in range(500) if i != 7)[:12]
+    assert [(r.dist2, r.rid) for r in near] == want
