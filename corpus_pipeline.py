@@ -7,7 +7,7 @@ columns of documents. Empty tables pass through every stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm.common import stored, table
@@ -25,15 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the least id, and of rows that repeat its id the first by text.
+    """Keeps of each group the row with the least id, and of rows with that id the first as stored; a null id comes last.
 
-    Rows with a null id can't be named by a group: of those with equal texts one stays.
+    Rows are joined by their number, so rows that repeat an id or have none are grouped by their texts like all others.
+    Texts without a word are in no group: only repeats of one id and text are one.
     """
-    groups = ngram_jaccard_join(docs).documents
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(keep, "doc_id").withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_jaccard_join(numbered, id_col="_row").documents
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    blank = F.col("n_shingles") == 0
+    wordless = F.when(F.col("text").rlike(r"\A[\x20\x09-\x0D]*\z"), F.col("text"))
+    groups = groups.join(numbered.select("_row", "doc_id", wordless.alias("text")), "_row")
+    groups = groups.select("_row", "doc_id", F.when(~blank, F.col("component_id")).alias("_group"), F.when(blank, F.struct("doc_id", "text")).alias("_same"))
+    keep = groups.groupBy("_group", "_same").agg(least.alias("_least")).select(F.col("_least._row").alias("_row"))
+    return numbered.join(keep, "_row").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,14 @@ def test_odd_rows(spark, data_dir):
 
 def test_run(spark, data_dir):
     assert corpus_pipeline.run(spark, data_dir).count() > 0
+
+
+def test_repeated_and_null_ids_are_grouped_by_text(spark, data_dir):
+    schema = spark.read.parquet(f"{data_dir}/documents.parquet").schema
+    copy, alone, near = (" ".join(f"{w}{k}" for k in range(60)) for w in ("c", "a", "n"))
+    rows = [(3, copy), (5, copy), (5, alone), (None, near), (None, near + " more"), (None, copy), (7, "x y"), (7, "other words"), (8, ""), (8, ""), (9, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(3), data_dir).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got if r.text and not r.text.startswith("n")) == sorted([("3", copy), ("5", alone), ("7", "x y"), ("7", "other words")])
+    assert [r.doc_id for r in got if r.text and r.text.startswith("n")] == [None]
+    assert sorted((str(r.doc_id), r.text) for r in got if not r.text) == [("8", ""), ("9", ""), ("None", None)]
