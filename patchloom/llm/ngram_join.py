@@ -2,17 +2,20 @@
 
 Documents are sets of hashed word n-grams under one global order, rare n-grams first. The order is
 cut at pivots into fragments; the overlap of a pair is counted in each fragment separately and the
-partial counts are summed. Candidates come from the rare end of that order (the prefix that any
-two linked sets must share an n-gram of).
-
-Equal sets are one class from the start. Within a block (the classes with one n-gram in their
-prefixes) the classes first meet a few leaders of the block; only classes that are not connected
-by then meet each other. So a group of many near copies costs a multiple of its size, and no link
-between different components is left out.
+partial counts are summed per pair. Candidates come from the rare end of that order (the prefix that
+any two linked sets must share an n-gram of).
+
+Equal sets are one class from the start. Classes with the same commonest prefix n-gram sit in one
+tile, of a bounded number of classes and n-grams; a class also visits each other tile that holds a
+candidate for it. A task counts one tile's overlaps, fragment after fragment, and leaves out what
+can't reach the threshold any more. It returns a row for each class (its number of links and one
+linked class), never a row for each pair, so a group of near copies costs rows in proportion to its
+size (times the tiles it fills), while every candidate pair is held against the threshold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +27,16 @@ from pyspark.sql import functions as F
 from .common import Rolling, mix, rows, stored, table, text_chunks
 from .graph import components
 
-#: Counters of the frequency sketch (a fixed 8 MB), and the pieces it travels in.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+#: Counters of the frequency sketch (a fixed 32 MB), and the pieces it travels in, compressed.
+SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Bits of the filter of classes that have a candidate (a fixed 2 MB), and its pieces.
 FILTER_BITS, FILTER_PARTS = 24, 64
-#: Leaders of a block; of those it met, the ones that a class is first held against, by what they share.
-LEADERS, FIRST = 4, 3
-#: Members of a component that stand for it in a block, and how many of those a class is held against.
-DELEGATES, TRIES = 8, 12
+#: An n-gram that the sketch counts this much oftener than a mean one is dealt out by its classes, too, in so many parts.
+COMMON, PARTS = 4096, 64
+#: Classes and n-grams that a tile is filled with, and as many that visit it at a time.
+TILE_CLASSES, TILE_GRAMS = 1000, 1 << 20
+#: An n-gram of so many sets in a task is counted by matrix products, so many at a time.
+DENSE, COLUMNS = 32, 2048
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -96,7 +101,7 @@ def _sketching(n: int):
                 sets = shingle_sets(data, offsets, rolling, n)
                 if any(map(len, sets)):
                     slots = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                    sketch += np.bincount(slots, minlength=len(sketch))
+                    np.add.at(sketch, slots, 1)
                 none = [None] * len(sets)
                 yield rows(schema, ids[lo:hi], [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets], none, none)
         if sketch.any():
@@ -107,12 +112,14 @@ def _sketching(n: int):
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    return counts.astype(next(t for t in (np.int16, np.int32, np.int64) if counts.max() <= np.iinfo(t).max)).tobytes()
+    """A byte for the width of the counts, and the counts, compressed."""
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if counts.max() <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + pa.compress(counts.astype(kind).tobytes(), "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     n = (1 << SKETCH_BITS) // SKETCH_PARTS
-    return np.frombuffer(data, f"i{len(data) // n}").astype(np.int64)
+    return np.frombuffer(pa.decompress(data[1:], n * data[0], "zstd", asbytes=True), f"i{data[0]}").astype(np.int64)
 
 
 def _summed(groups):
@@ -125,23 +132,27 @@ class Order:
 
     counts: np.ndarray
     pivots: np.ndarray
+    common: float
 
     @classmethod
     def of(cls, counts: np.ndarray, fragments: int) -> Order:
         held = np.sort(counts[counts > 0])
         mass = np.cumsum(held)
         at = [int(np.searchsorted(mass, mass[-1] * k / fragments)) for k in range(1, fragments)] if len(held) else []
-        return cls(counts, np.unique(held[at]) if len(held) else np.zeros(0, np.int64))
+        return cls(counts, np.unique(held[at]) if len(held) else np.zeros(0, np.int64), COMMON + 2 * counts.mean())
+
+    def count(self, s: np.ndarray) -> np.ndarray:
+        return self.counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
     def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The set in the global order, with each n-gram's fragment."""
-        c = self.counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        c = self.count(s)
         order = np.lexsort((s, c))
         return s[order], np.searchsorted(self.pivots, c[order], "right")
 
 
 def _prefixes(n: int, num: int, den: int, order):
-    schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, seen = Rolling(), set()
@@ -158,13 +169,15 @@ def _prefixes(n: int, num: int, den: int, order):
                     sizes.append(np.full(len(own), len(s), np.int32))
                     places.append(np.arange(len(own), dtype=np.int32))
                 if tokens:
-                    yield rows(schema, np.concatenate(tokens).view(np.int64), np.concatenate(cids), np.concatenate(sizes), np.concatenate(places))
+                    token, cid = np.concatenate(tokens), np.concatenate(cids)
+                    part = np.where(order.value.count(token) > order.value.common, 1 + cid % PARTS, 0)
+                    yield rows(schema, token.view(np.int64), part.astype(np.int32), cid, np.concatenate(sizes), np.concatenate(places))
 
     return run
 
 
-def _segments(n: int, order, wanted):
-    schema = pa.schema([("cid", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+def _segments(n: int, fragments: int, order, wanted):
+    schema = pa.schema([("cid", pa.int64()), ("grams", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, seen = Rolling(), set()
@@ -176,11 +189,9 @@ def _segments(n: int, order, wanted):
                         continue
                     seen.add(key)
                     grams, fragment = order.value.sort(s)
-                    cuts = np.flatnonzero(np.diff(fragment)) + 1
-                    for part, k in zip(np.split(grams.view(np.int64), cuts), fragment[np.concatenate(([0], cuts))].tolist(), strict=True):
-                        out[0].append(key)
-                        out[1].append(k)
-                        out[2].append(part)
+                    out[0].append(key)
+                    out[1].append(grams.view(np.int64))
+                    out[2].append(np.searchsorted(fragment, np.arange(fragments), "right").astype(np.int32))
                 if out[0]:
                     yield rows(schema, *out)
 
@@ -206,19 +217,20 @@ def _filter(spark: SparkSession, cids: DataFrame):
 
 @dataclass
 class NgramJoin:
-    """documents: (id, n_shingles, class_id, component_id). links: (a, b, overlap, n_a, n_b) of the
-    class pairs that were found linked; pairs that other links connect already need not be there."""
+    """documents: (id, n_shingles, class_id, n_links, component_id). links: (a, b, overlap, n_a, n_b) of
+    linked class pairs that hold each component together."""
 
     documents: DataFrame
     links: DataFrame
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, fragments: int = 3) -> NgramJoin:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, fragments: int = 8) -> NgramJoin:
     """Links documents whose n-gram sets have a Jaccard similarity of num/den or more.
 
     Words are runs of other bytes than space and U+0009..U+000D, with A-Z lower-cased. A text with
     fewer than n words is one n-gram; a null, empty or blank text has no n-gram, no class and no
     link, and is its own component. Repeated rows and repeated ids count as documents of their own;
+    n_links is the number of other documents that one is linked with, its copies included;
     component_id is the smallest id in the component (null only if all its ids are null). Columns
     other than the two named are not read. No documents: no rows.
     """
@@ -233,115 +245,183 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = first.where("part is null").select("row_id", "n", "cid")
 
     text = source.select("text")
-    by_token = Window.partitionBy("token").orderBy("cid")
-    blocks = text.mapInArrow(_prefixes(n, num, den, order), "token long, cid long, n int, pos int")
-    blocks = blocks.withColumn("before", F.lag("cid").over(by_token)).where("before is null or before <> cid").drop("before")
-    blocks = blocks.withColumns({"rank": F.row_number().over(by_token), "next": F.lead("cid").over(by_token)}).where("rank > 1 or next is not null").drop("next")
-    blocks = stored(blocks, "blocks")
-
-    sizes = stored(sets.where("cid is not null").groupBy("cid").agg(F.min("row_id").alias("least_id"), F.first("n").alias("n")), "classes")
-    shared = stored(blocks.groupBy("cid").agg(F.collect_list("token").alias("rare")), "rare")  # a list is part of one text
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"), F.when(F.col("cid") < F.col("lead"), F.col("n")).otherwise(F.col("m")).alias("n_a"), F.when(F.col("cid") < F.col("lead"), F.col("m")).otherwise(F.col("n")).alias("n_b")).distinct(), "pairs")
-        wanted = _filter(spark, pairs.select(F.explode(F.array("a", "b")).alias("cid")))
-        segments = text.mapInArrow(_segments(n, order, wanted), "cid long, fragment int, grams array<long>")
-        segments = segments.groupBy("cid", "fragment").agg(F.first("grams").alias("grams"))  # copies in several tasks
-        return stored(_linked(pairs, segments, len(order.value.pivots) + 1, num, den), "links")
-
-    def joined_by(links: DataFrame) -> DataFrame:
-        return components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    # every class of a block meets the first few of it, and is held against those it shares most with
-    # sizes that can link, and at the first n-gram that two sets share, enough of both to come
-    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m) and {num + den} * least(n - pos, m - lead_pos) >= {num} * (n + m)")
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("common"), "lead"))
-    leaders = blocks.where(F.col("rank") <= LEADERS).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("lead_pos"), F.col("rank").alias("lead_rank"))
-    met = blocks.join(leaders, "token").where((F.col("rank") > F.col("lead_rank")) & fits).select("cid", "n", "lead", "m").distinct()
-    met = stored(_near(met, shared, num, den).withColumn("place", best("cid")), "met")
-    links = linked(met.where(F.col("place") <= FIRST))
-    joined = joined_by(links)
-
-    # classes that are apart though they share a block: each against the likeliest delegates of the other component
-    held = _mixed(blocks, joined)
-    likely = _near(_delegates(held, fits), shared, num, den).withColumn("place", best("cid", "other")).where(F.col("place") <= TRIES)
-    links = links.unionByName(linked(likely))
-    joined = joined_by(links)
-
-    # and then every pair that is still apart
-    rest = _near(_apart(_mixed(blocks, joined), fits, num, den), shared, num, den).select("cid", "n", "lead", "m")
-    label = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    rest = rest.unionByName(met.where(F.col("place") > FIRST).select("cid", "n", "lead", "m")).join(label("cid"), "cid", "left").join(label("lead"), "lead", "left")
-    rest = stored(rest.where("coalesce(cid_comp, cid) <> coalesce(lead_comp, lead)").select("cid", "n", "lead", "m"), "rest")
-    if rest.limit(1).count():
-        links = links.unionByName(linked(rest))
-        joined = joined_by(links)
-    classes = sizes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    blocks = stored(_blocks(text.mapInArrow(_prefixes(n, num, den, order), "token long, part int, cid long, n int, pos int"), num, den), "blocks")
+    sizes = stored(sets.where("cid is not null").groupBy("cid").agg(F.min("row_id").alias("least_id"), F.count("*").alias("copies")), "classes")
+    members = stored(_tiles(blocks).join(sizes.select("cid", "copies"), "cid"), "members")
+    seats = stored(_seats(members, stored(_meetings(blocks, members, num, den), "meetings")), "seats")
+    segments = text.mapInArrow(_segments(n, fragments, order, _filter(spark, seats)), "cid long, grams array<long>, ends array<int>")
+    segments = segments.groupBy("cid").agg(F.first("grams").alias("grams"), F.first("ends").alias("ends"))  # copies in several tasks
+    counted = seats.join(segments, "cid").groupBy("tile", "turn").applyInArrow(_count_tile(num, den, fragments), "cid long, links long, other long, overlap long, n int, n_other int")
+    counted = stored(counted, "counted")
+
+    links = counted.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"), "overlap", F.col("n").alias("n_a"), F.col("n_other").alias("n_b"))
+    joined = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    beyond = counted.groupBy("cid").agg(F.sum("links").alias("beyond"))
+    classes = stored(sizes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").join(beyond, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "classes")
     ids = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    classes = classes.join(ids, "comp").select("cid", "least_id", "component_id")
-    documents = sets.join(classes, "cid", "left").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("row_id")).otherwise(F.col("least_id")).alias("class_id"), F.when(F.col("cid").isNull(), F.col("row_id")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = classes.join(ids, "comp").select("cid", "least_id", "component_id", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    alone = F.col("cid").isNull()
+    own = lambda c: F.when(alone, F.col("row_id")).otherwise(F.col(c))
+    documents = sets.join(classes, "cid", "left").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), own("least_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), own("component_id").alias("component_id"))
     return NgramJoin(documents, links)
 
 
-def _near(pairs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (cid, n, lead, m, ...) that can still reach the threshold by the rare n-grams they have in common.
+def _blocks(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, cid, n, pos, held): prefix n-grams that several classes hold and a partner may be found by; held is about how many.
 
-    Of two prefixes, the one that ends first in the order has all it shares with the other set in
-    the other prefix; so the overlap is at most the prefixes' common n-grams and that set's rest.
+    Repeats of a class are dropped. At position pos a class has n - pos n-grams left to share, which
+    is enough for partners up to some size; where the block's least class is above it, the row goes.
+    The parts of a common n-gram don't see each other, so nothing of it goes.
     """
-    left, right = shared.select("cid", F.col("rare").alias("own")), shared.select(F.col("cid").alias("lead"), "rare")
-    both = pairs.join(left, "cid").join(right, "lead").withColumn("common", F.size(F.array_intersect("own", "rare"))).drop("own", "rare")
-    rest = lambda x: f"(({num} * {x} + {den - 1}) div {den} - 1)"
-    return both.where(F.expr(f"({num} + {den}) * (common + greatest({rest('n')}, {rest('m')})) >= {num} * (n + m)"))
+    key = ["token", "part"]
+    rows_ = prefixes.withColumn("before", F.lag("cid").over(Window.partitionBy(*key).orderBy("cid"))).where("before is null or before <> cid").drop("before")
+    block = Window.partitionBy(*key)
+    rows_ = rows_.withColumns({"held": F.count("*").over(block), "least": F.min("n").over(block)})
+    fits = f"{num + den} * cast(n - pos as bigint) >= {num} * cast(n + least as bigint)"
+    return rows_.where(f"part > 0 or held > 1 and {fits}").select("token", "cid", "n", "pos", F.expr(f"if(part > 0, held * {PARTS}, held)").alias("held"))
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose overlaps, counted by fragment and summed, reach the threshold.
+def _tiles(blocks: DataFrame) -> DataFrame:
+    """(cid, n, family, whole, tile): families are the classes with the same commonest prefix n-gram and about the same size.
 
-    Both joins take the segments as their aggregation has dealt them out, so they move once.
+    A large family fills tiles of its own (whole), small ones are dealt out to common tiles. Tiles
+    hold about TILE_CLASSES classes and TILE_GRAMS n-grams at most, but for one class that is larger.
     """
-    pairs = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(fragments)])))
-    left = segments.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
-    whole = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("overlap"))
-    return whole.where(F.expr(f"{den} * overlap >= {num} * (n_a + n_b - overlap)"))
-
-
-def _mixed(blocks: DataFrame, joined: DataFrame) -> DataFrame:
-    """(token, cid, n, pos, comp, members): the blocks that hold several components and are too large to have met in whole."""
-    label = joined.withColumnRenamed("node", "cid")
-    known = stored(blocks.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("token", "cid", "n", "pos", "comp"), "blocks")
-    mixed = known.groupBy("token", "comp").agg(F.count("*").alias("here"))
-    several = mixed.groupBy("token").agg(F.count("*").alias("comps"), F.sum("here").alias("all")).where(f"comps > 1 and all > {LEADERS + 1}").select("token")
-    weight = known.select("cid", "comp").distinct().groupBy("comp").agg(F.count("*").alias("members"))
-    return stored(known.join(several, "token").join(weight, "comp"), "blocks")
-
+    home = blocks.groupBy("cid").agg(F.max_by("token", F.struct("held", "token")).alias("home"), F.first("n").alias("n"))
+    size = F.floor(F.log("n") / math.log(4 / 3))
+    home = stored(home.select("cid", "n", F.xxhash64("home", size).alias("family")), "homes")
+    kin = home.groupBy("family").agg(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") / TILE_GRAMS).alias("fill"))
+    kin = stored(kin.withColumn("parts", F.when(F.col("fill") > 0.25, F.ceil("fill"))), "families")
+    shared = max(1, math.ceil(kin.where("parts is null").agg(F.sum("fill")).first()[0] or 0))
+    own = F.xxhash64("family", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    tile = F.coalesce(own, F.pmod("family", F.lit(shared)))
+    return home.join(kin, "family").select("cid", "n", "family", F.col("parts").isNotNull().alias("whole"), tile.alias("tile"))
 
-def _delegates(held: DataFrame, fits) -> DataFrame:
-    """(cid, n, lead, m, other): every class with a few members of each other component of its blocks, chosen anew for each block."""
-    chosen = F.row_number().over(Window.partitionBy("token", "comp").orderBy(F.xxhash64("token", "cid"), "cid"))
-    few = held.withColumn("_k", chosen).where(F.col("_k") <= DELEGATES).select("token", F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("lead_pos"), F.col("comp").alias("other"), F.col("members").alias("other_members"))
-    return held.join(few, "token").where(F.expr("comp <> other and struct(members, comp) < struct(other_members, other)") & fits).select("cid", "n", "lead", "m", "other").distinct()
 
+def _meetings(blocks: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, own, family, tile, home): a class meets the families, its own (home) and those of a higher rank, that may hold a partner of it.
 
-def _apart(held: DataFrame, fits, num: int, den: int) -> DataFrame:
-    """(cid, n, lead, m): all pairs of classes that share a block but are not connected.
-
-    A class of the smaller component meets the other component's members either in the blocks they
-    share or, if those hold more rows than the component has members, in the whole component.
+    Families in whole tiles rank higher. A family cut into tiles counts as one for each tile.
+    """
+    large = lambda c: f"cast({c} as bigint)"
+    seat = F.struct("whole", "tile", "family").alias("seat")
+    placed = stored(blocks.join(members.select("cid", "whole", "tile", "family"), "cid").select("token", "cid", "n", "pos", seat), "placed")
+    hosts = placed.groupBy("token", "seat").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left"), F.count("*").alias("many"))
+    hosts = hosts.withColumnRenamed("seat", "host")
+    fits = f"{den} * {large('most')} >= {num} * {large('n')} and {den} * {large('n')} >= {num} * {large('least')} and {num + den} * {large('least(n - pos, left)')} >= {num} * {large('n + least')}"
+    met = placed.join(hosts, "token").where(f"(seat < host or seat = host and many > 1) and {fits}")
+    return met.select("cid", F.col("seat.tile").alias("own"), F.col("host.family").alias("family"), F.col("host.tile").alias("tile"), F.expr("seat = host").alias("home")).distinct()
+
+
+def _seats(members: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(tile, turn, cid, n, copies, visitor): every tile's members that someone is to meet, once for each turn of its visitors."""
+    visits = meetings.where("tile <> own").select("cid", "tile").distinct()
+    visitors = visits.join(members.select("cid", "n", "copies"), "cid")
+    turns = visitors.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") / TILE_GRAMS)).alias("turns"))
+    visitors = visitors.join(turns, "tile").select("tile", F.pmod(F.xxhash64("cid"), F.col("turns")).alias("turn"), "cid", "n", "copies", F.lit(True).alias("visitor"))
+    guests = meetings.select("cid").distinct().withColumn("guest", F.lit(True))
+    hosts = meetings.where("not home").select("family").distinct().withColumn("host", F.lit(True))
+    wanted = members.join(guests, "cid", "left").join(hosts, "family", "left").where("guest or host")
+    crowd = wanted.groupBy("tile").agg(F.count("*").alias("crowd")).join(turns, "tile", "left").where("crowd > 1 or turns > 0")
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("turns", F.lit(1)) - 1))
+    hosts = wanted.join(crowd, "tile").select("tile", turn.alias("turn"), "cid", "n", "copies", F.lit(False).alias("visitor"))
+    return hosts.unionByName(visitors)
+
+
+def add_overlaps(total: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> None:
+    """Adds to total[i, j], i <> j, the number of ids that owners i and j have in common. An owner has an id once."""
+    size = len(total)
+    ids = np.unique(ids, return_inverse=True)[1]
+    held = np.bincount(ids)
+    dense = np.flatnonzero(held >= DENSE)
+    column = np.full(len(held), -1)
+    column[dense] = np.arange(len(dense))
+    for lo in range(0, len(dense), COLUMNS):
+        at = column[ids]
+        pick = (at >= lo) & (at < lo + COLUMNS)
+        has = np.zeros((size, min(COLUMNS, len(dense) - lo)), np.float32)
+        has[owners[pick], at[pick] - lo] = 1
+        total += (has @ has.T).astype(total.dtype)
+    pick = (held[ids] > 1) & (column[ids] < 0)
+    ids, owners = ids[pick], owners[pick]
+    turn = np.argsort(ids, kind="stable")
+    ids, owners = ids[turn], owners[turn]
+    for k in range(1, DENSE):
+        if len(ids) <= k:
+            break
+        same = ids[k:] == ids[:-k]
+        if not same.any():
+            break
+        a, b = owners[:-k][same], owners[k:][same]
+        np.add.at(total, (a, b), 1)
+        np.add.at(total, (b, a), 1)
+
+
+def tile_overlaps(grams: np.ndarray, ends: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The overlaps of a tile's sets; where allowed and enough for a link they are whole.
+
+    grams are the sets one after the other, in the global order; ends (sets x fragments) are the
+    fragments' ends in each. A set without a pair that can still reach the threshold is left out of
+    the later fragments.
     """
-    members = held.select("cid", "n", "comp").distinct()
-    others = held.groupBy("token", "comp", "members").agg(F.count("*").alias("here"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("most_left"))
-    others = others.select("token", F.col("comp").alias("other"), F.col("members").alias("other_members"), "here", "least_n", "most_n", "most_left")
-    sized = f"{den} * most_n >= {num} * n and {den} * n >= {num} * least_n and {num + den} * least(n - pos, most_left) >= {num} * (n + least_n)"  # some member there may fit
-    meets = stored(held.join(others, "token").where(f"comp <> other and struct(members, comp) < struct(other_members, other) and {sized}").select("token", "cid", "n", "pos", "other", "other_members", "here"), "meets")
-    weighed = meets.withColumn("rows", F.sum("here").over(Window.partitionBy("cid", "other")))
-    target = lambda df: df.select(F.col("cid").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), *(["token", F.col("pos").alias("lead_pos")] if "token" in df.columns else []))
-    by_block = weighed.where("rows <= other_members").join(target(held), ["token", "other"]).where(fits)
-    by_member = weighed.where("rows > other_members").select("cid", "n", "other").distinct().join(target(members), "other").where(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    return by_block.select("cid", "n", "lead", "m").unionByName(by_member.select("cid", "n", "lead", "m")).distinct()
+    count = len(sizes)
+    owners = np.repeat(np.arange(count), sizes)
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    total = np.zeros((count, count), np.int64 if len(sizes) and sizes.max() > 1 << 22 else np.int32)
+    need = num * (sizes[:, None] + sizes[None, :]).astype(total.dtype)
+    alive, before = allowed.any(1), np.zeros(count, np.int64)
+    for end in ends.T:
+        here = alive[owners] & (place >= before[owners]) & (place < end[owners])
+        if here.any():
+            add_overlaps(total, grams[here], owners[here])
+        before = end
+        left = (sizes - end).astype(total.dtype)
+        alive = (allowed & ((num + den) * (total + np.minimum(left[:, None], left[None, :])) >= need)).any(1)
+        if not alive.any():
+            break
+    return np.where(allowed & alive[:, None] & alive[None, :] & ((num + den) * total >= need), total, 0)
+
+
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """For each node another one that it is linked with, so that these links alone connect what all links do; -1 for roots."""
+    parent = np.full(len(linked), -1)
+    fresh = linked.any(1)
+    for root in range(len(linked)):
+        if not fresh[root]:
+            continue
+        fresh[root], ahead = False, [root]
+        while ahead:
+            k = ahead.pop()
+            found = np.flatnonzero(linked[k] & fresh)
+            parent[found], fresh[found] = k, False
+            ahead += found.tolist()
+    return parent
+
+
+def _count_tile(num: int, den: int, fragments: int):
+    schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("overlap", pa.int64()), ("n", pa.int32()), ("n_other", pa.int32())])
+
+    def run(key, t):
+        t = t.combine_chunks()
+        cid, sizes, copies = (t.column(c).to_numpy().astype(np.int64) for c in ("cid", "n", "copies"))
+        visitor = np.array(t.column("visitor").to_pylist(), bool)
+        grams, ends = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "ends"))
+        allowed = ~(visitor[:, None] & visitor[None, :])
+        if key[1].as_py():  # the members met each other in the first turn
+            allowed &= visitor[:, None] | visitor[None, :]
+        np.fill_diagonal(allowed, False)
+        allowed &= den * np.minimum(sizes[:, None], sizes[None, :]) >= num * np.maximum(sizes[:, None], sizes[None, :])
+        overlap = tile_overlaps(grams, ends.reshape(-1, fragments), sizes, allowed, num, den)
+        linked = overlap > 0
+        links, parent = linked @ copies, spanning(linked)
+        some = np.flatnonzero(links)
+        up = parent[some]
+        none = up < 0
+        masked = lambda x: pa.array(x, mask=none)
+        return pa.Table.from_arrays([pa.array(cid[some]), pa.array(links[some]), masked(cid[up]), masked(overlap[some, up].astype(np.int64)), pa.array(sizes[some].astype(np.int32)), masked(sizes[up].astype(np.int32))], schema=schema)
+
+    return run
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents")).documents.select("doc_id", "n_shingles", "component_id", "class_id")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).documents.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

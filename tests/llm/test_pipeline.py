@@ -20,7 +20,7 @@ def test_stages(spark, data_dir):
     good, single, clean, mixed, pieces = outs
     assert 0.7 * len(start) < len(good) < len(start) and {tuple(r) for r in good} < {tuple(r) for r in start}
     groups = brute([(r.doc_id, r.text) for r in good])
-    assert sorted(r.doc_id for r in single) == sorted(i for i, _, c in groups if i == c)
+    assert sorted(r.doc_id for r in single) == sorted(i for i, _, c, _ in groups if i == c)
     assert {r.doc_id for r in clean} == {r.doc_id for r in single}
     texts = {r.doc_id: r.text for r in single}
     for r in clean:
