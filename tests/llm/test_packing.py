@@ -11,9 +11,7 @@ SCHEMA = "doc_id long, text string, start int, length string, class string"
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(pieces, docs, ids_of):
@@ -58,7 +56,7 @@ def test_query(spark, data_dir):
 
 def test_ids_equal_the_tokenizers_library(spark):
     rng = random.Random(3)
-    odd = ["", " ", "  a  b ", "\n\n \t x", "it's I'LL we've ' s", "<|endoftext|>", "x²½ ⅷ 12 3", "漢字かな 🎉🎉", "a b c\x1cd\x85e", "é́ñ", "_" * 300, "a" * 3000]
+    odd = ["", " ", "  a  b ", "\n\n \t x", "it's I'LL we've ' s", "<|endoftext|>", "x<|endoftext|>y", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>", "<|endoftext |> <|endof", "x²½ ⅷ 12 3", "漢字かな 🎉🎉", "a b c\x1cd\x85e", "é́ñ", "_" * 300, "a" * 3000]
     docs = [(k, x) for k, x in enumerate(odd)] + [(100 + k, "".join(rng.choices("ab '\n\t.1é漢_s ", k=rng.randint(1, 400)))) for k in range(200)]
     rows = spark.createDataFrame([(i, x, 1, "x", None) for i, x in docs], SCHEMA).repartition(3)
     got = pack_documents(rows).selectExpr("doc_id", "start", "length", "crc32(ids) ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
