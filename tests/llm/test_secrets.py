@@ -2,8 +2,11 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import pytest
+
 from patchloom.llm.secrets import ALLOWED, MARK, THRESHOLDS, WINDOW, joined, op7_secrets, redact_secrets, scan_secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password", "((?ai:password").replace("key)", "key))", 1))
@@ -62,6 +65,32 @@ def test_odd_and_random(spark):
             assert MARK in out[i].text and not [x for x in base(out[i].text) if x[3] != "assign"]
 
 
+LONG = {
+    "candidate": "".join(random.Random(1).choices("ABCdef0123+/", k=80_000)),
+    "matches": "token=abcdef1 " * 16_000,
+    "both": "é token=abcdef1 x4fK9xQ2mZ7pL1vB8nR3tY6w " * 6_000,
+    "path": "a/b-" * 60_000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_texts_take_linear_time(spark, kind):
+    text = LONG[kind]
+    df = spark.createDataFrame([(1, text, "k", 1, None)], SCHEMA)
+    began = time.time()
+    (got,) = scan_secrets(df).select(joined("_base").alias("b"), joined("_spans").alias("s")).collect()
+    assert time.time() - began < 10
+    want = digest(text)
+    assert got.s == want[4] and hashlib.sha256(got.b.encode()).hexdigest() == want[3]
+    began = time.time()
+    (out,) = redact_secrets(df).collect()
+    assert time.time() - began < 15
+    if kind == "matches":
+        assert out.text == f"{MARK} " * 16_000
+    if kind == "both":
+        assert out.text == f"é {MARK} x{MARK} ".replace(f"x{MARK}", MARK) * 6_000
+
+
 def test_query(spark, data_dir):
     docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: tuple(r)[1:] for r in op7_secrets(spark, data_dir).collect()}
