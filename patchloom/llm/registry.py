@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from .fingerprint import op2_lz_fingerprint
 from .language import op10_language
 from .mixing import op5_mixing
@@ -32,7 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_url_rules": op9_url_rules,
         "op10_language": op10_language,
-        "pipeline": corpus_pipeline.run,
     }
 
 
