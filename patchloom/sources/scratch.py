@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset (local runs)."""
+    """spark.checkpoint.dir; a temporary folder only where it is unset and all work is done on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-patchloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
