@@ -28,9 +28,13 @@ from .common import fold, rows, table
 
 #: At most so many labelled documents of either kind are fitted to.
 SAMPLE = 1500
-LANDMARKS, GAP_PRICE, SPAN = 64, 0.6, 4
+LANDMARKS, GAP_PRICE, SPAN = 128, 0.75, 5
+#: Variants of each word that bears the label, with one letter inserted or doubled, in training; the words that stand for clean text.
+VARIANTS, HARMLESS, HARDEST = 6, 12_000, 2000
+#: The weight of words that stand for a toxic document without being typical of toxic ones.
+DOUBTFUL = 0.002
 LONGEST = 24  # letters; longer words are read in overlapping windows
-ROUNDS, PENALTY = 3, 1e-3
+ROUNDS, PENALTY = 4, 1e-3
 FLOOR = -1.0  # the margin of words that are certainly not toxic
 CACHE = 1 << 19
 SYMBOLS = 64
@@ -159,8 +163,21 @@ def _runs(word: str) -> set[str]:
     return {s[k : k + 4] for k in range(max(1, len(s) - 3))}
 
 
-def _best(words: np.ndarray, value: np.ndarray, most: int = 3) -> list[int]:
-    """The word of the highest value, and up to two more if theirs are above zero."""
+def variants(word: str, most: int, rng: np.random.Generator) -> list[str]:
+    """Copies of a word with one letter more between its first and its last: any of a-z, or a letter twice."""
+    letters = [c for c in word if c.isalpha()]
+    if len(letters) < 4:
+        return []
+    out = []
+    for k in range(most):
+        at = int(rng.integers(1, len(letters)))
+        more = letters[at] if k % 3 == 2 else chr(97 + int(rng.integers(26)))
+        out.append("".join([*letters[:at], more, *letters[at:]]))
+    return out
+
+
+def _best(words: np.ndarray, value: np.ndarray, most: int = 8) -> list[int]:
+    """The word of the highest value, and up to seven more if theirs are above zero."""
     top = words[np.argsort(-value[words], kind="stable")[:most]]
     return [int(w) for k, w in enumerate(top) if k == 0 or value[w] > 0]
 
@@ -190,8 +207,11 @@ class ToxicityModel:
         return 0.5 * (1 + np.tanh(0.5 * (self.slope * margin + self.shift)))
 
 
-def fit(bags: list[tuple[int, list[str]]], seed: int = 11) -> ToxicityModel | None:
-    """Fits to (label, distinct words) of documents; None unless both labels are there."""
+def fit(bags: list[tuple[int, list[str]]], seed: int = 11, stands: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel | None:
+    """Fits to (label, distinct words) of documents; None unless both labels are there.
+
+    stands: how many labelled documents each clean and each toxic one given stands for, which the score is calibrated to.
+    """
     y = np.array([b[0] for b in bags])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -200,86 +220,112 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 11) -> ToxicityModel | No
         return None
     number = {w: k for k, w in enumerate(names)}
     own = [np.array([number[w] for w in ws], np.int32) for _, ws in bags]
-    clean, bears = np.zeros(len(names), bool), np.zeros(len(names), bool)
+    seen_clean, bears = np.zeros(len(names)), np.zeros(len(names), bool)
     for k, ws in enumerate(own):
-        (bears if y[k] == 1 else clean)[ws] = True
+        if y[k] == 1:
+            bears[ws] = True
+        else:
+            seen_clean[ws] += 1
+    clean = seen_clean > 0
     # first guess of the words that bear the label: what letter runs they have that clean documents lack
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for k, ws in enumerate(own):
         seen[int(y[k] == 1)].update({g for w in ws.tolist() for g in _runs(names[w])})
     n0, n1 = (y == 0).sum(), (y == 1).sum()
-    odds = {g: np.log((n + 0.5) / (seen[0][g] + 2.5) * n0 / n1) for g, n in seen[1].items()}
-    guess = np.full(len(names), -9.0, np.float32)
-    for k in np.flatnonzero(bears).tolist():
-        guess[k] = max(odds.get(g, -9.0) for g in _runs(names[k]))
-    guess[clean] -= 5
-    del seen, odds
+    evidence, usual, bar = {}, n1 / (n0 + n1), np.log(len(seen[1]) / 0.05) if seen[1] else 0.0
+    for g, n in seen[1].items():  # above zero: too often in toxic documents to be one of so many runs by chance
+        share = n / (n + seen[0][g])
+        odd = share * np.log(share / usual) + (1 - share) * np.log(max(1e-12, 1 - share) / (1 - usual))
+        evidence[g] = (n + seen[0][g]) * odd * (share > usual) - bar
+    guess = np.full(len(names), -99.0, np.float32)
+    for k in np.flatnonzero(bears & ~clean).tolist():
+        found = sorted((evidence[g] for g in _runs(names[k])), reverse=True)
+        guess[k] = found[(len(found) - 1) // 2]  # half of its runs are as typical
+    trust = np.clip(np.exp(np.minimum(0, guess)), DOUBTFUL, 1)
+    del seen, evidence
     toxic = [k for k in np.flatnonzero(y == 1) if len(own[k])]
     bearers = Counter(w for k in toxic for w in _best(own[k], guess))
     landmarks: list[str] = []
-    for w, _ in sorted(bearers.items(), key=lambda x: (-x[1], names[x[0]])):
-        if len(landmarks) >= LANDMARKS * 3 // 4:
+    rng = np.random.default_rng(seed)
+    for w, _ in sorted(bearers.items(), key=lambda x: (-x[1] * trust[x[0]], names[x[0]])):
+        if len(landmarks) >= LANDMARKS // 4:
             break
         if not landmarks or kernel([names[w]], landmarks).max() < 0.65:
             landmarks.append(names[w])
-    rng = np.random.default_rng(seed)
+    plain = list(landmarks)
+    for w in plain[: LANDMARKS // 8]:
+        landmarks += variants(w, 2, rng)
     harmless = np.flatnonzero(clean)
     near = np.zeros(len(harmless), np.float32)
     for lo in range(0, len(harmless), 4096) if landmarks else ():
-        near[lo : lo + 4096] = kernel([names[k] for k in harmless[lo : lo + 4096]], landmarks).max(1)
+        near[lo : lo + 4096] = kernel([names[k] for k in harmless[lo : lo + 4096]], plain).max(1)
     hard = harmless[np.argsort(-near, kind="stable")].tolist()
-    for k in [*hard[: LANDMARKS // 8], *rng.permutation(harmless)[: LANDMARKS // 8].tolist()]:
+    for k in [*hard[: LANDMARKS // 4], *rng.permutation(harmless)[: LANDMARKS // 4].tolist()]:
         if names[k] not in landmarks:
             landmarks.append(names[k])
     gram = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
+
+    def mapped(words: list[str]) -> np.ndarray:
+        return np.concatenate([(kernel(words[lo : lo + 4096], landmarks) @ whiten).astype(np.float32) for lo in range(0, max(1, len(words)), 4096)])
+
     # features of the words that may bear the label and of the hardest and some other clean ones
-    negative = np.array(sorted({*hard[:8000], *rng.permutation(harmless)[:8000].tolist()}), int)
+    negative = np.array(sorted({*hard[: HARMLESS // 2], *rng.permutation(harmless)[: HARMLESS // 2].tolist()}), int)
     used = np.union1d(np.flatnonzero(bears & ~clean), negative)
     place = np.full(len(names), -1, np.int64)
     place[used] = np.arange(len(used))
-    x = np.zeros((len(used), len(landmarks)), np.float32)
-    for lo in range(0, len(used), 4096):
-        x[lo : lo + 4096] = kernel([names[k] for k in used[lo : lo + 4096]], landmarks) @ whiten
-    chosen = guess
+    x = mapped([names[k] for k in used])
+    lk, lw = triples(coded(landmarks)[0][: len(landmarks)])
+    spread = np.where(lk > 0, lw, 0) / norms(lk, lw)[:, None]
+    chosen, tough = guess, np.zeros(0, int)
     for turn in range(ROUNDS):
-        positive = np.array([w for k in toxic for w in _best(own[k], chosen)], int)
-        positive = positive[~clean[positive]]
-        if not len(positive):
+        picked = Counter(w for k in toxic for w in _best(own[k], chosen) if not clean[w])
+        if not picked:
             return None
-        rows_ = place[np.concatenate((positive, negative))]
-        label = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        u, bias = fit_svm(x[rows_].astype(np.float64), label, np.concatenate((np.full(len(positive), 0.5 / len(positive)), np.full(len(negative), 0.5 / max(1, len(negative))))))
+        positive = np.array(sorted(picked), int)
+        held = np.array([picked[w] * trust[w] for w in positive.tolist()])
+        bent = [(v, h) for w, h in zip(positive.tolist(), held.tolist(), strict=True) if trust[w] > 5 * DOUBTFUL for v in variants(names[w], VARIANTS, rng) if v not in number]
+        values_ = [held / held.sum(), np.array([h for _, h in bent]) / max(1e-9, sum(h for _, h in bent))] if bent else [held / held.sum()]
+        features = [x[place[positive]], mapped([v for v, _ in bent])] if bent else [x[place[positive]]]
+        rows_ = np.concatenate([*features, x[place[negative]]]).astype(np.float64)
+        label = np.concatenate((np.ones(len(rows_) - len(negative)), -np.ones(len(negative))))
+        mass = np.ones(len(negative)) / max(1, len(negative))
+        if len(tough):  # half of it by the clean documents that would be taken for toxic
+            mass = 0.5 * mass + 0.5 * np.where(np.isin(negative, tough), seen_clean[negative], 0) / seen_clean[tough].sum()
+        u, bias = fit_svm(rows_, label, np.concatenate((*(0.5 * v / len(values_) for v in values_), 0.5 * mass)))
+        weights = np.zeros(SYMBOLS**3)
+        np.add.at(weights, lk, spread * (whiten @ u)[:, None])
+        weights[0] = 0
+        model = ToxicityModel(weights, bias, 1.0, 0.0, landmarks)
         chosen = np.full(len(names), -9.0, np.float32)
         chosen[used] = x @ u + bias
-        if turn == 0:  # clean words that the machine takes for toxic
-            value = np.concatenate([kernel([names[k] for k in harmless[lo : lo + 4096]], landmarks) @ (whiten @ u) for lo in range(0, len(harmless), 4096)])
-            more = np.setdiff1d(harmless[np.argsort(-value, kind="stable")[:2000]], negative)
+        if turn < ROUNDS - 1:  # clean words that the machine takes for toxic
+            value = model.words([names[k] for k in harmless])
+            tough = np.union1d(tough, harmless[np.argsort(-value, kind="stable")[:HARDEST]])
+            more = np.setdiff1d(tough, negative)
             place[more] = np.arange(len(used), len(used) + len(more))
             used, negative = np.concatenate((used, more)), np.concatenate((negative, more))
-            x = np.concatenate((x, (kernel([names[k] for k in more], landmarks) @ whiten).astype(np.float32)))
-    beta = whiten @ u
-    keys, w = triples(coded(landmarks)[0][: len(landmarks)])
-    weights = np.zeros(SYMBOLS**3)
-    np.add.at(weights, keys, np.where(keys > 0, w, 0) / norms(keys, w)[:, None] * beta[:, None])
-    weights[0] = 0
-    model = ToxicityModel(weights, bias, 1.0, 0.0, landmarks)
+            x = np.concatenate((x, mapped([names[k] for k in more]))) if len(more) else x
     each = model.words(names)
     margin = np.array([each[ws].max() if len(ws) else FLOOR for ws in own])
-    _platt(model, margin, y)
+    spare = [v for v, _ in bent]
+    more = model.words([spare[k] for k in rng.permutation(len(spare))[: len(toxic)].tolist()])
+    counts = np.concatenate((np.where(y == 1, stands[1], stands[0]), np.full(len(more), stands[1])))
+    _platt(model, np.concatenate((margin, more)), np.concatenate((y, np.ones(len(more)))), counts)
     return model
 
 
-def _platt(model: ToxicityModel, g: np.ndarray, y: np.ndarray) -> None:
+def _platt(model: ToxicityModel, g: np.ndarray, y: np.ndarray, counts: np.ndarray) -> None:
     """Fits slope and shift of the score to the documents' margins, with Platt's smoothed targets."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    counts = counts * len(y) / counts.sum()
+    n1, n0 = counts[y == 1].sum(), counts[y == 0].sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 2.0, 0.0
     for _ in range(60):
         q = 0.5 * (1 + np.tanh(0.5 * (a * g + b)))
-        w = q * (1 - q) + 1e-9
-        grad = np.array([((q - t) * g).sum() + 1e-2 * (a - 2), (q - t).sum()])
+        w, e = counts * q * (1 - q) + 1e-9, counts * (q - t)
+        grad = np.array([(e * g).sum() + 1e-2 * (a - 2), e.sum()])
         h = np.array([[(w * g * g).sum() + 1e-2, (w * g).sum()], [(w * g).sum(), w.sum() + 1e-6]])
         da, db = np.clip(np.linalg.solve(h, grad), -1, 1)
         a, b = max(1e-2, a - da), b - db
@@ -294,6 +340,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     ids = docs.select(F.col(id_col).cast("long").alias("id")).distinct().join(marks, "id")
+    totals = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     drawn = [ids.where(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample) for k in (0, 1)]
     chosen = {r.id: r.y for d in drawn for r in d.collect()}  # at most 2 * sample ids
     if not chosen:
@@ -311,7 +358,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     names: dict[str, str] = {}  # one copy of each word
     bags = [(r.y, [names.setdefault(w, w) for w in r.words if any(c.isalpha() for c in w)]) for r in got]
     del got
-    return fit(bags, seed)
+    return fit(bags, seed, tuple(max(1.0, totals.get(k, 0) / sample) for k in (0, 1)))
 
 
 def worst_sentence(text: str, words: Iterable[str]) -> str | None:

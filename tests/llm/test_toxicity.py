@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from patchloom.llm.toxicity import FLOOR, GAP_PRICE, SPAN, fit, kernel, op6_toxicity, score_toxicity, train_toxicity, units
+from patchloom.llm.toxicity import FLOOR, GAP_PRICE, LONGEST, SPAN, fit, kernel, op6_toxicity, score_toxicity, sentences, train_toxicity, units
 
 SCHEMA = "doc_id long, text string, score string, predicted string, toxic long"
 
@@ -54,6 +54,33 @@ def test_learns_inserted_and_separated_characters(spark):
     got = {r.doc_id: r for r in score_toxicity(probe, model, with_sentence=True).collect()}
     assert [int(got[k].score >= 0.5) for k in range(len(tests))] == list(tests.values())
     assert got[0].sentence is not None and got[4].sentence is None
+    insults = ["grumpox", "wuzzle", "blarf"]
+    score = lambda words: model.score(model.words(words))
+    assert (score(insults) >= 0.5).all()
+    assert (score([w[:k] + w[k] + w[k:] for w in insults for k in range(len(w))]) >= 0.5).all()
+    assert (score([w[:k] + c + w[k:] for w in insults for k in range(1, len(w)) for c in "aeqsxz"]) >= 0.5).mean() > 0.9
+    assert (score(["stedthe", "inander", "onthed", "ererst", "anthinon"]) < 0.5).all()
+
+
+def slow_score(model, text):
+    """The score of a text by the explicit kernel feature map of each of its words."""
+    best = FLOOR
+    for w in set().union(*(units(s) for s in sentences(text or ""))):
+        letters = "".join(c for c in w if c.isalpha())
+        pieces = [letters] if len(letters) <= LONGEST else None
+        if pieces is None:
+            best = max(best, float(model.words([w])[0]))
+            continue
+        codes = [27, *(1 + ord(c) - 97 if "a" <= c <= "z" else 29 + ord(c) % 35 for c in letters), 28]
+        phi = {}
+        for i, j, k in itertools.combinations(range(len(codes)), 3):
+            if k - i <= SPAN:
+                t = (codes[i] * 64 + codes[j]) * 64 + codes[k]
+                phi[t] = phi.get(t, 0) + GAP_PRICE ** (k - i - 2)
+        norm = max(1e-6, sum(v * v for v in phi.values())) ** 0.5
+        if letters:
+            best = max(best, model.bias + sum(v * model.table[t] for t, v in phi.items()) / norm)
+    return float(model.score(np.array([best]))[0])
 
 
 def test_query(spark, data_dir):
@@ -64,6 +91,31 @@ def test_query(spark, data_dir):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data_dir}/labels.parquet").collect()}
     clean = [r.predicted for r in got if r.held_out and truth.get(r.doc_id) == 0]
     assert np.mean(clean) <= 0.1
+    docs, labels = (spark.read.parquet(f"{data_dir}/{t}.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0") for t in ("documents", "labels"))
+    model = train_toxicity(docs, labels)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    for r in got[::5]:
+        if len(texts[r.doc_id] or "") < 5000:
+            assert r.score == pytest.approx(slow_score(model, texts[r.doc_id]), abs=1e-6)
+
+
+def test_held_out_recall_and_letters_inserted(spark):
+    """On a larger table: the toxic documents that hold an insult learnt, plain insults and those with a letter more."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    rest = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
+    model = train_toxicity(docs.where(rest), labels.where(rest))
+    insults = ["idiot", "stupid", "moron", "loser", "clown", "scum", "trash", "worthless", "pathetic"]
+    score = lambda words: model.score(model.words(words))
+    assert (score(insults) >= 0.5).all()
+    assert (score([w[:k] + w[k] + w[k:] for w in insults for k in range(len(w))]) >= 0.5).all()
+    assert (score([w[:k] + c + w[k:] for w in insults for k in range(1, len(w)) for c in "aeqsxz"]) >= 0.5).mean() > 0.9
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = score_toxicity(docs, model, keep=("text",)).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    insulting = [r.score >= 0.5 for r in held if truth.get(r.doc_id) == 1 and any(w in r.text for w in insults)]
+    assert insulting and np.mean(insulting) >= 0.95
+    assert np.mean([r.score >= 0.5 for r in held if truth.get(r.doc_id) == 0]) <= 0.01
 
 
 def test_edges(spark):
