@@ -14,15 +14,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, mix, rows, table
+from .common import fold, mix, rows, stored, table
 
-#: An n-gram belongs to a language if it makes up this share of the language's n-grams and this part
-#: of its highest share in any language; so a language has at most 1 / MIN_SHARE n-grams.
-MIN_SHARE, MIN_RATIO = 2e-5, 0.1
-HASHES, BITS_PER_GRAM = 4, 16
+#: An n-gram is a language's if it has at least this part of its highest share in any language: training texts
+#: quote other languages, and without the bound each language would soon hold the n-grams of all (see README).
+MIN_RATIO = 0.1
+#: Slots are as many as the language with most n-grams asks for, but 2 to these powers at least and at most; a
+#: fuller filter has more false positives, which are measured and corrected for.
+HASHES, BITS_PER_GRAM, LEAST_SLOTS, MOST_SLOTS, PARTS = 4, 16, 10, 22, 64
 UNKNOWN = "und"
 CHUNK_CHARS = 1 << 20
 _SALTS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -94,15 +96,8 @@ class LanguageFilter:
     rates: np.ndarray
 
     @classmethod
-    def of(cls, members: dict[str, np.ndarray]) -> LanguageFilter:
-        """From each language's n-grams. The common language, which unknown text gets, is first."""
-        langs = list(members)
-        most = max((len(g) for g in members.values()), default=1)
-        slots = 1 << max(10, int(np.ceil(np.log2(max(1, most) * BITS_PER_GRAM))))
-        masks = np.zeros((slots, -(-len(langs) // 64) or 1), np.uint64)
-        for k, lang in enumerate(langs):
-            for salt in _SALTS:
-                masks[cls._slots(members[lang], salt, slots), k // 64] |= np.uint64(1 << k % 64)
+    def of(cls, langs: list[str], masks: np.ndarray) -> LanguageFilter:
+        """The common language, which unknown text gets, is first."""
         filled = np.array([((masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(langs))])
         return cls(langs, masks, filled**HASHES)
 
@@ -128,23 +123,51 @@ class LanguageFilter:
         return total, np.maximum(0, (held - total[:, None] * self.rates) / np.maximum(1e-9, 1 - self.rates))
 
 
+def slots_for(most: int) -> int:
+    return 1 << min(MOST_SLOTS, max(LEAST_SLOTS, int(np.ceil(np.log2(max(1, most) * BITS_PER_GRAM)))))
+
+
+def bit_sliced(members: DataFrame, langs: int, slots: int) -> np.ndarray:
+    """The masks from (number of a language, n-gram): tasks merge the bits of each slot, the driver gets the filter alone."""
+    schema = pa.schema([("slot", pa.int64()), ("number", pa.int32())])
+    width = slots // PARTS
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, g = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield rows(schema, np.concatenate([LanguageFilter._slots(g, salt, slots) for salt in _SALTS]), np.tile(number, HASHES))
+
+    def merged(t):
+        masks = np.zeros((width, -(-langs // 64)), np.uint64)
+        slot, number = t.column("slot").to_numpy() % width, t.column("number").to_numpy()
+        np.bitwise_or.at(masks, (slot, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
+        return pa.table({"part": t.column("part")[:1], "masks": pa.array([masks.tobytes()], pa.binary())})
+
+    bits = members.select("number", "gram").mapInArrow(placed, "slot long, number int").distinct()
+    out = np.zeros((PARTS, width, -(-langs // 64)), np.uint64)
+    for r in bits.withColumn("part", F.expr(f"cast(slot div {width} as int)")).groupBy("part").applyInArrow(merged, "part int, masks binary").collect():
+        out[r.part] = np.frombuffer(r.masks, np.uint64).reshape(width, -1)
+    return out.reshape(slots, -1)
+
+
 def learn(labelled: DataFrame) -> LanguageFilter | None:
-    """The filter from (text, lang); rows without a language don't count. None without any n-gram."""
-    counts = gram_counts(labelled.where("lang is not null"))
-    counts = counts.persist()
-    try:
-        totals = {r.lang: r.total for r in counts.groupBy("lang").agg(F.sum("held").alias("total")).collect()}
-        if not totals:
-            return None
-        share = F.coalesce(*[F.when(F.col("lang") == k, F.col("held") / float(n)) for k, n in totals.items()])
-        kept = counts.withColumn("share", share).where(F.col("share") >= MIN_SHARE).select("lang", "gram", "share").collect()  # at most 1 / MIN_SHARE a language
-    finally:
-        counts.unpersist()
-    highest: dict[int, float] = {}
-    for r in kept:
-        highest[r.gram] = max(highest.get(r.gram, 0.0), r.share)
-    members = {lang: np.array([r.gram for r in kept if r.lang == lang and r.share >= MIN_RATIO * highest[r.gram]], np.int64) for lang in sorted(totals, key=lambda k: (-totals[k], k))}
-    return LanguageFilter.of(members)
+    """The filter from (text, lang); rows without a language don't count. None without any n-gram.
+
+    The list of languages must fit the driver, and the filter (2^22 slots of 8 bytes for each 64
+    languages at most); n-grams never reach it.
+    """
+    counts = stored(gram_counts(labelled.where("lang is not null")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("held").alias("total")).collect()
+    if not totals:
+        return None
+    langs = [r.lang for r in sorted(totals, key=lambda r: (-r.total, r.lang))]
+    total = {r.lang: r.total for r in totals}
+    plan = labelled.sparkSession.createDataFrame([(k, lang, total[lang]) for k, lang in enumerate(langs)], "number int, lang string, total long")
+    share = counts.join(plan, "lang").withColumn("share", F.col("held") / F.col("total"))
+    members = share.withColumn("highest", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= MIN_RATIO * F.col("highest"))
+    members = stored(members.select("number", "gram"), "members")
+    most = members.groupBy("number").count().agg(F.max("count")).first()[0]
+    return LanguageFilter.of(langs, bit_sliced(members, len(langs), slots_for(most)))
 
 
 def identify_languages(docs: DataFrame, model: LanguageFilter | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -154,7 +177,7 @@ def identify_languages(docs: DataFrame, model: LanguageFilter | None, id_col: st
     with letters but no known n-gram gets the commonest language with score 0. Ties go to the
     commoner language. Rows are judged one by one, repeated ones too.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by 1 / MIN_SHARE n-grams a language
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # 2^MOST_SLOTS slots at most
     own = [f for f in docs.select(id_col, *keep).schema]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
 

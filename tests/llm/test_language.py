@@ -1,8 +1,9 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
-from patchloom.llm.language import LanguageFilter, grams, identify_languages, learn, op10_language
+from patchloom.llm.language import MIN_RATIO, LanguageFilter, bit_sliced, grams, identify_languages, learn, op10_language, slots_for
 
 SCHEMA = "doc_id long, text string, lang string, score string, lang_pred int"
 
@@ -17,11 +18,41 @@ def test_held_out_accuracy(spark, data_dir):
     assert np.mean([r.lang_pred == truth[r.doc_id][1] for r in long]) > 0.95
 
 
-def test_filter_holds_its_grams_and_rates_are_right():
+def test_query_against_exact_sets(spark, data_dir):
+    """Languages by exact sets of n-grams; a filter may only differ where two languages are near each other."""
+    docs = [(r.doc_id, r.text or "", r.lang) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
+    train = [(t, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None]
+    counts: dict = {}
+    for t, lang in train:
+        counts.setdefault(lang, Counter()).update(grams([t])[0].tolist())
+    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    highest = Counter()
+    for own in share.values():
+        for g, x in own.items():
+            highest[g] = max(highest[g], x)
+    sets = {lang: {g for g, x in own.items() if x >= MIN_RATIO * highest[g]} for lang, own in share.items()}
+    got = {r.doc_id: r for r in op10_language(spark, data_dir).collect()}
+    for i, t, _ in docs:
+        g = grams([t])[0].tolist()
+        if not g:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        held = {lang: sum(x in own for x in g) / len(g) for lang, own in sets.items()}
+        assert held[got[i].lang_pred] >= max(held.values()) - 0.02
+        assert abs(got[i].score - held[got[i].lang_pred]) < 0.02
+
+
+def test_ties_go_to_the_commoner_language(spark):
+    df = spark.createDataFrame([(1, "abc abc abc", "xx", "s", 1), (2, "abc", "yy", "s", 1), (3, "abc", None, "s", 1)], SCHEMA)
+    assert {r.lang_pred for r in identify_languages(df, learn(df)).collect()} == {"xx"}
+
+
+def test_filter_holds_its_grams_and_rates_are_right(spark):
     rng = np.random.default_rng(1)
-    members = {f"l{k}": rng.integers(1, 1 << 60, 3000) for k in range(70)}
-    f = LanguageFilter.of(members)
-    for k, g in enumerate(members.values()):
+    members = [rng.integers(1, 1 << 60, 3000) for k in range(70)]
+    df = spark.createDataFrame([(k, g) for k, own in enumerate(members) for g in own.tolist()], "number int, gram long").repartition(3)
+    f = LanguageFilter.of([f"l{k}" for k in range(70)], bit_sliced(df, 70, slots_for(3000)))
+    for k, g in enumerate(members):
         assert (f.containing(g)[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).all()
     false = f.containing(rng.integers(1, 1 << 60, 200_000))[:, 0] & np.uint64(1)
     assert abs(false.mean() - f.rates[0]) < 2e-3
