@@ -20,7 +20,7 @@ from .common import rows, stored, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
-#: Slots that every source gets beyond its need: more than the points' discrepancy.
+#: Slots that every source gets beyond its need at first; where the points give a source fewer than it needs, twice as many.
 SPARE_SLOTS = 8
 SLOTS_PER_CHUNK = 1 << 16
 ROWS_PER_BUCKET = 1 << 11
@@ -87,7 +87,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     key = F.col(row) if row else F.monotonically_increasing_id()
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select(key.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size")), "sizes")
+    sized = stored(docs.select(key.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), F.xxhash64(text_col).alias("text_hash")), "sizes")
     held = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     held.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r["size"] for r in held], [weights[i % len(weights)] for i in range(len(held))])
@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # places in the shuffled stream: buckets by hash, then prefix sums over buckets and in them
     buckets = max(1, -(-sum(r.n for r in held) // ROWS_PER_BUCKET))
-    shuffle = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
+    shuffle = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"), F.col("text_hash"))
     placed = known.withColumns({"hash": shuffle, "bucket": F.pmod(shuffle, F.lit(buckets))})
     sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     earlier = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -112,12 +112,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     given = given.select("source_no", "block", "row", "cycle", F.expr(f"greatest(lo, block * {block_words}) - lo").alias("first_word"), F.expr(f"least(hi, (block + 1) * {block_words}) - greatest(lo, block * {block_words})").alias("words"))
 
     need = [-(-q // block_words) for q in quotas]
-    shares = np.array([n + SPARE_SLOTS if n else 0 for n in need], float)
-    slots = int(shares.sum())
-    if slots:
-        bounds = np.cumsum(shares) / shares.sum()
+    spare = SPARE_SLOTS
+    while any(need):
+        shares = np.array([n + spare if n else 0 for n in need], float)
+        slots, bounds = int(shares.sum()), np.cumsum(shares) / shares.sum()
         chunks = spark.range(-(-slots // SLOTS_PER_CHUNK))
-        counts = chunks.mapInArrow(lambda b: points(b, bounds, slots, True), "chunk long, source_no int, held long")
+        counts = stored(chunks.mapInArrow(lambda b, bounds=bounds, slots=slots: points(b, bounds, slots, True), "chunk long, source_no int, held long"), "slots")
+        drawn = {r.source_no: r.n for r in counts.groupBy("source_no").agg(F.sum("held").alias("n")).collect()}  # a row for each source
+        if all(drawn.get(i, 0) >= n for i, n in enumerate(need)):
+            break
+        spare *= 2
+    if any(need):
         counts = counts.select("chunk", "source_no", F.coalesce(F.sum("held").over(earlier("chunk").partitionBy("source_no")), F.lit(0)).alias("before"))
         drawn = chunks.mapInArrow(lambda b: points(b, bounds, slots, False), "chunk long, source_no int, slot long, rank long")
         # merge: Spark takes these tables for small, but they grow with the words
