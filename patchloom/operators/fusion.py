@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from patchloom.operators.sampling import categorical_draw, donor_draw, implicate
 from patchloom.sources.scratch import stored
 
 RESERVED = ("M",)
+#: Equal-count cuts of a target for the forests' quantiles, and leaves that a forest may have.
+CUTS, MOST_LEAVES = 512, 1 << 15
 
 
 def kind_of(df: DataFrame, column: str) -> str:
@@ -63,7 +65,7 @@ class Step:
 
 
 def _features(df: DataFrame, predictors: Sequence[str]) -> PipelineModel:
-    """Assembles predictors: strings by index (unseen ones apart), booleans and numbers as they are; nulls are -1 beyond the data by a flag."""
+    """Assembles predictors: strings by index (unseen ones apart), booleans and numbers as they are; nulls are 0 with a flag."""
     texts = [p for p in predictors if kind_of(df, p) == "category"]
     stages = [StringIndexer(inputCol=p, outputCol=f"_i_{p}", handleInvalid="keep", stringOrderType="alphabetAsc") for p in texts]
     inputs = [f"_i_{p}" if p in texts else f"_n_{p}" for p in predictors] + [f"_m_{p}" for p in predictors if p not in texts]
@@ -80,22 +82,45 @@ def _featured(df: DataFrame, step: Step) -> DataFrame:
     return out.select(*df.columns, "_x")
 
 
+def _interval(column: str, cuts: Sequence[float]) -> Column:
+    """The number of cuts below the value, by halves."""
+    if not cuts:
+        return F.lit(0)
+    k = len(cuts) // 2
+    return F.when(F.col(column) <= cuts[k], _interval(column, cuts[:k])).otherwise(k + 1 + _interval(column, cuts[k + 1 :]))
+
+
 class QuantileForest:
-    """Quantiles by regression forest: each tree's leaf has the quantile of its donors, and trees are averaged."""
+    """Quantiles by regression forest: each tree's leaf has the weighted quantile of its donors, and trees are averaged."""
 
     def __init__(self, forest, leaves: DataFrame) -> None:
         self.forest, self.leaves = forest, leaves
 
     @classmethod
-    def fit(cls, df: DataFrame, label: str, quantiles: Sequence[float], trees: int, depth: int, bins: int, seed: int) -> QuantileForest:
-        forest = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, leafCol="_leaf").fit(df)
-        own = forest.transform(df).select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"), F.col(label).alias("v"))
-        return cls(forest, stored(own.groupBy("tree", "leaf").agg(F.percentile_approx("v", list(quantiles)).alias("q")), "leaves"))
-
-    def transform(self, df: DataFrame, id_cols: Sequence[str], names: Sequence[str]) -> DataFrame:
-        at = self.forest.transform(df).select(*id_cols, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-        means = at.join(self.leaves, ["tree", "leaf"]).groupBy(*id_cols).agg(*[F.avg(F.col("q")[k]).alias(n) for k, n in enumerate(names)])
-        return df.join(means, list(id_cols))
+    def fit(cls, df: DataFrame, label: str, quantiles: Sequence[float], trees: int, depth: int, bins: int, seed: int, weight: str = "_w") -> QuantileForest:
+        """Weights of donors at equal-count cuts of the label are summed by leaf; a leaf's quantile is the largest value of the cut where it is reached."""
+        if trees << depth > MOST_LEAVES:
+            raise ValueError(f"trees * 2^depth must not pass {MOST_LEAVES}")
+        forest = RandomForestRegressor(featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, leafCol="_leaf").fit(df)
+        cuts = sorted(set(df.approxQuantile(label, [k / CUTS for k in range(1, CUTS)], 0.2 / CUTS)))
+        own = forest.transform(df).select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"), F.col(label).alias("v"), F.col(weight).alias("w"))
+        held = own.groupBy("tree", "leaf", _interval("v", cuts).alias("cut")).agg(F.sum("w").alias("w"), F.max("v").alias("v"))  # trees x leaves x CUTS rows at most
+        leaf = Window.partitionBy("tree", "leaf")
+        reached = held.withColumns({"upto": F.sum("w").over(leaf.orderBy("cut")), "all": F.sum("w").over(leaf)})
+        found = F.array(*[F.min(F.when(F.col("upto") >= q * F.col("all") * (1 - 1e-12), F.col("v"))) for q in quantiles])
+        return cls(forest, stored(reached.groupBy("tree", "leaf").agg(found.alias("q")), "leaves"))
+
+    def transform(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Adds the quantiles by look-up in the leaves' table, which the trees' depth bounds and each row carries as a literal."""
+        rows = self.leaves.collect()
+        table = [[None] * (1 + max(int(r.leaf) for r in rows if r.tree == t)) for t in range(1 + max(r.tree for r in rows))]
+        for r in rows:
+            table[r.tree][int(r.leaf)] = r.q
+        known = F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>")
+        found = F.transform(vector_to_array("_leaf"), lambda leaf, tree: known[tree][leaf.cast("int")])
+        held = self.forest.transform(df).withColumn("_found", found)
+        mean = lambda k: F.aggregate("_found", F.lit(0.0), lambda a, q: a + q[k]) / F.size("_found")
+        return held.select(*df.columns, *[mean(k).alias(n) for k, n in enumerate(names)])
 
 
 @dataclass
@@ -227,7 +252,7 @@ class DonorFusion:
         for t in step.targets:
             boost, forest = step.models[t]
             data = boost.transform(data).withColumnRenamed("prediction", f"_e0_{t}")
-            data = forest.transform(data, ids, [f"_e1_{t}", f"_e2_{t}"])
+            data = forest.transform(data, [f"_e1_{t}", f"_e2_{t}"])
         return data
 
     def scale(self, step: Step, data: DataFrame) -> DataFrame:

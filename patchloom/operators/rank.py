@@ -4,30 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.sources.scratch import stored
+
 PARTS = 64
 
 
-def _dealt(df: DataFrame, column: str) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """Adds _part, the range of values a row is in (equal values together), and gives (part, rows, distinct values) in order."""
-    cuts = sorted(set(df.where(F.col(column).isNotNull()).approxQuantile(column, [k / PARTS for k in range(1, PARTS)], 0.005)))
-    part = F.lit(0)
-    for k, c in enumerate(cuts):
-        part = F.when(F.col(column) > c, F.lit(k + 1)).otherwise(part)
-    held = df.withColumn("_part", F.when(F.col(column).isNotNull(), part))
-    sizes = held.where("_part is not null").groupBy("_part").agg(F.count("*").alias("n"), F.count_distinct(column).alias("d")).orderBy("_part").collect()
-    return held, [tuple(r) for r in sizes]
+def _dealt(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, Column], dict[str, list[tuple[int, int, int]]]]:
+    """For each column the range of values that a row is in (equal values together), and (range, rows, distinct values) in order.
+
+    All columns' cuts come from one pass and all ranges' sizes from another.
+    """
+    cuts = [sorted(set(c)) for c in df.approxQuantile(list(columns), [k / PARTS for k in range(1, PARTS)], 0.005)]
+    parts = {}
+    for c, own in zip(columns, cuts, strict=True):
+        part = F.lit(0)
+        for k, cut in enumerate(own):
+            part = F.when(F.col(c) > cut, F.lit(k + 1)).otherwise(part)
+        parts[c] = F.when(F.col(c).isNotNull(), part)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), parts[c].alias("part"), F.col(c).cast("double").alias("value")) for c in columns]))
+    held = df.select(cells.alias("_c")).select("_c.*").where("part is not null").groupBy("column", "part", "value").agg(F.count("*").alias("n"))
+    sizes: dict[str, list] = {c: [] for c in columns}
+    for r in held.groupBy("column", "part").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy("column", "part").collect():  # PARTS rows a column
+        sizes[r.column].append((r.part, r.n, r.d))
+    return parts, sizes
 
 
 def ranked(df: DataFrame, column: str, dense: str | None = None, average: str | None = None) -> DataFrame:
     """Adds the dense rank and/or the average rank of a numeric column over the whole table; nulls have none."""
-    held, sizes = _dealt(df, column)
+    parts, sizes = _dealt(df, [column])
+    return _ranked(df, column, parts[column], sizes[column], dense, average)
+
+
+def _ranked(df: DataFrame, column: str, part: Column, sizes: list[tuple[int, int, int]], dense: str | None, average: str | None) -> DataFrame:
+    held = df.withColumn("_part", part)
     order = Window.partitionBy("_part").orderBy(column)
     before_rows, before_values, n, d = F.lit(0), F.lit(0), 0, 0
-    for part, rows, values in sizes:
-        before_rows, before_values = F.when(F.col("_part") == part, n).otherwise(before_rows), F.when(F.col("_part") == part, d).otherwise(before_values)
+    for k, rows, values in sizes:
+        before_rows, before_values = F.when(F.col("_part") == k, n).otherwise(before_rows), F.when(F.col("_part") == k, d).otherwise(before_values)
         n, d = n + rows, d + values
     some = F.col("_part").isNotNull()
     new = {}
@@ -41,8 +57,11 @@ def ranked(df: DataFrame, column: str, dense: str | None = None, average: str |
 
 def spearman(df: DataFrame, ys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     """(y, x, r): rank correlations of every target with every predictor, from one aggregation over the ranks."""
-    for c in dict.fromkeys([*ys, *xs]):
-        df = ranked(df, c, average=f"_r_{c}")
+    columns = list(dict.fromkeys([*ys, *xs]))
+    df = stored(df.select(*columns), "ranked")
+    parts, sizes = _dealt(df, columns)
+    for c in columns:
+        df = _ranked(df, c, parts[c], sizes[c], None, f"_r_{c}")
     pairs = [(y, x) for y in ys for x in xs]
     row = df.agg(*[F.corr(f"_r_{y}", f"_r_{x}").alias(f"_{k}") for k, (y, x) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.col(f"_{k}").alias("r")) for k, (y, x) in enumerate(pairs)])).alias("_p")).select("_p.*")

@@ -401,9 +401,13 @@ def weighted_variance_by(s: SparkSession, d: str) -> DataFrame:
     return parts.select("segment", F.round(mean, 6).alias("mean"), F.round(var, 8).alias("variance"))
 
 
-@query()
+_AT = lambda k: f"round(totalprice / pow(10.0, floor(log10(abs(totalprice))) - {k - 1})) * pow(10.0, floor(log10(abs(totalprice))) - {k - 1})"
+_FEWEST = ", ".join(f"CASE WHEN totalprice <> 0 AND abs({_AT(k)} - totalprice) <= 0.001 * abs(totalprice) THEN {_AT(k)} END" for k in range(1, 15))
+
+
+@query(f"WITH {MICRO} SELECT rid, round(coalesce({_FEWEST}, totalprice), 4) AS price FROM micro")
 def signif_digits(s: SparkSession, d: str) -> DataFrame:
-    return micro(s, d).select("rid", signif_within(F.col("totalprice"), 0.001).alias("price"))
+    return micro(s, d).select("rid", F.round(signif_within(F.col("totalprice"), 0.001), 4).alias("price"))
 
 
 @query(f"WITH {MICRO} SELECT segment, quantile_disc(qty, 0.25) AS q25, quantile_disc(qty, 0.5) AS q50, quantile_disc(qty, 0.9) AS q90 FROM micro GROUP BY 1")
