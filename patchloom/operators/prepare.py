@@ -1,20 +1,39 @@
-"""Order of fusion and predictors for each target, from one pass over the donors."""
+"""Order of fusion and predictors for each target, from small matrices gathered over the donors."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.operators.encode import lump_levels
+from patchloom.operators.fusion import kind_of, zero_inflated
 from patchloom.operators.rank import screened, spearman
+from patchloom.sources.scratch import stored
 
+#: Values of a category beyond which the lighter ones are lumped, and predictors that a target gets at least.
+LEVELS, AT_LEAST = 5, 20
 
-def lasso_path(r: np.ndarray, c: np.ndarray, steps: int = 30) -> list[tuple[np.ndarray, float]]:
-    """(coefficients, r squared) along falling penalties, by coordinate descent on a correlation matrix."""
+
+@dataclass
+class Coded:
+    """A numeric column of the coded table: a number, a flag of a category's value, or a flag of non-zero values (suffix _zero)."""
+
+    name: str
+    origin: str
+    value: Column
+    flag: bool
+
+
+def lasso_path(r: np.ndarray, c: np.ndarray, most: int = 100, steps: int = 30) -> tuple[list[tuple[np.ndarray, float]], bool]:
+    """([(coefficients, r squared)], whole) along falling penalties, by coordinate descent on a correlation matrix.
+
+    The path ends, and isn't whole, before more than `most` predictors are used.
+    """
     top = np.abs(c).max() if len(c) else 0.0
     b, out = np.zeros(len(c)), []
     for lam in top * np.logspace(0, -3, steps):
@@ -25,42 +44,155 @@ def lasso_path(r: np.ndarray, c: np.ndarray, steps: int = 30) -> list[tuple[np.n
                 b[j] = np.sign(z) * max(0.0, abs(z) - lam)
             if np.abs(b - old).max(initial=0) < 1e-6:
                 break
+        if np.count_nonzero(b) > most:
+            return out, False
         out.append((b.copy(), float(2 * c @ b - b @ r @ b)))
+    return out, True
+
+
+def coded(df: DataFrame, columns: Sequence[str], inflated: Sequence[str] = ()) -> list[Coded]:
+    """The numeric columns that stand for `columns`: one for numbers and booleans, one for each value of a category after lumping."""
+    out = []
+    for c in columns:
+        if kind_of(df, c) == "category":
+            lumped = lump_levels(df.select(c), c, LEVELS)
+            levels = sorted(r[0] for r in lumped.where(F.col(c).isNotNull()).distinct().limit(LEVELS).collect())
+            rest = [v for v in levels if v != "_Other_"]
+            for v in levels:
+                there = F.col(c) == v if v in rest or len(levels) < LEVELS else F.col(c).isNull() | ~F.col(c).isin(rest)
+                out.append(Coded(f"{c}..{v}", c, F.coalesce(there.cast("double"), F.lit(0.0)), True))
+        else:
+            out.append(Coded(c, c, F.col(c).cast("double"), kind_of(df, c) == "binary"))
+            if c in inflated:
+                out.append(Coded(f"{c}_zero", c, (F.col(c) != 0).cast("double"), True))
     return out
 
 
-def prepare(df: DataFrame, y: Sequence, x: Sequence[str], cor_thresh: float = 0.05, lasso_thresh: float = 0.95) -> tuple[list, dict[str, list[str]]]:
-    """(order of targets, predictors by target): screens by rank correlation, then adds the target best explained by x and the targets before it.
+def correlations(df: DataFrame, columns: Sequence[str], weight: str, only: Sequence[str] = ()) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(weighted means, {name: weighted correlation matrix}): over all rows under "", and over the rows where a column of `only` isn't 0 under its name.
 
-    Columns are numeric. One pass gives the ranks' and one the values' correlation matrix; the greedy
-    search needs only those small matrices.
+    One pass: each task sums the products of its rows, so what is gathered grows with the square of the columns alone.
+    """
+    first = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(columns)]).collect()[0]
+    p, kept = len(columns), ["", *only]
+    center = np.array([first[f"m{k}"] or 0.0 for k in range(p)])
+    scale = np.array([first[f"s{k}"] or 1.0 for k in range(p)])
+    masks = [list(columns).index(c) for c in only]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(kept), p + 1, p + 1))
+        for b in batches:
+            x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p + 1)]).astype(float)
+            w, z = x[:, p], np.column_stack([np.ones(len(x)), (x[:, :p] - center) / scale])
+            for k in range(len(kept)):
+                own = w if k == 0 else w * (x[:, masks[k - 1]] != 0)
+                sums[k] += z.T @ (z * own[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(kept)), pa.int32()), pa.array([s.ravel().tolist() for s in sums], pa.list_(pa.float64()))], names=["of", "sums"])
+
+    parts = df.select(*columns, weight).mapInArrow(run, "of int, sums array<double>")
+    total = np.zeros((len(kept), (p + 1) ** 2))
+    for r in parts.select("of", F.posexplode("sums").alias("at", "v")).groupBy("of", "at").agg(F.sum("v").alias("v")).collect():  # matrices' cells
+        total[r.of, r["at"]] = r.v
+    out = {}
+    for k, name in enumerate(kept):
+        g = total[k].reshape(p + 1, p + 1)
+        mean = g[0, 1:] / (g[0, 0] or 1.0)
+        cov = g[1:, 1:] / (g[0, 0] or 1.0) - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+        sd[sd < 1e-9] = np.inf  # constant there: correlated with nothing
+        out[name] = cov / np.outer(sd, sd)
+        if k == 0:
+            means = mean * scale + center
+    return means, out
+
+
+def prepare(
+    df: DataFrame, y: Sequence, x: Sequence[str], weight: str | None = None, cor_thresh: float = 0.05, lasso_thresh: float = 0.95, xmax: int = 100, xforce: Sequence[str] = (), fraction: float = 1.0, seed: int = 1
+) -> tuple[list, dict[str, list[str]]]:
+    """(order of targets, predictors by target): screens by rank correlation, then adds the block of targets best explained by x and the targets before it.
+
+    Categories are lumped to five values and coded by flags; the r squared of a category is the sum of its flags', by their share
+    of the weights. A zero-inflated target is explained where it isn't 0, and a flag of that is one more target of its block. A target's
+    predictors are its block's: those with a coefficient at the chosen penalty, at least 20 if so many are there, and xforce.
+    No model takes more than xmax columns. fraction < 1 looks at a random part of the rows, if the caller asks for it.
+
+    Rows with a null target or weight are left out; a null number of x is its median, a null category no value (or a lumped one).
+    Constant columns are left out. One pass gives the ranks' and one the values' correlations; the search needs only those matrices.
     """
     blocks = [[b] if isinstance(b, str) else list(b) for b in y]
     ys = [t for b in blocks for t in b]
-    passed: dict[str, list[str]] = {t: [] for t in ys}
-    for r in screened(spearman(df, ys, x), cor_thresh).collect():  # targets * predictors rows at most
+    if not ys or not x or set(ys) & set(x) or len(set(ys)) < len(ys) or not all(blocks):
+        raise ValueError("y and x must not be empty, and targets must be distinct and no predictors")
+    if not set(xforce) <= set(x):
+        raise ValueError("xforce must be predictors")
+    if not (xmax >= 1 and 0 < fraction <= 1 and 0 < cor_thresh <= 1 and 0 < lasso_thresh <= 1):
+        raise ValueError("xmax is 1 or more; fraction, cor_thresh and lasso_thresh are above 0 and at most 1")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    names = {c: f"c{k}" for k, c in enumerate([*x, *ys])}  # names of our own can't clash
+    back = {v: c for c, v in names.items()}
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], w.alias("w")).dropna(subset=[*(names[t] for t in ys), "w"])
+    rows = stored(rows.sample(fraction=fraction, seed=seed) if fraction < 1 else rows, "rows")
+    inflated = [names[t] for t in ys if kind_of(rows, names[t]) == "number" and zero_inflated(rows, names[t])]
+    numbers = [names[c] for c in x if kind_of(rows, names[c]) != "category"]
+    medians = rows.agg(*[F.percentile_approx(F.col(n).cast("double"), 0.5).alias(n) for n in numbers]).collect()[0] if numbers else {}
+    columns = coded(rows, [names[c] for c in x], ()) + coded(rows, [names[t] for t in ys], inflated)
+    for c in columns:
+        if c.name in numbers:
+            c.value = F.coalesce(c.value, F.lit(medians[c.name]))
+    table = rows.select(*[c.value.alias(f"v{k}") for k, c in enumerate(columns)], "w")
+    spread = table.agg(*[(F.min(f"v{k}") < F.max(f"v{k}")).alias(f"v{k}") for k in range(len(columns))]).collect()[0]
+    at = {f"v{k}": c for k, c in enumerate(columns) if spread[f"v{k}"]}
+    own: dict[str, list[str]] = {}  # coded columns by column
+    for v, c in at.items():
+        own.setdefault(c.origin, []).append(v)
+    ycols, xcols = ([v for c in some for v in own.get(names[c], [])] for some in (ys, x))
+    blocks = [b for b in ([t for t in b if names[t] in own] for b in blocks) if b]
+    if not xcols or not blocks:
+        raise ValueError("all targets or all predictors are constant")
+
+    table = stored(table.select(*at, "w"), "coded")
+    passed: dict[str, list[str]] = {v: [] for v in ycols}
+    for r in sorted(screened(spearman(table, ycols, xcols, flags=[v for v, c in at.items() if c.flag]), cor_thresh, AT_LEAST).collect(), key=lambda r: (-abs(r.r or 0.0), xcols.index(r.x))):  # columns of y * columns of x rows at most
         passed[r.y].append(r.x)
-    names = [*x, *ys]
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
-    matrix = np.nan_to_num(Correlation.corr(VectorAssembler(inputCols=names, outputCol="_v").transform(data), "_v").collect()[0][0].toArray())
-    at = {c: k for k, c in enumerate(names)}
+    index = {v: k for k, v in enumerate(at)}
+    values = [v for v, c in at.items() if c.name in inflated]
+    means, matrices = correlations(table, list(at), "w", values)
 
-    def best(t: str, xs: list[str]) -> tuple[float, list[str]]:
-        if not xs:
+    def best(v: str, xs: list[str], chosen: float) -> tuple[float, list[str]]:
+        matrix, k = matrices[v if v in values else ""], [index[c] for c in xs]
+        path, whole = lasso_path(matrix[np.ix_(k, k)], matrix[k, index[v]], xmax)
+        most = max((r2 for _, r2 in path), default=0.0)
+        if most <= 0:
             return 0.0, []
-        k = [at[c] for c in xs]
-        path = lasso_path(matrix[np.ix_(k, k)], matrix[k, at[t]])
-        most = max(r2 for _, r2 in path)
-        b, r2 = next((b, r2) for b, r2 in path if r2 >= lasso_thresh * most)
-        return r2, [c for c, v in zip(xs, b, strict=True) if v] or xs[:1]
-
-    full = {t: max(1e-12, best(t, passed[t] + [o for o in ys if o != t])[0]) for t in ys}
-    order, predictors, done = [], {}, []
-    while blocks:
-        tried = [(np.mean([best(t, passed[t] + done)[0] / full[t] for t in b]), -k) for k, b in enumerate(blocks)]
-        b = blocks.pop(-max(tried)[1])
-        for t in b:
-            predictors[t] = best(t, passed[t] + done)[1]
-        order.append(b[0] if len(b) == 1 else b)
-        done += b
+        b, r2 = next((b, r2) for b, r2 in path if r2 >= (chosen if whole else 1.0) * most)
+        return r2, [c for c, used in zip(xs, b, strict=True) if used]
+
+    def targets(t: str) -> list[list[str]]:
+        """What stands for a target: its flags together, or its value and then the flag of non-zero values."""
+        mine = own[names[t]]
+        return [mine] if kind_of(rows, names[t]) == "category" else [[v] for v in mine]
+
+    def explained(block: list[str], extra: list[str], chosen: float) -> tuple[float, list[str]]:
+        scores, used = [], []
+        for group in (g for t in block for g in targets(t)):
+            total = 0.0
+            for v in group:
+                xs = passed[v] + [c for c in extra if c not in group]
+                r2, kept = best(v, xs, chosen)
+                total += r2 * (means[index[v]] if len(group) > 1 else 1.0)
+                used += kept + [c for c in passed[v] if c not in kept][: max(0, AT_LEAST - len(kept))]
+            scores.append(total)
+        return float(np.mean(scores)), used
+
+    others = lambda b: [c for c in ycols if back[at[c].origin] not in b]
+    full = [max(1e-12, explained(b, others(b), 1.0)[0]) for b in blocks]
+    left, order, predictors, done = list(range(len(blocks))), [], {}, []
+    while left:
+        found = {k: explained(blocks[k], done, lasso_thresh) for k in left}
+        k = max(left, key=lambda k: (found[k][0] / full[k], -k))
+        left.remove(k)
+        chosen = list(dict.fromkeys([*(back[at[v].origin] for v in found[k][1]), *xforce]))
+        predictors |= {t: chosen for t in blocks[k]}
+        order.append(blocks[k][0] if len(blocks[k]) == 1 else blocks[k])
+        done += [v for t in blocks[k] for v in own[names[t]]]
     return order, predictors

@@ -39,31 +39,37 @@ def ranked(df: DataFrame, column: str, dense: str | None = None, average: str |
 
 
 def _ranked(df: DataFrame, column: str, part: Column, sizes: list[tuple[int, int, int]], dense: str | None, average: str | None) -> DataFrame:
-    held = df.withColumn("_part", part)
-    order = Window.partitionBy("_part").orderBy(column)
+    """Ranks are worked out for the distinct values, whose counts are combined before the shuffle, and joined back: a frequent value is one row."""
     before_rows, before_values, n, d = F.lit(0), F.lit(0), 0, 0
     for k, rows, values in sizes:
         before_rows, before_values = F.when(F.col("_part") == k, n).otherwise(before_rows), F.when(F.col("_part") == k, d).otherwise(before_values)
         n, d = n + rows, d + values
-    some = F.col("_part").isNotNull()
+    order = Window.partitionBy("_part").orderBy("_value")
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     new = {}
     if dense:
-        new[dense] = F.when(some, (before_values + F.dense_rank().over(order)).cast("bigint"))
+        new[dense] = (before_values + F.row_number().over(order)).cast("bigint")
     if average:
-        ties = F.count("*").over(Window.partitionBy("_part", column))
-        new[average] = F.when(some, before_rows + F.rank().over(order) + (ties - 1) / 2)
-    return held.withColumns(new).drop("_part")
+        new[average] = before_rows + upto - (F.col("_n") - 1) / 2
+    values = df.where(F.col(column).isNotNull()).groupBy(part.alias("_part"), F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    values = values.select("_value", *[c.alias(name) for name, c in new.items()])
+    return df.join(values, df[column] == values["_value"], "left").drop("_value")
 
 
-def spearman(df: DataFrame, ys: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """(y, x, r): rank correlations of every target with every predictor, from one aggregation over the ranks."""
+def spearman(df: DataFrame, ys: Sequence[str], xs: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
+    """(y, x, r): rank correlations of every target with every predictor, from one aggregation over the ranks.
+
+    flags are columns of two values, which correlate as their ranks do and need none.
+    """
     columns = list(dict.fromkeys([*ys, *xs]))
     df = stored(df.select(*columns), "ranked")
-    parts, sizes = _dealt(df, columns)
-    for c in columns:
+    order = [c for c in columns if c not in flags]
+    parts, sizes = _dealt(df, order) if order else ({}, {})
+    for c in order:
         df = _ranked(df, c, parts[c], sizes[c], None, f"_r_{c}")
+    held = {c: c if c in flags else f"_r_{c}" for c in columns}
     pairs = [(y, x) for y in ys for x in xs]
-    row = df.agg(*[F.corr(f"_r_{y}", f"_r_{x}").alias(f"_{k}") for k, (y, x) in enumerate(pairs)])
+    row = df.agg(*[F.corr(held[y], held[x]).alias(f"_{k}") for k, (y, x) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.col(f"_{k}").alias("r")) for k, (y, x) in enumerate(pairs)])).alias("_p")).select("_p.*")
 
 

@@ -348,17 +348,18 @@ def optimal_k(s: SparkSession, d: str) -> DataFrame:
 
 
 # monotonic pairs
-@query("""WITH k AS (SELECT l_returnflag, l_quantity AS x, min(l_extendedprice) AS y FROM lineitem WHERE l_quantity % 5 = 0 GROUP BY ALL),
-q AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, l_quantity AS x FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH k AS (SELECT l_returnflag, ceil(l_quantity / 5) * 5 AS x, min(l_extendedprice) AS y FROM lineitem GROUP BY ALL),
+q AS (SELECT DISTINCT l_returnflag, l_quantity AS x FROM lineitem),
 b AS (SELECT q.*, lo.x AS x0, lo.y AS y0 FROM q ASOF LEFT JOIN k lo ON q.l_returnflag = lo.l_returnflag AND q.x >= lo.x),
 c AS (SELECT b.*, hi.x AS x1, hi.y AS y1 FROM b ASOF LEFT JOIN k hi ON b.l_returnflag = hi.l_returnflag AND b.x <= hi.x)
-SELECT DISTINCT l_returnflag, x, round(CASE WHEN x0 = x1 THEN y0 ELSE coalesce(y0 + (x - x0) / (x1 - x0) * (y1 - y0), y0, y1) END, 4) AS y_hat FROM c""")
+SELECT l_returnflag, x, round(CASE WHEN x0 = x1 THEN y0 ELSE coalesce(y0 + (x - x0) / (x1 - x0) * (y1 - y0), y0, y1) END, 4) AS y_hat FROM c""")
 def interpolate_linear(s: SparkSession, d: str) -> DataFrame:
-    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
-    knots = li.where("l_quantity % 5 = 0").groupBy("l_returnflag", F.col("l_quantity").alias("x")).agg(F.min("l_extendedprice").alias("y"))
-    asked = li.where("l_linenumber = 1").select(F.expr("l_orderkey * 10 + l_linenumber").alias("id"), "l_returnflag", F.col("l_quantity").alias("x"))
+    """The least price of each five quantities, interpolated at every quantity."""
+    li = table(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    knots = li.groupBy("l_returnflag", (F.ceil(F.col("l_quantity") / 5) * 5).alias("x")).agg(F.min("l_extendedprice").alias("y"))
+    asked = li.groupBy("l_returnflag", F.col("l_quantity").alias("x")).agg(F.concat_ws("|", "l_returnflag", F.col("l_quantity").cast("string")).alias("id"))
     got = monotonic.interpolated(asked, knots, ["l_returnflag"], "x", "y", "id")
-    return got.select("l_returnflag", "x", F.round("y_hat", 4).alias("y_hat")).distinct()
+    return got.select("l_returnflag", "x", F.round("y_hat", 4).alias("y_hat"))
 
 
 @query(f"""WITH {MICRO}, r AS (SELECT segment, corr(qty, returned_value) AS r FROM micro GROUP BY 1), a AS (SELECT rid, segment, row_number() OVER (PARTITION BY segment ORDER BY qty, rid) AS k FROM micro),
@@ -459,7 +460,6 @@ def impute_fusion(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def prepxy_order(s: SparkSession, d: str) -> DataFrame:
-    order, predictors = prepare.prepare(micro(s, d), ["qty", "returned_value", "totalprice"], ["acctbal", "n_lines", "mon"])
+    y = ["qty", "returned_value", "totalprice", "status", "is_large", ["disc_share", "tax_share"]]
+    order, predictors = prepare.prepare(micro(s, d), y, ["acctbal", "n_lines", "mon", "region", "segment", "priority"], "weight", xforce=["region"])
     return s.createDataFrame([(k, t, ",".join(predictors[t])) for k, b in enumerate(order) for t in ([b] if isinstance(b, str) else b)], "place int, y string, x string")
-
-

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators import encode, monotonic, neighbors, prepare, sampling, validate
 from patchloom.operators.fusion import DonorFusion, impute_by_fusion, load_fusion, zero_inflated
-from patchloom.operators.rank import ranked
+from patchloom.operators.rank import ranked, spearman
 from patchloom.sources import fsd
 from patchloom.sources.tables import micro
 
@@ -89,6 +90,49 @@ def test_order_of_fusion(spark, data_dir):
     assert sorted(order) == ["qty", "totalprice"] and "n_lines" in predictors["qty"]
 
 
+def test_order_of_fusion_takes_categories_blocks_and_zeros(spark):
+    def row(k):
+        a, g = (k * 37 % 101) / 10, "uvwxyz"[k % 6]
+        noise = (k * 7919 % 97) / 97
+        return k, a if k % 50 else None, g if k % 40 else None, noise, 7.0, a * 3 + noise, 0.0 if k % 3 == 0 else 20 + a, "hi" if a > 5 else "lo", a > 3, 1.0 + k % 4
+
+    df = spark.createDataFrame([row(k) for k in range(600)], "id long, `a.b` double, g string, c0 double, flat double, y double, z double, s string, t boolean, w double")
+    order, predictors = prepare.prepare(df, [["y", "z"], "s", "t"], ["a.b", "g", "c0", "flat"], "w", xforce=["g"])
+    assert sorted(map(str, order)) == ["['y', 'z']", "s", "t"] and set(predictors) == {"y", "z", "s", "t"}
+    assert all(p[0] == "a.b" or p[0] in "yzst" for p in predictors.values()) and predictors["y"] == predictors["z"]
+    assert all("g" in p and "flat" not in p and len(set(p)) == len(p) for p in predictors.values())
+    assert not any(x.endswith("_zero") or ".." in x for p in predictors.values() for x in p)
+    few = prepare.prepare(df, ["y"], ["a.b", "c0"], xmax=1, fraction=0.5)
+    assert few[0] == ["y"] and few[1]["y"][0] == "a.b"
+    for bad in (dict(y=[], x=["c0"]), dict(y=["y"], x=["y"]), dict(y=["y"], x=["c0"], xforce=["g"]), dict(y=["y"], x=["c0"], xmax=0), dict(y=["y"], x=["flat"]), dict(y=["y"], x=["c0"], fraction=0.0)):
+        with pytest.raises(ValueError):
+            prepare.prepare(df, **bad)
+
+
+def test_correlations_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 3)) + 1e4
+    x[::4, 1] = 0.0
+    w = rng.integers(1, 6, 400).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, w)], "a double, b double, c double, w double").repartition(7)
+    means, found = prepare.correlations(df, ["a", "b", "c"], "w", ["b"])
+    assert means == pytest.approx(np.average(x, axis=0, weights=w))
+    some = x[:, 1] != 0
+    for name, rows in (("", slice(None)), ("b", some)):
+        cov = np.cov(x[rows].T, aweights=w[rows], bias=True)
+        sd = np.sqrt(np.diag(cov))
+        assert found[name] == pytest.approx(cov / np.outer(sd, sd), abs=1e-8)
+
+
+def test_rank_correlations_against_pandas(spark):
+    rows = [(k * 37 % 53 / 1.0, None if k % 9 == 0 else float(k * k % 31), float(k % 2)) for k in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, f double")
+    got = {(r.y, r.x): r.r for r in spearman(df, ["a", "f"], ["b"], flags=["f"]).collect()}
+    # ranks are over all values of a column; pairs with a null are left out of the correlation
+    want = df.toPandas().rank().corr()
+    assert got == pytest.approx({("a", "b"): want.loc["a", "b"], ("f", "b"): want.loc["f", "b"]})
+
+
 def test_fusion_draws_donor_values(spark, data_dir, tmp_path):
     base = micro(spark, data_dir).cache()
     donors, recipients = base.where("rid % 2 = 1"), base.where("rid % 2 = 0")
