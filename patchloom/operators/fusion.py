@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from patchloom.functions.random import uniform
 from patchloom.functions.stats import normalize
 from patchloom.operators.neighbors import nearest_center, optimal_k, top_k_donors
+from patchloom.operators.rank import interval
 from patchloom.operators.sampling import categorical_draw, donor_draw, implicates
 from patchloom.sources.scratch import stored
 
@@ -82,14 +83,6 @@ def _featured(df: DataFrame, step: Step) -> DataFrame:
     return out.select(*df.columns, "_x")
 
 
-def _interval(column: str, cuts: Sequence[float]) -> Column:
-    """The number of cuts below the value, by halves."""
-    if not cuts:
-        return F.lit(0)
-    k = len(cuts) // 2
-    return F.when(F.col(column) <= cuts[k], _interval(column, cuts[:k])).otherwise(k + 1 + _interval(column, cuts[k + 1 :]))
-
-
 class QuantileForest:
     """Quantiles by regression forest: each tree's leaf has the weighted quantile of its donors, and trees are averaged."""
 
@@ -104,7 +97,7 @@ class QuantileForest:
         forest = RandomForestRegressor(featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, leafCol="_leaf").fit(df)
         cuts = sorted(set(df.approxQuantile(label, [k / CUTS for k in range(1, CUTS)], 0.2 / CUTS)))
         own = forest.transform(df).select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"), F.col(label).alias("v"), F.col(weight).alias("w"))
-        held = own.groupBy("tree", "leaf", _interval("v", cuts).alias("cut")).agg(F.sum("w").alias("w"), F.max("v").alias("v"))  # trees x leaves x CUTS rows at most
+        held = own.groupBy("tree", "leaf", interval("v", cuts).alias("cut")).agg(F.sum("w").alias("w"), F.max("v").alias("v"))  # trees x leaves x CUTS rows at most
         leaf = Window.partitionBy("tree", "leaf")
         reached = held.withColumns({"upto": F.sum("w").over(leaf.orderBy("cut")), "all": F.sum("w").over(leaf)})
         found = F.array(*[F.min(F.when(F.col("upto") >= q * F.col("all") * (1 - 1e-12), F.col("v"))) for q in quantiles])

@@ -12,18 +12,30 @@ from patchloom.sources.scratch import stored
 PARTS = 64
 
 
+def interval(column: str, cuts: Sequence[float]) -> Column:
+    """The number of rising cuts below the value, by halves; null for null. One SQL text, since a Column object a cut takes the driver long."""
+
+    def halves(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        k = (lo + hi) // 2
+        return f"CASE WHEN `{column}` <= double('{float(cuts[k])!r}') THEN {halves(lo, k)} ELSE {halves(k + 1, hi)} END"
+
+    return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN {halves(0, len(cuts))} END")
+
+
+def held_by(place: str, values: Sequence[int]) -> Column:
+    """The value at the place that a column holds, counted from 0."""
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})[`{place}`]")
+
+
 def _dealt(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, Column], dict[str, list[tuple[int, int, int]]]]:
     """For each column the range of values that a row is in (equal values together), and (range, rows, distinct values) in order.
 
     All columns' cuts come from one pass and all ranges' sizes from another.
     """
     cuts = [sorted(set(c)) for c in df.approxQuantile(list(columns), [k / PARTS for k in range(1, PARTS)], 0.005)]
-    parts = {}
-    for c, own in zip(columns, cuts, strict=True):
-        part = F.lit(0)
-        for k, cut in enumerate(own):
-            part = F.when(F.col(c) > cut, F.lit(k + 1)).otherwise(part)
-        parts[c] = F.when(F.col(c).isNotNull(), part)
+    parts = {c: interval(c, own) for c, own in zip(columns, cuts, strict=True)}
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), parts[c].alias("part"), F.col(c).cast("double").alias("value")) for c in columns]))
     held = df.select(cells.alias("_c")).select("_c.*").where("part is not null").groupBy("column", "part", "value").agg(F.count("*").alias("n"))
     sizes: dict[str, list] = {c: [] for c in columns}
@@ -32,28 +44,32 @@ def _dealt(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, Column], di
     return parts, sizes
 
 
-def ranked(df: DataFrame, column: str, dense: str | None = None, average: str | None = None) -> DataFrame:
-    """Adds the dense rank and/or the average rank of a numeric column over the whole table; nulls have none."""
-    parts, sizes = _dealt(df, [column])
-    return _ranked(df, column, parts[column], sizes[column], dense, average)
+def ranked(df: DataFrame, columns: str | Sequence[str], dense: str | Sequence[str] = (), average: str | Sequence[str] = ()) -> DataFrame:
+    """Adds the dense ranks and/or the average ranks of numeric columns over the whole table, by the names given; nulls have none.
 
-
-def _ranked(df: DataFrame, column: str, part: Column, sizes: list[tuple[int, int, int]], dense: str | None, average: str | None) -> DataFrame:
-    """Ranks are worked out for the distinct values, whose counts are combined before the shuffle, and joined back: a frequent value is one row."""
-    before_rows, before_values, n, d = F.lit(0), F.lit(0), 0, 0
-    for k, rows, values in sizes:
-        before_rows, before_values = F.when(F.col("_part") == k, n).otherwise(before_rows), F.when(F.col("_part") == k, d).otherwise(before_values)
-        n, d = n + rows, d + values
-    order = Window.partitionBy("_part").orderBy("_value")
-    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    new = {}
-    if dense:
-        new[dense] = (before_values + F.row_number().over(order)).cast("bigint")
-    if average:
-        new[average] = before_rows + upto - (F.col("_n") - 1) / 2
-    values = df.where(F.col(column).isNotNull()).groupBy(part.alias("_part"), F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
-    values = values.select("_value", *[c.alias(name) for name, c in new.items()])
-    return df.join(values, df[column] == values["_value"], "left").drop("_value")
+    The input is stored once, since every column's values are counted in it. Ranks are worked out for the distinct
+    values, whose counts are combined before the shuffle, and joined back: a frequent value is one row.
+    """
+    columns, dense, average = ([c] if isinstance(c, str) else list(c) for c in (columns, dense, average))
+    base = stored(df, "ranked")
+    parts, sizes = _dealt(base, columns)
+    out = base
+    for k, c in enumerate(columns):
+        n, d = [0] * (PARTS + 1), [0] * (PARTS + 1)  # rows and values in the ranges before
+        for part, rows, values in sizes[c]:
+            n[part + 1 :] = [v + rows for v in n[part + 1 :]]
+            d[part + 1 :] = [v + values for v in d[part + 1 :]]
+        order = Window.partitionBy("_part").orderBy("_value")
+        upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        new = {}
+        if dense:
+            new[dense[k]] = (held_by("_part", d) + F.row_number().over(order)).cast("bigint")
+        if average:
+            new[average[k]] = held_by("_part", n) + upto - (F.col("_n") - 1) / 2
+        values = base.where(F.col(c).isNotNull()).groupBy(parts[c].alias("_part"), F.col(c).alias("_value")).agg(F.count("*").alias("_n"))
+        values = values.select("_value", *[v.alias(name) for name, v in new.items()])
+        out = out.join(values, F.col(c) == F.col("_value"), "left").drop("_value")
+    return out
 
 
 def spearman(df: DataFrame, ys: Sequence[str], xs: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
@@ -62,11 +78,9 @@ def spearman(df: DataFrame, ys: Sequence[str], xs: Sequence[str], flags: Sequenc
     flags are columns of two values, which correlate as their ranks do and need none.
     """
     columns = list(dict.fromkeys([*ys, *xs]))
-    df = stored(df.select(*columns), "ranked")
-    order = [c for c in columns if c not in flags]
-    parts, sizes = _dealt(df, order) if order else ({}, {})
-    for c in order:
-        df = _ranked(df, c, parts[c], sizes[c], None, f"_r_{c}")
+    df = df.select(*columns)
+    if order := [c for c in columns if c not in flags]:
+        df = ranked(df, order, average=[f"_r_{c}" for c in order])
     held = {c: c if c in flags else f"_r_{c}" for c in columns}
     pairs = [(y, x) for y in ys for x in xs]
     row = df.agg(*[F.corr(held[y], held[x]).alias(f"_{k}") for k, (y, x) in enumerate(pairs)])

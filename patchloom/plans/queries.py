@@ -175,9 +175,7 @@ def kfold_assign(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MICRO}, r AS (SELECT dense_rank() OVER (ORDER BY qty) AS a, dense_rank() OVER (ORDER BY n_lines) AS b, dense_rank() OVER (ORDER BY totalprice) AS c FROM micro) SELECT round(corr(a, b), 6) AS qty_lines, round(corr(a, c), 6) AS qty_price FROM r")
 def dense_rank_corr(s: SparkSession, d: str) -> DataFrame:
-    df = micro(s, d).select("qty", "n_lines", "totalprice")
-    for c, name in (("qty", "a"), ("n_lines", "b"), ("totalprice", "c")):
-        df = rank.ranked(df, c, dense=name)
+    df = rank.ranked(micro(s, d).select("qty", "n_lines", "totalprice"), ["qty", "n_lines", "totalprice"], dense=["a", "b", "c"])
     return df.agg(F.round(F.corr("a", "b"), 6).alias("qty_lines"), F.round(F.corr("a", "c"), 6).alias("qty_price"))
 
 
