@@ -6,8 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from patchloom.functions.random import uniform
+from patchloom.operators.rank import interval
+
+#: Pieces that a stratum or cluster is worked on in, however many rows it has.
+PIECES = 64
 
 
 def strata(df: DataFrame, y: str, tiles: int, id_col: str, name: str = "stratum") -> DataFrame:
@@ -33,17 +38,31 @@ def strata(df: DataFrame, y: str, tiles: int, id_col: str, name: str = "stratum"
     return held.withColumn(name, (tile + 1).cast("int")).drop("_part")
 
 
+def _shuffled(df: DataFrame, stratum: str, tag: str, id_col: str) -> DataFrame:
+    """Adds _rank, the place of a row in its stratum by keyed uniforms, from 1, and _n, the stratum's rows.
+
+    Rows are ranked inside PIECES equal pieces of [0, 1) and moved by the rows of the pieces before, so a stratum is no task's alone.
+    """
+    cell = Window.partitionBy("_s", "_piece")
+    held = df.withColumn("_u", uniform(tag, id_col)).withColumn("_piece", F.floor(F.col("_u") * PIECES))
+    sizes = held.groupBy(F.col(stratum).alias("_s"), "_piece").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("_s").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_s", F.col("_piece").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"), F.sum("_c").over(Window.partitionBy("_s")).alias("_n"))
+    met = held.join(starts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p")))
+    return met.withColumn("_rank", F.col("_start") + F.row_number().over(cell.orderBy("_u", id_col))).drop("_s", "_p", "_u", "_piece", "_start")
+
+
 def stratified_sample(df: DataFrame, stratum: str, share: float, tag: str, id_col: str) -> DataFrame:
     """Keeps, in each stratum, the round(share * N) rows of the least keyed uniforms."""
-    order = Window.partitionBy(stratum).orderBy(uniform(tag, id_col), id_col)
-    ranked = df.withColumns({"_rank": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(stratum))})
-    return ranked.where(F.col("_rank") <= F.round(F.lit(share) * F.col("_n"))).drop("_rank", "_n")
+    return _shuffled(df, stratum, tag, id_col).where(F.col("_rank") <= F.round(F.lit(share) * F.col("_n"))).drop("_rank", "_n")
 
 
 def k_folds(df: DataFrame, stratum: str, folds: int, tag: str, id_col: str, name: str = "fold") -> DataFrame:
-    """Adds a fold from 1 to folds, balanced in each stratum, by the order of keyed uniforms."""
-    order = Window.partitionBy(stratum).orderBy(uniform(tag, id_col), id_col)
-    return df.withColumn(name, F.ntile(folds).over(order))
+    """Adds a fold from 1 to folds, balanced in each stratum, by the order of keyed uniforms: the first folds have one row more."""
+    big, small = F.col("_n") % folds, F.floor(F.col("_n") / folds)
+    r = F.col("_rank") - 1
+    fold = F.when(r < big * (small + 1), F.floor(r / (small + 1))).otherwise(big + F.floor(F.try_divide(r - big * (small + 1), small)))
+    return _shuffled(df, stratum, tag, id_col).withColumn(name, (fold + 1).cast("int")).drop("_rank", "_n")
 
 
 def implicates(df: DataFrame, m: int, m_col: str = "M") -> DataFrame:
@@ -69,15 +88,30 @@ def donor_draw(recipients: DataFrame, donors: DataFrame, cluster: str, donor_wei
     """Draws for each recipient a donor of its cluster, with replacement and in proportion to weight, and copies its values jointly.
 
     Donors' cumulative weights and the scaled draws meet in a merge by cluster: both are ordered by
-    position, and each draw takes the first donor whose interval ends beyond it.
+    position, and each draw takes the first donor whose interval ends beyond it. A cluster is merged in
+    PIECES pieces of equal weight, each of which begins with the first donor of the pieces after it.
+    Numeric ids deal the donors out before their weights are added up; other ids leave that to a task for each cluster.
+    Donors of no weight are never drawn.
     """
-    order = Window.partitionBy(cluster).orderBy(donor_id).rowsBetween(Window.unboundedPreceding, 0)
-    cum = donors.select(cluster, F.col(donor_id).alias("_donor"), *values, F.sum(donor_weight).over(order).cast("double").alias("_hi"), F.sum(donor_weight).over(Window.partitionBy(cluster)).cast("double").alias("_total"))
+    numeric = isinstance(donors.schema[donor_id].dataType, NumericType)
+    cuts = sorted(set(donors.approxQuantile(donor_id, [k / PIECES for k in range(1, PIECES)], 0.2 / PIECES))) if numeric else []
+    own = donors.select(cluster, F.col(donor_id).alias("_donor"), *values, F.col(donor_weight).alias("_w"), interval(donor_id, cuts).alias("_part"))
+    sums = own.groupBy(F.col(cluster).alias("_c"), F.col("_part").alias("_p")).agg(F.sum("_w").alias("_w_part"))
+    before = Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_c", "_p", F.coalesce(F.sum("_w_part").over(before), F.lit(0)).alias("_start"), F.sum("_w_part").over(Window.partitionBy("_c")).cast("double").alias("_all"))
+    order = Window.partitionBy(cluster, "_part").orderBy("_donor").rowsBetween(Window.unboundedPreceding, 0)
+    cum = own.join(starts, (F.col(cluster) == F.col("_c")) & (F.col("_part") == F.col("_p")))
+    piece = lambda pos: F.least(F.floor(F.try_divide(pos, F.col("_all")) * PIECES), F.lit(PIECES - 1))
+    cum = cum.withColumn("_pos", (F.col("_start") + F.sum("_w").over(order)).cast("double")).withColumn("_piece", piece(F.col("_pos")))
     totals = donors.groupBy(cluster).agg(F.sum(donor_weight).cast("double").alias("_all"))
-    drawn = recipients.withColumn("_u", u).join(totals, cluster).select(cluster, id_col, (F.col("_u") * F.col("_all")).alias("_at"))
-    ends = cum.select(cluster, F.col("_hi").alias("_pos"), F.lit(1).alias("_kind"), F.struct("_donor", *values).alias("_d"), F.lit(None).cast(recipients.schema[id_col].dataType).alias(id_col))
-    asks = drawn.select(cluster, F.col("_at").alias("_pos"), F.lit(0).alias("_kind"), F.lit(None).cast(ends.schema["_d"].dataType).alias("_d"), id_col)
-    ahead = Window.partitionBy(cluster).orderBy(F.desc("_pos"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = recipients.withColumn("_u", u).join(totals, cluster).withColumn("_pos", F.col("_u") * F.col("_all")).withColumn("_piece", piece(F.col("_pos")))
+    ends = cum.select(cluster, "_piece", "_pos", F.lit(1).alias("_kind"), F.struct("_donor", *values).alias("_d"), F.lit(None).cast(recipients.schema[id_col].dataType).alias(id_col))
+    asks = drawn.select(cluster, "_piece", "_pos", F.lit(0).alias("_kind"), F.lit(None).cast(ends.schema["_d"].dataType).alias("_d"), id_col)
+    # the first donor that ends in a piece also serves the end of every piece before, back to the one where the last donor ended
+    firsts = ends.groupBy(cluster, "_piece").agg(F.min(F.struct("_pos", "_d._donor")).alias("_least"), F.min_by("_d", F.struct("_pos", "_d._donor")).alias("_d"))
+    last = F.lag("_piece", 1, 0).over(Window.partitionBy(cluster).orderBy("_piece"))
+    carried = firsts.withColumn("_from", last).where(F.col("_piece") > F.col("_from")).select(cluster, F.explode(F.sequence("_from", F.col("_piece") - 1)).alias("_piece"), F.lit(float("inf")).alias("_pos"), F.lit(1).alias("_kind"), "_d", F.lit(None).cast(recipients.schema[id_col].dataType).alias(id_col))
+    ahead = Window.partitionBy(cluster, "_piece").orderBy(F.desc("_pos"), "_kind", F.desc("_d._donor")).rowsBetween(Window.unboundedPreceding, 0)
     # a draw at exactly a donor's end belongs to the next donor: ends sort after asks in falling order
-    found = ends.unionByName(asks).withColumn("_found", F.last("_d", ignorenulls=True).over(ahead)).where("_kind = 0")
+    found = ends.unionByName(carried).unionByName(asks).withColumn("_found", F.last("_d", ignorenulls=True).over(ahead)).where("_kind = 0")
     return found.select(id_col, cluster, F.col("_found._donor").alias(donor_id), *[F.col(f"_found.{v}").alias(v) for v in values])

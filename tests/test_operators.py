@@ -35,6 +35,26 @@ def test_donor_draw_copies_whole_donors(spark):
     assert share == pytest.approx(0.4, abs=0.02)
 
 
+def test_donor_draw_against_a_search(spark):
+    weights = [0.0, 3.0, 0.0, 0.0, 1.0, 400.0, 0.0, 2.0]
+    rows = [(g, f"{k:03d}", w) for g in "ab" for k, w in enumerate(weights)]
+    u = [k / 4096 for k in range(4096)]
+    asks = spark.createDataFrame([(k, "a" if k % 3 else "b", v) for k, v in enumerate(u)], "id long, g string, u double")
+    ends = np.cumsum(weights)
+    for kind in ("string", "int"):
+        donors = spark.createDataFrame(rows, "g string, donor string, w double").withColumn("donor", F.col("donor").cast(kind))
+        got = {r.id: int(r.donor) for r in sampling.donor_draw(asks, donors, "g", "w", [], F.col("u"), "id", "donor").collect()}
+        assert got == {k: int(np.searchsorted(ends, v * ends[-1], "right")) for k, v in enumerate(u)}
+
+
+def test_samples_and_folds_are_even(spark):
+    df = spark.createDataFrame([(k, "a" if k < 3 else "b") for k in range(503)], "id long, g string")
+    got = {(r.g, r.fold): r["count"] for r in sampling.k_folds(df, "g", 5, "t", "id").groupBy("g", "fold").count().collect()}
+    assert got == {("a", 1): 1, ("a", 2): 1, ("a", 3): 1} | {("b", k): 100 for k in range(1, 6)}
+    kept = sampling.stratified_sample(df, "g", 0.3, "t", "id")
+    assert {r.g: r["count"] for r in kept.groupBy("g").count().collect()} == {"a": 1, "b": 150} and kept.columns == ["id", "g"]
+
+
 def test_lump_and_table(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3 + [("c",)] + [(None,)], "g string")
     assert {r.g for r in encode.lump_levels(df, "g", 3).collect()} == {"a", "b", "_Other_"}
