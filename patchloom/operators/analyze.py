@@ -8,17 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.stats import partial_sums, pooled_error, t_quantile, weighted_estimates
+from patchloom.operators.rank import PARTS, interval
+from patchloom.sources.scratch import stored
 
 
 def weighted_median(df: DataFrame, groups: Sequence[str], x: str = "x", w: str = "w") -> DataFrame:
     """(groups, est): the interpolated weighted median; equal values are one with their weights' sum.
 
     A value stands at the weight before it plus half its own; the median is read at half the total
-    weight, linearly between neighbours. Only distinct values of a group are ordered.
+    weight, linearly between neighbours. Only distinct values of a group are ordered, in PARTS ranges
+    whose weights are added up before, so few groups don't mean few tasks.
     """
-    knots = df.where(F.col(x).isNotNull()).groupBy(*groups, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
-    order = Window.partitionBy(*groups).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    knots = knots.withColumns({"_c": F.sum("_w").over(order) - F.col("_w") / 2, "_half": F.sum("_w").over(Window.partitionBy(*groups)) / 2})
+    knots = df.where(F.col(x).isNotNull()).groupBy(*groups, F.col(x).cast("double").alias("_x")).agg(F.sum(w).alias("_w"))
+    knots = stored(knots, "values")
+    cuts = sorted(set(knots.approxQuantile("_x", [k / PARTS for k in range(1, PARTS)], 0.2 / PARTS)))
+    knots = knots.withColumn("_part", interval("_x", cuts))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = knots.groupBy(*groups, "_part").agg(F.sum("_w").alias("_s"))
+    sums = sums.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"), (F.sum("_s").over(Window.partitionBy(*groups)) / 2).alias("_half"))
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    order = Window.partitionBy(*groups, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    knots = knots.join(sums, same).withColumn("_c", F.col("_start") + F.sum("_w").over(order) - F.col("_w") / 2)
     low, high = F.col("_c") <= F.col("_half"), F.col("_c") > F.col("_half")
     ends = knots.groupBy(*groups).agg(*(F.max(F.when(low, F.struct("_c", "_x"))).alias("_lo"), F.min(F.when(high, F.struct("_c", "_x"))).alias("_hi"), F.first("_half").alias("_half")))
     t = F.try_divide(F.col("_half") - F.col("_lo._c"), F.col("_hi._c") - F.col("_lo._c"))
