@@ -3,9 +3,15 @@
 The kernel of two words is the weighted number of letter triples that both hold as subsequences,
 gaps allowed at a price, so an insult with inserted, dropped or separated characters stays near the
 plain one. Words meet a few landmark words; the kernel values, whitened, are the features of a
-linear support vector machine (Nyström). A sentence is as toxic as its worst word and a document as
-its worst sentence. Labels are of documents, so in a toxic one the machine itself picks the
-sentence and word that bear the label, in turns with its training (multiple-instance learning).
+linear support vector machine (Nyström), which says what words are like those that bear the label.
+
+Labels are of documents and are passed on to their sentences. Runs of letters that the sentences of
+toxic documents have many times as often as others make a word typical; the machine learns to tell
+typical words, and copies of them with a letter more, from those of clean sentences. A typical word
+need not be missing from clean text: the words that the machine takes go to their nearest landmark,
+and each landmark's words weigh as much as the logarithm of how much more often toxic text has them.
+A sentence is the sum of its words' weights less a little for each word, which is what a toxic text
+of that length would have, and a document is as toxic as its worst stretch of sentences.
 
 Since kernels are sums over triples, the trained machine is one weight a triple: scoring takes one
 table look-up for each triple of a word, and each task scores a distinct word once.
@@ -14,8 +20,8 @@ table look-up for each triple of a word, and each task scores a distinct word on
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, rows, table
+from .common import fold, rows, stored, table
 
-#: At most so many labelled documents of either kind are fitted to.
-SAMPLE = 1500
-LANDMARKS, GAP_PRICE, SPAN = 128, 0.75, 5
-#: Variants of each word that bears the label, with one letter inserted or doubled, in training; the words that stand for clean text.
+#: At most so many labelled rows of either kind are fitted to, and so many distinct words of either kind (some 100 bytes each) are collected.
+SAMPLE, WORDS = 1500, 100_000
+LANDMARKS, GAP_PRICE, SPAN = 256, 0.75, 5
+#: Variants of each typical word, with one letter inserted or doubled, in training; the words that stand for clean text, and the hardest of them a round.
 VARIANTS, HARMLESS, HARDEST = 6, 12_000, 2000
-#: The weight of words that stand for a toxic document without being typical of toxic ones.
-DOUBTFUL = 0.002
+#: Lengths of the runs of letters, how many times as often toxic text must have one, and the chance of one such run among all if labels meant nothing.
+RUNS, TYPICAL, CHANCE = (4, 5, 6), 8.0, 0.05
+#: Margins that part the words of a landmark; words weigh no more than this; what is added to each part: so many words, and such a share of the landmark's.
+STEPS, HEAVIEST, DOUBT, SHARED = (0.35, 0.8), 8.0, 0.5, 0.05
 LONGEST = 24  # letters; longer words are read in overlapping windows
 ROUNDS, PENALTY = 4, 1e-3
 FLOOR = -1.0  # the margin of words that are certainly not toxic
@@ -52,17 +60,17 @@ def _symbols() -> np.ndarray:
     return out
 
 
-def units(text: str) -> set[str]:
-    """The distinct lower-cased words of a text, and runs of three or more single characters joined."""
+def units(text: str) -> list[str]:
+    """The lower-cased words of a text, and after them runs of three or more single characters joined."""
     words = text.lower().split()
-    out = set(words)
+    out = list(words)
     single = [k for k, w in enumerate(words) if len(w) == 1]
     run = 0
     for n, k in enumerate(single):
         if n and k != single[n - 1] + 1:
             run = n
         if n - run >= 2 and (n + 1 == len(single) or single[n + 1] != k + 1):
-            out.add("".join(words[single[run] : k + 1]))
+            out.append("".join(words[single[run] : k + 1]))
     return out
 
 
@@ -158,9 +166,9 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarra
 
 
 def _runs(word: str) -> set[str]:
-    """The runs of four letters of a word between marks of its ends."""
+    """The runs of letters of a word between marks of its ends; a shorter word is one run."""
     s = "^" + "".join(c for c in word if c.isalpha())[:LONGEST] + "$"
-    return {s[k : k + 4] for k in range(max(1, len(s) - 3))}
+    return {s[k : k + n] for n in RUNS for k in range(max(1, len(s) - n + 1))}
 
 
 def variants(word: str, most: int, rng: np.random.Generator) -> list[str]:
@@ -176,19 +184,15 @@ def variants(word: str, most: int, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def _best(words: np.ndarray, value: np.ndarray, most: int = 8) -> list[int]:
-    """The word of the highest value, and up to seven more if theirs are above zero."""
-    top = words[np.argsort(-value[words], kind="stable")[:most]]
-    return [int(w) for k, w in enumerate(top) if k == 0 or value[w] > 0]
-
-
 @dataclass
 class ToxicityModel:
     table: np.ndarray  # a weight for each triple
     bias: float
-    slope: float
-    shift: float
-    landmarks: list[str]
+    landmarks: list[str]  # of typical words
+    weights: np.ndarray  # of the words of each landmark (row), by their margins (column)
+    rate: float  # of words that weigh something, in toxic text
+    slope: float = 1.0
+    shift: float = 0.0
 
     def words(self, words: list[str]) -> np.ndarray:
         """The margin of each word, FLOOR if it can't be higher."""
@@ -203,64 +207,94 @@ class ToxicityModel:
                 np.maximum.at(out, number[maybe] + lo, self.bias + top[maybe] / norms(keys[maybe], w))
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 0.5 * (1 + np.tanh(0.5 * (self.slope * margin + self.shift)))
+    def weigh(self, words: list[str]) -> np.ndarray:
+        """The weight of each word that the machine takes, by its nearest landmark and its margin, else 0."""
+        out, margin = np.zeros(len(words)), self.words(words)
+        hit = np.flatnonzero(margin > 0)
+        if len(hit):
+            out[hit] = self.weights[kernel([words[k] for k in hit], self.landmarks).argmax(1), np.digitize(margin[hit], STEPS)]
+        return out
+
+    def stretch(self, text: str, weight: dict[str, float]) -> tuple[float, str | None]:
+        """The sum of the worst stretch of a text's sentences, 0 for none, and the worst of them."""
+        best = run = 0.0
+        worst, most = None, 0.0
+        for s in sentences(text):
+            words = units(s)
+            held = sum(weight.get(w, 0.0) for w in words)
+            own = held - self.rate * len(words)
+            if held > 0 and (worst is None or own > most):
+                worst, most = s, own
+            run = max(0.0, run + own)
+            best = max(best, run)
+        return best, worst
 
+    def score(self, sums: np.ndarray) -> np.ndarray:
+        return 0.5 * (1 + np.tanh(0.5 * (self.slope * np.log1p(sums) + self.shift)))
 
-def fit(bags: list[tuple[int, list[str]]], seed: int = 11, stands: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel | None:
-    """Fits to (label, distinct words) of documents; None unless both labels are there.
 
-    stands: how many labelled documents each clean and each toxic one given stands for, which the score is calibrated to.
+def _typical(names: list[str], contexts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """For each word how far its most telling run of letters is beyond chance (0: not typical), and that run.
+
+    contexts has a row for each word: in how many contexts clean and toxic sentences have it.
+    """
+    seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2))
+    for w, c in zip(names, contexts, strict=True):
+        for g in _runs(w):
+            seen[g] += c
+    total = np.maximum(1, contexts.sum(0))
+    usual = total[1] / total.sum()
+    bar = np.log(max(1, len(seen)) / CHANCE)
+    grams = list(seen)
+    n = np.array([seen[g] for g in grams]).reshape(-1, 2)
+    share = n[:, 1] / np.maximum(1, n.sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odd = np.where(share > 0, share * np.log(share / usual), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - usual)), 0)
+    beyond = n.sum(1) * odd - bar  # above zero: too often in toxic sentences to be one of so many runs by chance
+    often = n[:, 1] / total[1] >= TYPICAL * n[:, 0] / total[0]
+    evidence = {g: e for g, e, o in zip(grams, beyond.tolist(), often.tolist(), strict=True) if o and e > 0}
+    best, why = np.zeros(len(names)), [""] * len(names)
+    for k, w in enumerate(names):
+        for g in _runs(w):
+            if evidence.get(g, 0.0) > best[k] or (g in evidence and evidence[g] == best[k] and g < why[k]):
+                best[k], why[k] = evidence[g], g
+    return best, why
+
+
+def fit(words: list[tuple[str, int, int, int, int]], totals: tuple[int, int], seed: int = 11) -> ToxicityModel | None:
+    """Fits to (word, tokens and contexts in clean, tokens and contexts in toxic sentences); totals are of all words there.
+
+    None unless both kinds have words and some word is typical of the toxic ones.
     """
-    y = np.array([b[0] for b in bags])
-    if not (y == 1).any() or not (y == 0).any():
+    words = sorted(w for w in words if any(c.isalpha() for c in w[0]))
+    if not words or not min(totals):
         return None
-    names = sorted({w for _, ws in bags for w in ws})
-    if not names:
+    names = [w[0] for w in words]
+    tokens, contexts = (np.array([[w[k], w[k + 2]] for w in words], float) for k in (1, 2))
+    evidence, why = _typical(names, contexts)
+    typical = np.flatnonzero((evidence > 0) & (tokens[:, 1] > 0))
+    if not len(typical):
         return None
-    number = {w: k for k, w in enumerate(names)}
-    own = [np.array([number[w] for w in ws], np.int32) for _, ws in bags]
-    seen_clean, bears = np.zeros(len(names)), np.zeros(len(names), bool)
-    for k, ws in enumerate(own):
-        if y[k] == 1:
-            bears[ws] = True
-        else:
-            seen_clean[ws] += 1
-    clean = seen_clean > 0
-    # first guess of the words that bear the label: what letter runs they have that clean documents lack
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for k, ws in enumerate(own):
-        seen[int(y[k] == 1)].update({g for w in ws.tolist() for g in _runs(names[w])})
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    evidence, usual, bar = {}, n1 / (n0 + n1), np.log(len(seen[1]) / 0.05) if seen[1] else 0.0
-    for g, n in seen[1].items():  # above zero: too often in toxic documents to be one of so many runs by chance
-        share = n / (n + seen[0][g])
-        odd = share * np.log(share / usual) + (1 - share) * np.log(max(1e-12, 1 - share) / (1 - usual))
-        evidence[g] = (n + seen[0][g]) * odd * (share > usual) - bar
-    guess = np.full(len(names), -99.0, np.float32)
-    for k in np.flatnonzero(bears & ~clean).tolist():
-        found = sorted((evidence[g] for g in _runs(names[k])), reverse=True)
-        guess[k] = found[(len(found) - 1) // 2]  # half of its runs are as typical
-    trust = np.clip(np.exp(np.minimum(0, guess)), DOUBTFUL, 1)
-    del seen, evidence
-    toxic = [k for k in np.flatnonzero(y == 1) if len(own[k])]
-    bearers = Counter(w for k in toxic for w in _best(own[k], guess))
-    landmarks: list[str] = []
     rng = np.random.default_rng(seed)
-    for w, _ in sorted(bearers.items(), key=lambda x: (-x[1] * trust[x[0]], names[x[0]])):
-        if len(landmarks) >= LANDMARKS // 4:
-            break
-        if not landmarks or kernel([names[w]], landmarks).max() < 0.65:
-            landmarks.append(names[w])
+    # landmarks: for each telling run, from the most telling on, the commonest word it made typical; far enough from the others
+    by_run: dict[str, list[int]] = defaultdict(list)
+    for k in typical[np.argsort(-tokens[typical, 1], kind="stable")].tolist():
+        by_run[why[k]].append(k)
+    landmarks: list[str] = []
+    for turn in range(4):  # a word of each run, then another of each
+        for g in sorted(by_run, key=lambda g: (-evidence[by_run[g][0]], g)):
+            for k in by_run[g][turn : turn + 1]:
+                if len(landmarks) < LANDMARKS // 3 and (not landmarks or kernel([names[k]], landmarks).max() < 0.65):
+                    landmarks.append(names[k])
     plain = list(landmarks)
     for w in plain[: LANDMARKS // 8]:
         landmarks += variants(w, 2, rng)
-    harmless = np.flatnonzero(clean)
+    harmless = np.flatnonzero((tokens[:, 0] > 0) & (evidence == 0))
     near = np.zeros(len(harmless), np.float32)
-    for lo in range(0, len(harmless), 4096) if landmarks else ():
+    for lo in range(0, len(harmless), 4096):
         near[lo : lo + 4096] = kernel([names[k] for k in harmless[lo : lo + 4096]], plain).max(1)
     hard = harmless[np.argsort(-near, kind="stable")].tolist()
-    for k in [*hard[: LANDMARKS // 4], *rng.permutation(harmless)[: LANDMARKS // 4].tolist()]:
+    for k in [*hard[: LANDMARKS // 5], *rng.permutation(harmless)[: LANDMARKS // 5].tolist()]:
         if names[k] not in landmarks:
             landmarks.append(names[k])
     gram = kernel(landmarks, landmarks)
@@ -270,58 +304,54 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 11, stands: tuple[float,
     def mapped(words: list[str]) -> np.ndarray:
         return np.concatenate([(kernel(words[lo : lo + 4096], landmarks) @ whiten).astype(np.float32) for lo in range(0, max(1, len(words)), 4096)])
 
-    # features of the words that may bear the label and of the hardest and some other clean ones
+    known = set(names)
+    order = typical[np.argsort(-tokens[typical, 1], kind="stable")]
+    bent = [(v, tokens[k, 1]) for k in order[: HARMLESS // VARIANTS].tolist() for v in variants(names[k], VARIANTS, rng) if v not in known]
+    held = [np.sqrt(tokens[typical, 1]), np.sqrt([h for _, h in bent])] if bent else [np.sqrt(tokens[typical, 1])]
+    positive = np.concatenate([mapped([names[k] for k in typical]), *([mapped([v for v, _ in bent])] if bent else [])])
+    mass = np.concatenate([0.5 * h / h.sum() / len(held) for h in held])
     negative = np.array(sorted({*hard[: HARMLESS // 2], *rng.permutation(harmless)[: HARMLESS // 2].tolist()}), int)
-    used = np.union1d(np.flatnonzero(bears & ~clean), negative)
-    place = np.full(len(names), -1, np.int64)
-    place[used] = np.arange(len(used))
-    x = mapped([names[k] for k in used])
+    x, tough = mapped([names[k] for k in negative]) if len(negative) else np.zeros((0, positive.shape[1]), np.float32), np.zeros(0, int)
     lk, lw = triples(coded(landmarks)[0][: len(landmarks)])
     spread = np.where(lk > 0, lw, 0) / norms(lk, lw)[:, None]
-    chosen, tough = guess, np.zeros(0, int)
     for turn in range(ROUNDS):
-        picked = Counter(w for k in toxic for w in _best(own[k], chosen) if not clean[w])
-        if not picked:
-            return None
-        positive = np.array(sorted(picked), int)
-        held = np.array([picked[w] * trust[w] for w in positive.tolist()])
-        bent = [(v, h) for w, h in zip(positive.tolist(), held.tolist(), strict=True) if trust[w] > 5 * DOUBTFUL for v in variants(names[w], VARIANTS, rng) if v not in number]
-        values_ = [held / held.sum(), np.array([h for _, h in bent]) / max(1e-9, sum(h for _, h in bent))] if bent else [held / held.sum()]
-        features = [x[place[positive]], mapped([v for v, _ in bent])] if bent else [x[place[positive]]]
-        rows_ = np.concatenate([*features, x[place[negative]]]).astype(np.float64)
-        label = np.concatenate((np.ones(len(rows_) - len(negative)), -np.ones(len(negative))))
-        mass = np.ones(len(negative)) / max(1, len(negative))
-        if len(tough):  # half of it by the clean documents that would be taken for toxic
-            mass = 0.5 * mass + 0.5 * np.where(np.isin(negative, tough), seen_clean[negative], 0) / seen_clean[tough].sum()
-        u, bias = fit_svm(rows_, label, np.concatenate((*(0.5 * v / len(values_) for v in values_), 0.5 * mass)))
-        weights = np.zeros(SYMBOLS**3)
-        np.add.at(weights, lk, spread * (whiten @ u)[:, None])
-        weights[0] = 0
-        model = ToxicityModel(weights, bias, 1.0, 0.0, landmarks)
-        chosen = np.full(len(names), -9.0, np.float32)
-        chosen[used] = x @ u + bias
-        if turn < ROUNDS - 1:  # clean words that the machine takes for toxic
+        other = np.ones(len(negative)) / max(1, len(negative))
+        if len(tough):  # half of it by the clean words that would be taken
+            other = 0.5 * other + 0.5 * np.where(np.isin(negative, tough), tokens[negative, 0], 0) / tokens[tough, 0].sum()
+        z = np.concatenate([positive, x]).astype(np.float64)
+        u, bias = fit_svm(z, np.concatenate((np.ones(len(positive)), -np.ones(len(x)))), np.concatenate((mass, 0.5 * other)))
+        triple = np.zeros(SYMBOLS**3)
+        np.add.at(triple, lk, spread * (whiten @ u)[:, None])
+        triple[0] = 0
+        model = ToxicityModel(triple, bias, plain, np.zeros((len(plain), len(STEPS) + 1)), 0.0)
+        if turn < ROUNDS - 1 and len(harmless):
             value = model.words([names[k] for k in harmless])
             tough = np.union1d(tough, harmless[np.argsort(-value, kind="stable")[:HARDEST]])
             more = np.setdiff1d(tough, negative)
-            place[more] = np.arange(len(used), len(used) + len(more))
-            used, negative = np.concatenate((used, more)), np.concatenate((negative, more))
+            negative = np.concatenate((negative, more))
             x = np.concatenate((x, mapped([names[k] for k in more]))) if len(more) else x
-    each = model.words(names)
-    margin = np.array([each[ws].max() if len(ws) else FLOOR for ws in own])
-    spare = [v for v, _ in bent]
-    more = model.words([spare[k] for k in rng.permutation(len(spare))[: len(toxic)].tolist()])
-    counts = np.concatenate((np.where(y == 1, stands[1], stands[0]), np.full(len(more), stands[1])))
-    _platt(model, np.concatenate((margin, more)), np.concatenate((y, np.ones(len(more)))), counts)
+    margin = model.words(names)
+    hit = np.flatnonzero(margin > 0)
+    if not len(hit):
+        return None
+    cell = kernel([names[k] for k in hit], plain).argmax(1) * (len(STEPS) + 1) + np.digitize(margin[hit], STEPS)
+    taken = np.stack([np.bincount(cell, tokens[hit, k], model.weights.size) for k in (0, 1)], 1)
+    rates = (taken / np.array(totals) * totals[1]).reshape(-1, len(STEPS) + 1, 2)  # tokens, as if there were as many of both kinds
+    whole = rates.sum(1)
+    even = (whole + DOUBT) / (whole + DOUBT).sum(1, keepdims=True)
+    rates += (SHARED * whole + DOUBT * even)[:, None]
+    odds = rates[..., 1] / rates[..., 0]
+    model.weights = np.clip(np.log(odds), 0, HEAVIEST)
+    model.rate = float(taken[odds.ravel() > 1].sum(0)[1] / totals[1])
     return model
 
 
-def _platt(model: ToxicityModel, g: np.ndarray, y: np.ndarray, counts: np.ndarray) -> None:
-    """Fits slope and shift of the score to the documents' margins, with Platt's smoothed targets."""
-    counts = counts * len(y) / counts.sum()
+def calibrate(model: ToxicityModel, sums: np.ndarray, y: np.ndarray, counts: np.ndarray) -> None:
+    """Fits slope and shift of the score to documents' sums, each standing for counts of them, with Platt's smoothed targets."""
+    g, counts = np.log1p(sums), counts * len(y) / counts.sum()
     n1, n0 = counts[y == 1].sum(), counts[y == 0].sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 2.0, 0.0
+    a, b = 2.0, -2.0
     for _ in range(60):
         q = 0.5 * (1 + np.tanh(0.5 * (a * g + b)))
         w, e = counts * q * (1 - q) + 1e-9, counts * (q - t)
@@ -332,78 +362,92 @@ def _platt(model: ToxicityModel, g: np.ndarray, y: np.ndarray, counts: np.ndarra
     model.slope, model.shift = float(a), float(b)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, seed: int = 11) -> ToxicityModel | None:
-    """Fits to the sentences of up to `sample` labelled documents of either label, those with the least hashes of their ids.
+def drawn_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(y, text) of up to `sample` labelled texts of either label, and how many there are; equal texts are one, of the highest label.
 
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts by its highest
-    label. Null and empty texts have no sentences. None unless documents of both labels are there.
+    The texts with the least hashes are taken, so a repeated id or row takes no more room than any other.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).distinct().join(marks, "id")
-    totals = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
-    drawn = [ids.where(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample) for k in (0, 1)]
-    chosen = {r.id: r.y for d in drawn for r in d.collect()}  # at most 2 * sample ids
-    if not chosen:
-        return None
-    picked = docs.sparkSession.createDataFrame(sorted(chosen.items()), "id long, y int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.string()))])
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(marks, "id").select("y", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    each = stored(known.groupBy("h").agg(F.max("y").alias("y")), "labelled")
+    totals = {r.y: r["count"] for r in each.groupBy("y").count().collect()}
+    picked = [each.where(F.col("y") == k).orderBy("h").limit(sample) for k in (0, 1)]
+    chosen = picked[0].unionByName(picked[1])  # 12 bytes a row
+    return stored(known.drop("y").join(F.broadcast(chosen), "h").groupBy("h").agg(F.max("y").alias("y"), F.first("text").alias("text")).select("y", "text"), "drawn"), totals
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [sorted(set().union(*(units(s) for s in sentences(t or "")))) for t in b.column(1).to_pylist()]
-            yield rows(schema, b.column(0), b.column(2), words)
 
-    got = texts.select("id", "text", "y").mapInArrow(run, "id long, y int, words array<string>").orderBy("id", "words").collect()
-    names: dict[str, str] = {}  # one copy of each word
-    bags = [(r.y, [names.setdefault(w, w) for w in r.words if any(c.isalpha() for c in w)]) for r in got]
-    del got
-    return fit(bags, seed, tuple(max(1.0, totals.get(k, 0) / sample) for k in (0, 1)))
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, words: int = WORDS, seed: int = 11) -> ToxicityModel | None:
+    """Fits to the sentences of up to `sample` labelled texts and up to `words` of their distinct words of either label.
 
+    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts by its highest
+    label, and so do equal texts. Null and empty texts have no sentences. None unless documents of both
+    labels are there and some run of letters is typical of the toxic ones.
+    """
+    texts, totals = drawn_rows(docs, labels, id_col, text_col, label_col, sample, seed)
+    if set(totals) != {0, 1}:
+        return None
+    schema = pa.schema([("y", pa.int32()), ("word", pa.string()), ("before", pa.string()), ("n", pa.int64())])
 
-def worst_sentence(text: str, words: Iterable[str]) -> str | None:
-    """The first sentence that holds one of the words."""
-    words = set(words)
-    return next((s for s in sentences(text) if words & units(s)), None)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = Counter((w, v) for u in map(units, sentences(text)) for v, w in zip(["", *u], u, strict=False))
+                if found:
+                    yield rows(schema, [y] * len(found), [w for w, _ in found], [v for _, v in found], found.values())
+
+    # a word counts once after each other word, so copies of a passage add nothing to what is typical
+    pairs = texts.select("y", "text").mapInArrow(run, "y int, word string, before string, n long").groupBy("word", "before").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"t{k}") for k in (0, 1)])
+    each = pairs.groupBy("word").agg(*[x for k in (0, 1) for x in (F.sum(f"t{k}").alias(f"t{k}"), F.sum((F.col(f"t{k}") > 0).cast("long")).alias(f"c{k}"))])
+    each = stored(each, "words")
+    size = each.agg(F.sum("t0"), F.sum("t1")).collect()[0]
+    held = {tuple(r) for k in (0, 1) for r in each.where(F.col(f"t{k}") > 0).orderBy(F.xxhash64("word", F.lit(seed))).limit(words).collect()}
+    model = fit(sorted(held), (size[0] or 0, size[1] or 0), seed)
+    if model is not None:
+        scored = summed(texts, model, "text", ["y"]).select("y", "sum").collect()  # at most two rows of numbers for each of the sample
+        y = np.array([r.y for r in scored])
+        calibrate(model, np.array([r["sum"] for r in scored]), y, np.where(y == 1, max(1.0, totals[1] / sample), max(1.0, totals[0] / sample)))
+    return model
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_sentence: bool = False) -> DataFrame:
-    """(id, *keep, score[, sentence]): 0 to 1 for every row; sentence is the one with the worst word, of rows that score 0.5 or more.
 
-    Null and empty texts and texts without letters get the score of harmless words. Without a model
-    every score is 0. Every row is scored by its whole text, repeated rows alike.
-    """
-    own = [f for f in docs.select(id_col, *keep).schema]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", score double" + ", sentence string" * with_sentence
-    names = [*(f.name for f in own), "score", *["sentence"] * with_sentence]
+def summed(docs: DataFrame, model: ToxicityModel | None, text_col: str, keep: list[str]) -> DataFrame:
+    """(*keep, sum, sentence): the sum of each text's worst stretch of sentences, and its worst sentence where one weighs anything."""
+    own = [docs.schema[k] for k in keep]
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own) + "sum double, sentence string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         hot: dict[str, float] = {}
         for b in batches:
-            texts = b.column(b.num_columns - 1)
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
-                if model is None:
-                    score, worst = np.zeros(len(part)), [None] * len(part)
-                else:
-                    bags = [units(t or "") for t in texts.slice(lo, 256).to_pylist()]
+                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                found: list[tuple[float, str | None]] = [(0.0, None)] * len(texts)
+                if model is not None:
+                    bags = [set(units(t)).union(*map(units, sentences(t))) for t in texts]
                     fresh = list(set().union(*bags) - seen)
                     if len(seen) > CACHE:
                         seen, hot = set(), {}
                         fresh = list(set().union(*bags))
                     seen.update(fresh)
-                    for w, m in zip(fresh, model.words(fresh).tolist(), strict=True):
-                        if m > FLOOR:
-                            hot[w] = m
-                    common = [ws & hot.keys() for ws in bags]
-                    margin = np.array([max((hot[w] for w in c), default=FLOOR) for c in common])
-                    score = model.score(margin)
-                    worst = [worst_sentence(t, {w for w in c if hot[w] == m}) if s >= 0.5 and with_sentence else None for t, c, m, s in zip(texts.slice(lo, 256).to_pylist(), common, margin, score, strict=True)]
-                more = [pa.array(worst, pa.string())] if with_sentence else []
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64()), *more], names=names)
-
-    return docs.select(id_col, *keep, F.col(text_col).alias("_text")).mapInArrow(run, types)
+                    hot.update((w, v) for w, v in zip(fresh, model.weigh(fresh).tolist(), strict=True) if v > 0)
+                    found = [model.stretch(t, hot) if ws & hot.keys() else (0.0, None) for t, ws in zip(texts, bags, strict=True)]
+                sums, worst = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sums, pa.float64()), pa.array(worst, pa.string())], names=[*keep, "sum", "sentence"])
+
+    return docs.select(*[F.col(f"`{k}`") for k in keep], F.col(text_col).alias("_text")).mapInArrow(run, types)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_sentence: bool = False) -> DataFrame:
+    """(id, *keep, score[, sentence]): 0 to 1 for every row; sentence is the worst one, of rows that score 0.5 or more.
+
+    Null and empty texts and texts without letters get the score of harmless words. Without a model
+    every score is 0. Every row is scored by its whole text, repeated rows alike.
+    """
+    found = summed(docs, model, text_col, list(dict.fromkeys([id_col, *keep])))
+    score = F.lit(0.0) if model is None else 0.5 * (1 + F.tanh(0.5 * (model.slope * F.log1p("sum") + model.shift)))
+    scored = found.withColumn("score", score)
+    sentence = [F.when(F.col("score") >= 0.5, F.col("sentence")).alias("sentence")] * with_sentence
+    return scored.select(id_col, *keep, "score", *sentence)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
