@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, fold, rows, table, text_chunks
+from .common import Rolling, fold, rows, stored, table, text_chunks
 from .ngram_join import word_bounds
 
-#: At most so many rows of each kind (trusted positives, labelled negatives, unlabelled) are fitted to.
+#: At most so many distinct texts of each kind (trusted positives, labelled negatives, unlabelled) are fitted to.
 SAMPLE = 12_000
 THRESHOLD = 0.7
 HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 1500, 512, 3e-3, 1e-4
@@ -71,17 +71,17 @@ def features(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np.ndar
     return out
 
 
-def with_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x): the features of each text as 32-bit floats."""
-    schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float32()))])
+def with_features(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, y, x): the features of each text as 32-bit floats."""
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b, 1):
-                yield rows(schema, b.column(0)[lo:hi], list(features(data, offsets, rolling)))
+                yield rows(schema, b.column(0)[lo:hi], b.column(2)[lo:hi], list(features(data, offsets, rolling)))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, x array<float>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).mapInArrow(run, "id long, y int, x array<float>")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -162,24 +162,24 @@ def calibrate(m: QualityModel, x: np.ndarray, y: np.ndarray) -> None:
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 7) -> QualityModel | None:
     """Fits to up to `sample` trusted positives and unlabelled documents; None without positives or other texts.
 
-    The rows with the least hashes of their ids are taken, so reruns agree. Labels other than 0 and 1
-    and rows with a null id are left out; an id labelled twice counts by its least label. The class
-    prior is the share of positives among the labelled rows given, smoothed by one row of each kind.
+    The distinct texts with the least hashes are taken, so reruns agree and a repeated id or row takes no
+    more room than any other. Labels other than 0 and 1 and rows with a null id are left out; an id
+    labelled twice counts by its least label, and so do equal texts. The class prior is the share of
+    positives among the labelled texts given, smoothed by one of each kind.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    known = ids.join(marks, "id", "left")
-    totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").join(marks, "id", "left").withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed)))
+    each = stored(texts.groupBy("h").agg(F.min("y").cast("int").alias("y")), "labelled")
+    totals = {r.y: r["count"] for r in each.groupBy("y").count().collect()}
     if not totals.get(1) or sum(totals.values()) == totals[1]:
         return None
     prior = (totals[1] + 1) / (totals[1] + totals.get(0, 0) + 2)
-    drawn = [known.where(F.col("y").eqNullSafe(F.lit(k))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("id", F.lit(k).cast("int").alias("y")) for k in (1, 0, None)]
-    chosen = {r.id: r.y for d in drawn for r in d.collect()}  # at most 3 * sample ids
-    picked = docs.sparkSession.createDataFrame(list(chosen.items()), "id long, y int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("id")), "id", "left_semi")
-    got = with_features(texts, "id", "text").orderBy("id", "x").collect()
+    drawn = [each.where(F.col("y").eqNullSafe(F.lit(k))).orderBy("h").limit(sample) for k in (1, 0, None)]
+    chosen = drawn[0].unionByName(drawn[1]).unionByName(drawn[2])  # 12 bytes a row
+    one = texts.drop("y").join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("y").alias("y"), F.first("text").alias("text"))
+    got = with_features(one, "h", "text", "y").orderBy("id").collect()  # at most 3 * sample rows of FEATURES numbers
     x = np.array([r.x for r in got], np.float64)
-    y = np.array([-1 if chosen[r.id] is None else chosen[r.id] for r in got])
+    y = np.array([-1 if r.y is None else r.y for r in got])
     unlabelled = x[y == -1] if (y == -1).any() else x  # where all are labelled, all are the unlabelled mixture
     m = fit_pu(x[y == 1], unlabelled, prior, seed)
     if (y == 0).any():

@@ -1,8 +1,13 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pytest
 
-from patchloom.llm.quality import fit_pu, op1_quality, score_quality, train_quality
+from patchloom.llm import quality
+from patchloom.llm.common import Rolling
+from patchloom.llm.quality import THRESHOLD, features, fit_pu, op1_quality, score_quality, train_fold, train_quality
 
 SCHEMA = "doc_id long, text string, score string, predicted string, quality long"
 
@@ -15,10 +20,73 @@ def test_held_out_rows(spark, data_dir):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
     held = [r for r in got if r.held_out and r.doc_id in truth]
-    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) >= 0.85
+    assert np.mean([r.predicted for r in held if truth[r.doc_id] == 1]) >= 0.9
     assert sorted(map(tuple, got)) == sorted(map(tuple, op1_quality(spark, data_dir).collect()))
 
 
+def test_negatives_are_found(spark):
+    """On sf0.01, held out: four of five bad documents go, 19 of 20 good ones stay. Always saying 1 finds none."""
+    at = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    held = [r for r in op1_quality(spark, at).where("held_out").collect() if truth.get(r.doc_id) is not None]
+    bad = [r.predicted == 0 for r in held if truth[r.doc_id] == 0]
+    assert len(bad) >= 8 and np.mean(bad) >= 0.8
+    assert np.mean([r.predicted == 1 for r in held if truth[r.doc_id] == 1]) >= 0.95
+
+
+def slow_features(text):
+    """The features by their definitions, a word and a character at a time."""
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    if not words:
+        return [0.0] * quality.FEATURES
+    kinds = [*quality._CLASSES, bytes(set(range(256)) - set(b"".join(quality._CLASSES)))]
+    mean = lambda f: sum(map(f, words)) / len(words)
+    ups = lambda w: sum(65 <= c <= 90 for c in w)
+    lows = lambda w: sum(97 <= c <= 122 for c in w)
+    sign = b".,!?:;'\"()[]{}-_/\\|#$%&*+=<>~^`@"
+    lines = 1 + sum(c == 10 for c in data[:-1])
+    again = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+    return [math.sqrt(sum(c in k for c in data) / len(data)) for k in kinds] + [
+        math.sqrt(mean(lambda w: ups(w) >= 2 and not lows(w))), math.sqrt(mean(lambda w: w[-1] in b"|#$%&*+=<>~^`@!")), math.sqrt(mean(lambda w: len(w) == 1 and w[0] in sign)),
+        mean(len) / 10, math.sqrt(mean(lambda w: len(w) > 20)), len(set(words)) / len(words), math.log1p(len(words)) / 5, math.sqrt(again), math.log1p(len(words) / lines) / 3,
+        math.sqrt(mean(lambda w: ups(w) == 1)), math.sqrt(mean(lambda w: w[-1] in b".,")), min(1, 3 / len(words)),
+    ]
+
+
+def slow_score(model, text):
+    x = np.array(slow_features(text or ""), np.float32).astype(float)
+    hidden = [math.tanh(sum((x[i] - model.center[i]) / model.scale[i] * model.w1[i, j] for i in range(len(x))) + model.b1[j]) for j in range(len(model.b1))]
+    return 1 / (1 + math.exp(-(model.slope * (sum(h * w for h, w in zip(hidden, model.w2)) + model.b2) + model.shift)))
+
+
+def test_query_by_brute_force(spark, data_dir):
+    model = train_fold(spark, data_dir)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    for r in op1_quality(spark, data_dir).collect():
+        if len(texts[r.doc_id] or "") < 20_000:
+            assert r.score == pytest.approx(slow_score(model, texts[r.doc_id]), abs=1e-4) and r.predicted == (r.score >= THRESHOLD)
+
+
+def test_features_of_texts_side_by_side():
+    texts = ["", " \n", "One two. TWO!! two two\n\n| x", "é🎉 漢字", "a\n", "\na", "A" * 30 + " b", "ends\nwith\n", "@ - _ ok?"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    got = features(np.frombuffer(data, np.uint8), offsets, Rolling())
+    assert np.allclose(got, [slow_features(t) for t in texts], atol=1e-6)
+
+
+def test_the_sample_is_of_rows(spark, monkeypatch):
+    """One id on half of the rows and one text on a quarter: no more rows are fitted to than the sample."""
+    rows = [(5 if k % 2 else k, "same text" if k % 4 == 0 else f"word {k} of {k * k}", None, None, None) for k in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(1500)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_pu", lambda p, u, prior, seed: (seen.append((len(p), len(u))), fit_pu(p, u, prior, seed))[1])
+    a, b = (train_quality(d, labels, sample=50) for d in (df, df.repartition(9)))
+    assert seen == [(50, 50)] * 2 and np.array_equal(a.w1, b.w1) and a.shift == b.shift
+
+
 def test_risk_separates_without_negatives():
     rng = np.random.default_rng(3)
     positive = rng.normal(1, 1, (800, 4))
