@@ -7,7 +7,7 @@ any two linked sets must share an n-gram of).
 
 Equal sets are one class from the start. Classes with the same commonest prefix n-gram sit in one
 tile, of a bounded number of classes and n-grams; a class also visits each other tile that holds a
-candidate for it. A task counts one tile's overlaps, fragment after fragment, and leaves out what
+candidate for it. A task counts one tile's overlaps, portion by portion and fragment after fragment, and leaves out what
 can't reach the threshold any more. It returns a row for each class (its number of links and one
 linked class), never a row for each pair, so a group of near copies costs rows in proportion to its
 size (times the tiles it fills), while every candidate pair is held against the threshold.
@@ -33,8 +33,9 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 FILTER_BITS, FILTER_PARTS = 24, 64
 #: An n-gram that the sketch counts this much oftener than a mean one is dealt out by its classes, too, in so many parts.
 COMMON, PARTS = 4096, 64
-#: Classes and n-grams that a tile is filled with, and as many that visit it at a time.
-TILE_CLASSES, TILE_GRAMS = 1000, 1 << 20
+#: Classes and n-grams that are counted at a time. A family that fills many such blocks is cut into tiles of up to SIDE of them
+#: either way, as many as the root of its blocks, so a class travels that often and not once a block.
+TILE_CLASSES, TILE_GRAMS, SIDE = 1000, 1 << 20, 4
 #: An n-gram of so many sets in a task is counted by matrix products, so many at a time.
 DENSE, COLUMNS = 32, 2048
 
@@ -282,20 +283,22 @@ def _blocks(prefixes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _tiles(blocks: DataFrame) -> DataFrame:
-    """(cid, n, family, whole, tile): families are the classes with the same commonest prefix n-gram and about the same size.
+    """(cid, n, family, whole, tile, side): families are the classes with the same commonest prefix n-gram and about the same size.
 
     A large family fills tiles of its own (whole), small ones are dealt out to common tiles. Tiles
-    hold about TILE_CLASSES classes and TILE_GRAMS n-grams at most, but for one class that is larger.
+    hold about TILE_CLASSES classes and TILE_GRAMS n-grams at most, times side in large families, but
+    for one class that is larger.
     """
     home = blocks.groupBy("cid").agg(F.max_by("token", F.struct("held", "token")).alias("home"), F.first("n").alias("n"))
     size = F.floor(F.log("n") / math.log(4 / 3))
     home = stored(home.select("cid", "n", F.xxhash64("home", size).alias("family")), "homes")
     kin = home.groupBy("family").agg(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") / TILE_GRAMS).alias("fill"))
-    kin = stored(kin.withColumn("parts", F.when(F.col("fill") > 0.25, F.ceil("fill"))), "families")
+    side = F.when(F.col("fill") > 0.25, F.least(F.ceil(F.sqrt("fill")), F.lit(SIDE)))
+    kin = stored(kin.withColumn("side", side).withColumn("parts", F.ceil(F.col("fill") / F.col("side"))), "families")
     shared = max(1, math.ceil(kin.where("parts is null").agg(F.sum("fill")).first()[0] or 0))
     own = F.xxhash64("family", F.pmod(F.xxhash64("cid"), F.col("parts")))
     tile = F.coalesce(own, F.pmod("family", F.lit(shared)))
-    return home.join(kin, "family").select("cid", "n", "family", F.col("parts").isNotNull().alias("whole"), tile.alias("tile"))
+    return home.join(kin, "family").select("cid", "n", "family", F.col("parts").isNotNull().alias("whole"), tile.alias("tile"), F.coalesce("side", F.lit(1)).alias("side"))
 
 
 def _meetings(blocks: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -317,7 +320,9 @@ def _seats(members: DataFrame, meetings: DataFrame) -> DataFrame:
     """(tile, turn, cid, n, copies, visitor): every tile's members that someone is to meet, once for each turn of its visitors."""
     visits = meetings.where("tile <> own").select("cid", "tile").distinct()
     visitors = visits.join(members.select("cid", "n", "copies"), "cid")
-    turns = visitors.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") / TILE_GRAMS)).alias("turns"))
+    room = members.groupBy("tile").agg(F.max("side").alias("side"))
+    turns = visitors.groupBy("tile").agg(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") / TILE_GRAMS).alias("fill"))
+    turns = turns.join(room, "tile").select("tile", F.ceil(F.col("fill") / F.col("side")).alias("turns"))
     visitors = visitors.join(turns, "tile").select("tile", F.pmod(F.xxhash64("cid"), F.col("turns")).alias("turn"), "cid", "n", "copies", F.lit(True).alias("visitor"))
     guests = meetings.select("cid").distinct().withColumn("guest", F.lit(True))
     hosts = meetings.where("not home").select("family").distinct().withColumn("host", F.lit(True))
@@ -328,8 +333,11 @@ def _seats(members: DataFrame, meetings: DataFrame) -> DataFrame:
     return hosts.unionByName(visitors)
 
 
-def add_overlaps(total: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> None:
-    """Adds to total[i, j], i <> j, the number of ids that owners i and j have in common. An owner has an id once."""
+def add_overlaps(total: np.ndarray, ids: np.ndarray, owners: np.ndarray, split: int = 0) -> None:
+    """Adds to total[i, j], i <> j, the number of ids that owners i and j have in common. An owner has an id once.
+
+    With a split, only owners before it are held against those from it on.
+    """
     size = len(total)
     ids = np.unique(ids, return_inverse=True)[1]
     held = np.bincount(ids)
@@ -341,7 +349,12 @@ def add_overlaps(total: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> None
         pick = (at >= lo) & (at < lo + COLUMNS)
         has = np.zeros((size, min(COLUMNS, len(dense) - lo)), np.float32)
         has[owners[pick], at[pick] - lo] = 1
-        total += (has @ has.T).astype(total.dtype)
+        if split:
+            cross = (has[:split] @ has[split:].T).astype(total.dtype)
+            total[:split, split:] += cross
+            total[split:, :split] += cross.T
+        else:
+            total += (has @ has.T).astype(total.dtype)
     pick = (held[ids] > 1) & (column[ids] < 0)
     ids, owners = ids[pick], owners[pick]
     turn = np.argsort(ids, kind="stable")
@@ -353,16 +366,19 @@ def add_overlaps(total: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> None
         if not same.any():
             break
         a, b = owners[:-k][same], owners[k:][same]
+        if split:
+            apart = (a < split) != (b < split)
+            a, b = a[apart], b[apart]
         np.add.at(total, (a, b), 1)
         np.add.at(total, (b, a), 1)
 
 
-def tile_overlaps(grams: np.ndarray, ends: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, num: int, den: int) -> np.ndarray:
+def tile_overlaps(grams: np.ndarray, ends: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, num: int, den: int, split: int = 0) -> np.ndarray:
     """The overlaps of a tile's sets; where allowed and enough for a link they are whole.
 
     grams are the sets one after the other, in the global order; ends (sets x fragments) are the
     fragments' ends in each. A set without a pair that can still reach the threshold is left out of
-    the later fragments.
+    the later fragments. With a split, only sets before it meet those from it on.
     """
     count = len(sizes)
     owners = np.repeat(np.arange(count), sizes)
@@ -373,7 +389,7 @@ def tile_overlaps(grams: np.ndarray, ends: np.ndarray, sizes: np.ndarray, allowe
     for end in ends.T:
         here = alive[owners] & (place >= before[owners]) & (place < end[owners])
         if here.any():
-            add_overlaps(total, grams[here], owners[here])
+            add_overlaps(total, grams[here], owners[here], split)
         before = end
         left = (sizes - end).astype(total.dtype)
         alive = (allowed & ((num + den) * (total + np.minimum(left[:, None], left[None, :])) >= need)).any(1)
@@ -398,6 +414,46 @@ def spanning(linked: np.ndarray) -> np.ndarray:
     return parent
 
 
+class Forest:
+    """Keeps of the links given those that connect what was not connected yet."""
+
+    def __init__(self, size: int) -> None:
+        self.up = list(range(size))
+        self.near: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = k = self.up[self.up[k]]
+        return k
+
+    def add(self, a: int, b: int, overlap: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.near[a].append((b, overlap))
+            self.near[b].append((a, overlap))
+
+    def parents(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each node the next one towards the least of its tree (-1: it is that), and the overlap with it."""
+        parent, overlap = np.full(len(self.up), -1), np.zeros(len(self.up), np.int64)
+        ahead = [k for k in range(len(self.up)) if self.root(k) == k]
+        while ahead:
+            k = ahead.pop()
+            for other, o in self.near[k]:
+                if other != parent[k]:
+                    parent[other], overlap[other] = k, o
+                    ahead.append(other)
+        return parent, overlap
+
+
+def _portions(sizes: np.ndarray, chosen: np.ndarray) -> list[np.ndarray]:
+    """The chosen sets in portions of about TILE_CLASSES sets and TILE_GRAMS n-grams."""
+    if not len(chosen):
+        return []
+    fill = np.maximum(np.arange(len(chosen)) / TILE_CLASSES, (np.cumsum(sizes[chosen]) - sizes[chosen]) / TILE_GRAMS)
+    return np.split(chosen, np.flatnonzero(np.diff(fill.astype(int))) + 1)
+
+
 def _count_tile(num: int, den: int, fragments: int):
     schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("overlap", pa.int64()), ("n", pa.int32()), ("n_other", pa.int32())])
 
@@ -406,19 +462,36 @@ def _count_tile(num: int, den: int, fragments: int):
         cid, sizes, copies = (t.column(c).to_numpy().astype(np.int64) for c in ("cid", "n", "copies"))
         visitor = np.array(t.column("visitor").to_pylist(), bool)
         grams, ends = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "ends"))
-        allowed = ~(visitor[:, None] & visitor[None, :])
-        if key[1].as_py():  # the members met each other in the first turn
-            allowed &= visitor[:, None] | visitor[None, :]
-        np.fill_diagonal(allowed, False)
-        allowed &= den * np.minimum(sizes[:, None], sizes[None, :]) >= num * np.maximum(sizes[:, None], sizes[None, :])
-        overlap = tile_overlaps(grams, ends.reshape(-1, fragments), sizes, allowed, num, den)
-        linked = overlap > 0
-        links, parent = linked @ copies, spanning(linked)
+        ends, start = ends.reshape(-1, fragments), np.cumsum(sizes) - sizes
+        hosts, guests = _portions(sizes, np.flatnonzero(~visitor)), _portions(sizes, np.flatnonzero(visitor))
+        if len(hosts) + len(guests) <= 2:  # at once
+            turns = [(np.concatenate([*hosts, *guests]), 0)]
+        else:
+            first = key[1].as_py() == 0  # where the hosts meet each other; the guests never do
+            turns = [(a, 0) for a in hosts if first] + [(np.concatenate((a, b)), len(a)) for k, a in enumerate(hosts) for b in [*hosts[k + 1 :] * first, *guests]]
+        links, forest = np.zeros(len(cid), np.int64), Forest(len(cid))
+        for own, split in turns:
+            size, guest = sizes[own], visitor[own]
+            allowed = ~(guest[:, None] & guest[None, :])
+            if key[1].as_py():
+                allowed &= guest[:, None] | guest[None, :]
+            if split:
+                allowed[:split, :split] = allowed[split:, split:] = False
+            np.fill_diagonal(allowed, False)
+            allowed &= den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :])
+            place = np.repeat(start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            overlap = tile_overlaps(grams[place], ends[own], size, allowed, num, den, split)
+            linked = overlap > 0
+            links[own] += linked @ copies[own]
+            up = spanning(linked)
+            for k in np.flatnonzero(up >= 0).tolist():
+                forest.add(int(own[k]), int(own[up[k]]), int(overlap[k, up[k]]))
+        parent, shared = forest.parents()
         some = np.flatnonzero(links)
         up = parent[some]
         none = up < 0
         masked = lambda x: pa.array(x, mask=none)
-        return pa.Table.from_arrays([pa.array(cid[some]), pa.array(links[some]), masked(cid[up]), masked(overlap[some, up].astype(np.int64)), pa.array(sizes[some].astype(np.int32)), masked(sizes[up].astype(np.int32))], schema=schema)
+        return pa.Table.from_arrays([pa.array(cid[some]), pa.array(links[some]), masked(cid[up]), masked(shared[some]), pa.array(sizes[some].astype(np.int32)), masked(sizes[up].astype(np.int32))], schema=schema)
 
     return run
 

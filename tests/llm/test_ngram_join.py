@@ -97,12 +97,33 @@ def test_rows_grow_with_a_group_not_with_its_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "stored", counting)
     seen = []
-    for size in (200, 800):
+    monkeypatch.setattr(ngram_join, "TILE_CLASSES", 50)  # 2, 16 and 32 portions
+    for size in (100, 800, 1600):
         held.clear()
         docs = near_group(7, size, (3, 8))
         ngram_jaccard_join(spark.createDataFrame([(i, t, 1, "x", None) for i, t in docs], SCHEMA))
         seen.append((held["meetings"] + held["seats"] + held["counted"]) / size)
-    assert max(seen) < 20 and seen[1] < 2 * seen[0]
+    assert max(seen) < 20 and seen[1] < 2.2 * seen[0] and seen[2] < 2 * seen[1]
+
+
+def test_near_group_across_true_tiles(spark):
+    """2,300 near copies: three portions of the true size in two tiles, every link counted."""
+    docs = near_group(9, 2300, (0, 4))
+    got = ngram_jaccard_join(spark.createDataFrame([(i, t, 1, "x", None) for i, t in docs], SCHEMA)).documents.collect()
+    words = [t.split() for _, t in docs]
+    grams = {}
+    sets = [np.unique([grams.setdefault(tuple(w[k : k + 5]), len(grams)) for k in range(len(w) - 4)]) for w in words]
+    has = np.zeros((len(docs), len(grams)), np.float32)
+    for k, x in enumerate(sets):
+        has[k, x] = 1
+    overlap, size = has @ has.T, has.sum(1)
+    linked = 175 * overlap >= 75 * (size[:, None] + size[None, :])
+    ids, comp = np.array([i for i, _ in docs]), None
+    new = ids
+    while comp is None or (new != comp).any():
+        comp, new = new, np.where(linked, new[None, :], 1 << 40).min(1)
+    want = zip(ids.tolist(), map(len, sets), comp.tolist(), (linked.sum(1) - 1).tolist(), strict=True)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == sorted(want)
 
 
 def test_counts_in_fragments():
