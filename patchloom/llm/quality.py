@@ -168,15 +168,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     positives among the labelled texts given, smoothed by one of each kind.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").join(marks, "id", "left").withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed)))
-    each = stored(texts.groupBy("h").agg(F.min("y").cast("int").alias("y")), "labelled")
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit("")), F.lit(seed)).alias("h"))
+    each = stored(own.select("id", "h").join(marks, "id", "left").groupBy("h").agg(F.min("y").cast("int").alias("y")), "labelled")  # texts stay where they are
     totals = {r.y: r["count"] for r in each.groupBy("y").count().collect()}
     if not totals.get(1) or sum(totals.values()) == totals[1]:
         return None
     prior = (totals[1] + 1) / (totals[1] + totals.get(0, 0) + 2)
     drawn = [each.where(F.col("y").eqNullSafe(F.lit(k))).orderBy("h").limit(sample) for k in (1, 0, None)]
     chosen = drawn[0].unionByName(drawn[1]).unionByName(drawn[2])  # 12 bytes a row
-    one = texts.drop("y").join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("y").alias("y"), F.first("text").alias("text"))
+    one = own.select("h", "text").join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("y").alias("y"), F.first("text").alias("text"))
     got = with_features(one, "h", "text", "y").orderBy("id").collect()  # at most 3 * sample rows of FEATURES numbers
     x = np.array([r.x for r in got], np.float64)
     y = np.array([-1 if r.y is None else r.y for r in got])

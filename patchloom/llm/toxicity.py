@@ -368,12 +368,14 @@ def drawn_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     The texts with the least hashes are taken, so a repeated id or row takes no more room than any other.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(marks, "id").select("y", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    h = F.xxhash64(F.coalesce(text_col, F.lit("")), F.lit(seed))
+    known = docs.select(F.col(id_col).cast("long").alias("id"), h.alias("h")).join(marks, "id")  # texts stay where they are
     each = stored(known.groupBy("h").agg(F.max("y").alias("y")), "labelled")
     totals = {r.y: r["count"] for r in each.groupBy("y").count().collect()}
     picked = [each.where(F.col("y") == k).orderBy("h").limit(sample) for k in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # 12 bytes a row
-    return stored(known.drop("y").join(F.broadcast(chosen), "h").groupBy("h").agg(F.max("y").alias("y"), F.first("text").alias("text")).select("y", "text"), "drawn"), totals
+    texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), h.alias("h")).join(F.broadcast(chosen), "h")
+    return stored(texts.groupBy("h").agg(F.max("y").alias("y"), F.first("text").alias("text")).select("y", "text"), "drawn"), totals
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, words: int = WORDS, seed: int = 11) -> ToxicityModel | None:
