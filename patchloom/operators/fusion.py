@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -17,15 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchloom.functions.random import uniform
-from patchloom.functions.stats import normalize
-from patchloom.operators.neighbors import nearest_center, optimal_k, top_k_donors
+from patchloom.functions.stats import denormalize, normalize
+from patchloom.functions.threads import in_parallel
+from patchloom.operators.neighbors import MAX_CENTERS, donor_pools, lloyd, nearest_center, seeded_centers
 from patchloom.operators.rank import interval
-from patchloom.operators.sampling import categorical_draw, donor_draw, implicates
-from patchloom.sources.scratch import stored
+from patchloom.operators.sampling import categorical_draw, donor_draw, implicates, pool_draw
+from patchloom.operators.tuning import Tuned, grid_of, tune_boosting, tune_by_loss, with_folds
+from patchloom.sources.scratch import spread, stored
 
 RESERVED = ("M",)
 #: Equal-count cuts of a target for the forests' quantiles, and leaves that a forest may have.
 CUTS, MOST_LEAVES = 512, 1 << 15
+#: Levels that a category may have, donors that a block's pool keeps, and rounds allowed to boosting that stops early.
+MOST_LEVELS, BLOCK_POOL, MOST_ROUNDS = 1000, 30, 2500
 
 
 def kind_of(df: DataFrame, column: str) -> str:
@@ -63,6 +69,7 @@ class Step:
     centers: DataFrame | None = None
     donors: DataFrame | None = None
     r2: float | None = None
+    tuning: list = field(default_factory=list)
 
 
 def _features(df: DataFrame, predictors: Sequence[str]) -> PipelineModel:
@@ -90,11 +97,11 @@ class QuantileForest:
         self.forest, self.leaves = forest, leaves
 
     @classmethod
-    def fit(cls, df: DataFrame, label: str, quantiles: Sequence[float], trees: int, depth: int, bins: int, seed: int, weight: str = "_w") -> QuantileForest:
+    def fit(cls, df: DataFrame, label: str, quantiles: Sequence[float], trees: int, depth: int, bins: int, seed: int, weight: str = "_w", **options) -> QuantileForest:
         """Weights of donors at equal-count cuts of the label are summed by leaf; a leaf's quantile is the largest value of the cut where it is reached."""
         if trees << depth > MOST_LEAVES:
             raise ValueError(f"trees * 2^depth must not pass {MOST_LEAVES}")
-        forest = RandomForestRegressor(featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, leafCol="_leaf").fit(df)
+        forest = RandomForestRegressor(featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, leafCol="_leaf", **options).fit(df)
         cuts = sorted(set(df.approxQuantile(label, [k / CUTS for k in range(1, CUTS)], 0.2 / CUTS)))
         own = forest.transform(df).select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"), F.col(label).alias("v"), F.col(weight).alias("w"))
         held = own.groupBy("tree", "leaf", interval("v", cuts).alias("cut")).agg(F.sum("w").alias("w"), F.max("v").alias("v"))  # trees x leaves x CUTS rows at most
@@ -116,21 +123,38 @@ class QuantileForest:
         return held.select(*df.columns, *[mean(k).alias(n) for k, n in enumerate(names)])
 
 
+def pinball(y: Column, q: Column, tau: float) -> Column:
+    """The loss of a quantile forecast."""
+    return F.greatest(tau * (y - q), (tau - 1) * (y - q))
+
+
+def ptiles(n: int) -> tuple[float, ...]:
+    """The middles of n equal shares, the quantiles that n models expect."""
+    return tuple((2 * k + 1) / (2 * n) for k in range(n))
+
+
 @dataclass
 class DonorFusion:
     """Estimator of fusion models.
 
     y lists targets in order, a list inside it being a block drawn jointly; a target's predictors
     are x and the targets before it. Numbers are drawn from donors near in expectation (mean and
-    quantiles), zero-inflated ones after a model of zero; categories and booleans from class
-    probabilities. Donors need a unique id_col. weight is a column of non-negative donor weights.
+    quantiles, two or more, rising), zero-inflated ones after a model of zero; categories and booleans
+    from class probabilities. Donors need a unique id_col. weight is a column of non-negative donor
+    weights. nclusters of 0 makes every distinct expectation a center.
+
+    With nfolds, hyperparameters are chosen by held-out loss: as many folds, or, under 1, that share of
+    the donors to fit to. hyper maps a name of tuning.GRID to a value or a list of them, every
+    combination being tried, or a name of tuning.SINGLE to a value. Boosting then stops early and is
+    fitted to all donors with the rounds that were best. Without nfolds hyper has single values, and
+    boosting has `iterations` rounds. Steps and models are fitted some at a time (parallelism).
     """
 
     y: Sequence
     x: Sequence[str]
     id_col: str
     weight: str | None = None
-    quantiles: tuple[float, float] = (0.25, 0.75)
+    quantiles: Sequence[float] = (0.25, 0.75)
     nclusters: int = 2000
     krange: tuple[int, int] = (10, 500)
     k_block: int = 10
@@ -138,6 +162,10 @@ class DonorFusion:
     depth: int = 5
     iterations: int = 10
     seed: int = 1
+    nfolds: float | None = None
+    hyper: dict | None = None
+    kmeans_rounds: int = 10
+    parallelism: int = 4
 
     def _check(self, df: DataFrame) -> list[list[str]]:
         steps = [[s] if isinstance(s, str) else list(s) for s in self.y]
@@ -146,9 +174,15 @@ class DonorFusion:
             raise ValueError("y and x must not be empty")
         if set(names) & set(self.x) or len(set(names)) < len(names) or set(names) & set(RESERVED):
             raise ValueError("targets must be distinct, not predictors and not reserved")
+        if len(self.quantiles) < 2 or list(self.quantiles) != sorted(set(self.quantiles)) or not 0 < self.quantiles[0] < self.quantiles[-1] < 1:
+            raise ValueError("quantiles must be two or more rising shares")
+        if not 1 <= self.k_block <= BLOCK_POOL:
+            raise ValueError(f"k_block must be from 1 to {BLOCK_POOL}")
         for c in [*names, *self.x, self.id_col, *[self.weight] * bool(self.weight)]:
             if c not in df.columns:
                 raise ValueError(f"no column {c}")
+        if self.nfolds is None and len(grid_of(self.hyper, {})) > 1:
+            raise ValueError("a grid needs nfolds")
         nulls = df.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in names]).collect()[0]
         if bad := [c for c in names if nulls[c]]:
             raise ValueError(f"targets with nulls: {bad}")
@@ -157,99 +191,174 @@ class DonorFusion:
     def fit(self, df: DataFrame) -> FittedFusion:
         plan = self._check(df)
         names = [t for s in plan for t in s]
-        data = stored(df.select(self.id_col, *self.x, *names, (F.col(self.weight).cast("double") if self.weight else F.lit(1.0)).alias("_w")), "donor")
+        data = spread(df.select(self.id_col, *self.x, *names, (F.col(self.weight).cast("double") if self.weight else F.lit(1.0)).alias("_w")), self.id_col, "donor")
         steps, before = [], list(self.x)
         for targets in plan:
             kinds = {kind_of(data, t) for t in targets}
             if len(targets) > 1 and kinds != {"number"}:
                 raise ValueError("a block holds numbers only")
-            step = Step(targets, list(before), "block" if len(targets) > 1 else kinds.pop())
+            steps.append(Step(targets, list(before), "block" if len(targets) > 1 else kinds.pop()))
+            before += targets
+
+        def train(step: Step) -> None:  # by observed values of the targets before, so no step waits for another
             step.features = _features(data, step.predictors)
             self._fit(step, _featured(data, step))
-            steps.append(step)
-            before += targets
+
+        in_parallel([lambda s=s: train(s) for s in steps], self.parallelism)
         return FittedFusion(self, steps, {c: data.schema[c].dataType.simpleString() for c in [*self.x, *names]})
 
     def _bins(self, df: DataFrame) -> int:
         meta = df.schema["_x"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
         return max([32, *(len(a.get("vals", [])) + 1 for a in meta)])
 
+    def _grid(self) -> list[dict]:
+        return grid_of(self.hyper, {"max_depth": self.depth, "num_iterations": self.iterations if self.nfolds is None else MOST_ROUNDS})
+
+    def _options(self, p: dict, bins: int, boosting: bool) -> dict:
+        """Arguments of Spark's tree estimators for a set of hyperparameters."""
+        depth = int(p["max_depth"])
+        if p.get("num_leaves"):
+            depth = min(depth, int(math.log2(p["num_leaves"])))
+        out = {"maxDepth": depth, "maxBins": max(bins, int(p.get("max_bin") or 0)), "seed": self.seed, "subsamplingRate": float(p.get("bagging_fraction") or 1.0), "minInstancesPerNode": int(p.get("min_data_in_leaf") or 1)}
+        if p.get("feature_fraction"):
+            out["featureSubsetStrategy"] = "all" if p["feature_fraction"] >= 1 else str(float(p["feature_fraction"]))
+        return out | ({"stepSize": float(p.get("learning_rate") or 0.1)} if boosting else {})
+
+    def _folds(self, data: DataFrame, tag: str, continuous: bool) -> tuple[DataFrame, list[int]]:
+        """The data with one fold column for all models of a target."""
+        if self.nfolds is None:
+            return data, []
+        folded, folds = with_folds(data, "_y", self.id_col, self.nfolds, continuous, f"fold|{tag}")
+        return stored(folded, "folds"), folds
+
+    def _boosted(self, step: Step, name: str, kind: type, data: DataFrame, folds: list[int], bins: int):
+        """A boosted model of _y, of the best hyperparameters and rounds where there are folds."""
+
+        def fit(df: DataFrame, p: dict, rounds: int):
+            return kind(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds, **self._options(p, bins, True)).fit(df)
+
+        losses = (lambda m, d: m.evaluateEachIteration(d, "squared")) if kind is GBTRegressor else (lambda m, d: m.evaluateEachIteration(d))
+        return self._chosen(step, name, tune_boosting(data, folds, self._grid(), fit, losses, self.parallelism) if folds else None, lambda p, rounds: fit(data, p, rounds))
+
+    def _chosen(self, step: Step, name: str, tuned: Tuned | None, fit):
+        if tuned is None:
+            p = self._grid()[0]
+            return fit(p, int(p["num_iterations"]))
+        step.tuning += [{"model": name, **row} for row in tuned.rows]
+        return fit(tuned.params, tuned.rounds)
+
+    def _forest_grid(self) -> list[dict]:
+        """The grid without what forests have no use for."""
+        sets = []
+        for p in self._grid():
+            if (q := {k: v for k, v in p.items() if k not in ("num_iterations", "learning_rate")}) not in sets:
+                sets.append(q)
+        return sets
+
+    def _quantile_forest(self, step: Step, name: str, data: DataFrame, folds: list[int], bins: int) -> QuantileForest:
+        names = [f"_q{k}" for k in range(len(self.quantiles))]
+
+        def fit(df: DataFrame, p: dict) -> QuantileForest:
+            o = self._options(p, bins, False)
+            return QuantileForest.fit(df, "_y", self.quantiles, self.trees, o.pop("maxDepth"), o.pop("maxBins"), o.pop("seed"), **o)
+
+        def loss(train: DataFrame, held: DataFrame, p: dict) -> float:
+            each = sum(pinball(F.col("_y"), F.col(q), tau) for q, tau in zip(names, self.quantiles, strict=True)) / len(names)
+            return fit(train, p).transform(held, names).agg(F.sum(each * F.col("_w")) / F.sum("_w")).collect()[0][0]
+
+        tuned = tune_by_loss(data, folds, self._forest_grid(), loss, self.parallelism) if folds else None
+        return self._chosen(step, name, tuned, lambda p, _: fit(data, p))
+
+    def _class_forest(self, step: Step, data: DataFrame, folds: list[int], bins: int):
+        def fit(df: DataFrame, p: dict):
+            return RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=self.trees, **self._options(p, bins, False)).fit(df)
+
+        def loss(train: DataFrame, held: DataFrame, p: dict) -> float:
+            own = F.greatest(F.try_element_at(vector_to_array("probability"), F.col("_y").cast("int") + 1), F.lit(1e-15))
+            return fit(train, p).transform(held).agg(F.sum(-F.log(F.coalesce(own, F.lit(1e-15))) * F.col("_w")) / F.sum("_w")).collect()[0][0]
+
+        tuned = tune_by_loss(data, folds, self._forest_grid(), loss, self.parallelism) if folds else None
+        return self._chosen(step, "class", tuned, lambda p, _: fit(data, p))
+
     def _fit(self, step: Step, data: DataFrame) -> None:
         bins, t = self._bins(data), step.targets[0]
-        boost = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "maxDepth": self.depth, "maxIter": self.iterations, "maxBins": bins, "seed": self.seed}
+        tag = "+".join(step.targets)
         if step.kind == "category":
-            step.levels = [r[0] for r in data.select(t).distinct().orderBy(t).collect()]
+            step.levels = [r[0] for r in data.select(t).distinct().orderBy(t).limit(MOST_LEVELS + 1).collect()]
+            if len(step.levels) > MOST_LEVELS:
+                raise ValueError(f"{t} has more than {MOST_LEVELS} levels")
             codes = F.array_position(F.array(*[F.lit(v) for v in step.levels]), F.col(t)) - 1
-            step.models["class"] = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=self.trees, maxDepth=self.depth, maxBins=bins, seed=self.seed).fit(data.withColumn("_y", codes.cast("double")))
+            own, folds = self._folds(data.withColumn("_y", codes.cast("double")), tag, False)
+            step.models["class"] = self._class_forest(step, own, folds, bins)
             return
         if step.kind == "binary":
-            step.models["class"] = GBTClassifier(**boost).fit(data.withColumn("_y", F.col(t).cast("double")))
+            own, folds = self._folds(data.withColumn("_y", F.col(t).cast("double")), tag, False)
+            step.models["class"] = self._boosted(step, "class", GBTClassifier, own, folds, bins)
             return
         if step.kind == "number" and zero_inflated(data, t):
-            step.zero = GBTClassifier(**boost).fit(data.withColumn("_y", (F.col(t) == 0).cast("double")))
+            own, folds = self._folds(data.withColumn("_y", (F.col(t) == 0).cast("double")), f"zero|{tag}", False)
+            step.zero = self._boosted(step, "zero", GBTClassifier, own, folds, bins)
             data = data.where(F.col(t) != 0)
-        for c in step.targets:
-            own = data.withColumn("_y", F.col(c).cast("double"))
-            step.models[c] = (GBTRegressor(**boost).fit(own), QuantileForest.fit(own, "_y", self.quantiles, self.trees, self.depth, bins, self.seed))
-        expected = stored(self.expect(step, data, [self.id_col]), "expected")
-        features = self.expectations(step)
-        medians = expected.agg(*[F.percentile_approx(f, 0.5, 100000).alias(f) for f in features]).collect()[0]
-        mads = expected.agg(*[(F.percentile_approx(F.abs(F.col(f) - medians[f]), 0.5, 100000) * 1.4826).alias(f) for f in features], *[F.stddev_samp(f).alias(f"sd_{f}") for f in features]).collect()[0]
-        step.scales = {f: (medians[f], mads[f] or mads[f"sd_{f}"] or 1.0) for f in features}
+        held = {c: self._folds(data.withColumn("_y", F.col(c).cast("double")), c, True) for c in step.targets}
+        tasks = [lambda c=c: self._boosted(step, f"mean {c}", GBTRegressor, *held[c], bins) for c in step.targets]
+        tasks += [lambda c=c: self._quantile_forest(step, f"quantile {c}", *held[c], bins) for c in step.targets]
+        fitted = in_parallel(tasks, self.parallelism)
+        step.models = dict(zip(step.targets, zip(fitted, fitted[len(step.targets) :], strict=False), strict=True))
+        expected = stored(self.expect(step, data), "expected")
+        self._pools(step, expected)
+
+    def _pools(self, step: Step, expected: DataFrame) -> None:
+        """Scales the expectations, finds centers among them, and gives each center its donors."""
+        t, features = step.targets[0], self.expectations(step)
+        middle = expected.agg(*[F.percentile_approx(f, 0.5, 100000).alias(f) for f in features], *[(F.min(f).between(0, 1) & F.max(f).between(0, 1)).alias(f"in_{f}") for f in features]).collect()[0]
+        spread = expected.agg(*[(F.percentile_approx(F.abs(F.col(f) - middle[f]), 0.5, 100000) * 1.4826).alias(f) for f in features], *[F.stddev_samp(f).alias(f"sd_{f}") for f in features]).collect()[0]
+        step.scales = {f: None if middle[f"in_{f}"] else (middle[f], spread[f] or spread[f"sd_{f}"] or 1.0) for f in features}
         scaled = stored(self.scale(step, expected), "scaled")
         found = self._centers(scaled, features)
-        spark = data.sparkSession
-        step.centers = spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(found)], "cid int, " + ", ".join(f"`{f}` double" for f in features))
-        k = 30 if step.kind == "block" else self.krange[1]
-        near = top_k_donors(scaled, step.centers, k, "cid", self.id_col, features)
-        values = scaled.select(self.id_col, "_w", *step.targets, *[F.col(f).alias(f"_d_{f}") for f in features])
-        near = near.join(values, self.id_col)
-        if step.kind == "block":
-            near = near.where(F.col("rank") <= self.k_block)
-        else:
-            lo, hi, mean = (F.avg(f"_d_{f}").over(Window.partitionBy("cid").orderBy("rank").rowsBetween(0, self.krange[0])) for f in (features[1], features[2], features[0]))
-            first = F.col("rank") == 1
-            inverse = lambda f: (step.scales[f][0], step.scales[f][1])
-            near = near.withColumns({"_lo": lo, "_hi": hi, "_mean": mean})
-            center = near.where(first).select("cid", *[self._unscaled(F.col(c), *inverse(f)).alias(n) for c, f, n in (("_mean", features[0], "_tm"), ("_lo", features[1], "_tl"), ("_hi", features[2], "_th"))])
-            ks = optimal_k(near.join(center, "cid"), "cid", t, "_w", "_tm", "_tl", "_th", self.quantiles, self.krange[0])
-            near = near.join(ks.select("cid", "k"), "cid", "left").where(F.col("rank") <= F.coalesce("k", F.lit(self.krange[1])))
-        step.donors = stored(near.select("cid", F.col(self.id_col).alias("donor_id"), "_w", *step.targets), "neighbors")
-        spread = step.donors.groupBy("cid").agg(F.avg(t).alias("m"), F.count("*").alias("n"), F.var_pop(t).alias("v")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("w"), F.var_pop("m").alias("b")).collect()[0]
-        step.r2 = None if not spread.b else spread.b / (spread.b + (spread.w or 0.0))
-
-    def _centers(self, scaled: DataFrame, features: list[str]) -> list:
-        """Every distinct expectation if there are at most nclusters of them, else exactly nclusters means.
-
-        k-means starts from a sample without replacement of the distinct expectations, weighted by their donors.
-        """
-        points = stored(scaled.groupBy(*features).agg(F.count("*").cast("double").alias("_n")), "points")
-        few = points.select(*features).limit(self.nclusters + 1).collect()
-        if len(few) <= self.nclusters:
-            return sorted(tuple(r) for r in few)
-        vectors = VectorAssembler(inputCols=features, outputCol="_v").transform(points)
-        return KMeans(k=self.nclusters, featuresCol="_v", weightCol="_n", initMode="random", seed=self.seed, maxIter=20).fit(vectors).clusterCenters()
+        plain = [f"_t{k}" for k in range(len(features))]
+        unscaled = [F.col(f) if step.scales[f] is None else denormalize(F.col(f), *step.scales[f]) for f in features]
+        spark = expected.sparkSession
+        centers = spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(found)], "cid int, " + ", ".join(f"`{f}` double" for f in features))
+        step.centers = centers.select("cid", *features, *[c.alias(n) for c, n in zip(unscaled, plain, strict=True)])
+        block = step.kind == "block"
+        rule = None if block else (t, "_w", plain, tuple(self.quantiles), self.krange[0])
+        pools = donor_pools(scaled, step.centers, BLOCK_POOL if block else self.krange[1], "cid", self.id_col, features, ["_w", *step.targets], rule)
+        step.donors = stored(pools.select("cid", F.col(self.id_col).alias("donor_id"), "rank", "_w", *[F.col(c).cast(expected.schema[c].dataType).alias(c) for c in step.targets]), "neighbors")
+        if not block:
+            step.r2 = self._r2(step)
 
     @staticmethod
-    def _unscaled(c, center: float, scale: float):
-        from patchloom.functions.stats import denormalize
+    def _r2(step: Step) -> float | None:
+        """How much of the centers' expected means the means of their pools keep: 1 - SSR / SST."""
+        own = step.donors.groupBy("cid").agg((F.sum(F.col(step.targets[0]) * F.col("_w")) / F.sum("_w")).alias("m")).join(step.centers, "cid")
+        r = own.agg(F.sum(F.pow(F.col("_t0") - F.col("m"), F.lit(2))).alias("ssr"), (F.var_pop("_t0") * F.count("*")).alias("sst")).collect()[0]
+        return 1 - r.ssr / r.sst if r.sst else None
 
-        return denormalize(c, center, scale)
+    def _centers(self, scaled: DataFrame, features: list[str]) -> list:
+        """Every distinct expectation if there are at most nclusters of them, else k-means from points spread over the distances from the median."""
+        most = self.nclusters or MAX_CENTERS
+        points = spread(scaled.groupBy(*features).agg(F.count("*").cast("double").alias("_n")), features[0], "points")
+        few = points.select(*features).limit(most + 1).collect()
+        if len(few) <= most:
+            return sorted(tuple(r) for r in few)
+        if not self.nclusters:
+            raise ValueError(f"more than {MAX_CENTERS} distinct expectations: give nclusters")
+        return lloyd(points, features, "_n", seeded_centers(points, features, most), self.kmeans_rounds).tolist()
 
-    @staticmethod
-    def expectations(step: Step) -> list[str]:
-        return [f"_e{k}_{t}" for t in step.targets for k in range(3)]
+    def expectations(self, step: Step) -> list[str]:
+        return [f"_e{k}_{t}" for t in step.targets for k in range(1 + len(self.quantiles))]
 
-    def expect(self, step: Step, data: DataFrame, ids: Sequence[str]) -> DataFrame:
-        """Adds the mean and the two quantiles that the models expect of each target."""
+    def expect(self, step: Step, data: DataFrame) -> DataFrame:
+        """Adds the mean and the quantiles that the models expect of each target."""
         for t in step.targets:
             boost, forest = step.models[t]
             data = boost.transform(data).withColumnRenamed("prediction", f"_e0_{t}")
-            data = forest.transform(data, [f"_e1_{t}", f"_e2_{t}"])
+            data = forest.transform(data, [f"_e{k + 1}_{t}" for k in range(len(self.quantiles))])
         return data
 
     def scale(self, step: Step, data: DataFrame) -> DataFrame:
-        return data.withColumns({f: normalize(F.col(f), *step.scales[f]) for f in self.expectations(step)})
+        """The expectations around their medians; those that are all in [0, 1] stay as they are."""
+        return data.withColumns({f: normalize(F.col(f), *step.scales[f]) for f in self.expectations(step) if step.scales[f]})
 
 
 @dataclass
@@ -266,19 +375,29 @@ class FittedFusion:
             if want != got and not {want, got} <= {"int", "bigint", "double", "float", "smallint"}:
                 raise ValueError(f"predictor {p} is {got}, not {want}")
 
-    def transform(self, df: DataFrame, m: int = 1, retain: Sequence[str] = ()) -> DataFrame:
+    def transform(self, df: DataFrame, m: int = 1, retain: Sequence[str] = (), k_block: int | None = None) -> DataFrame:
         """(M, id, retain..., targets...): m simulated versions of the targets for every row.
 
-        Randomness is keyed by target, implicate and id, so results don't depend on partitions.
+        Randomness is keyed by target, implicate and id, so results don't depend on partitions. k_block, if
+        given, takes the place of the model's: blocks are drawn from so many nearest donors.
         """
         self._check(df)
+        k_block = k_block or self.spec.k_block
+        if not 1 <= k_block <= BLOCK_POOL:
+            raise ValueError(f"k_block must be from 1 to {BLOCK_POOL}")
         keys = ["M", self.spec.id_col]
-        held = implicates(df.select(self.spec.id_col, *dict.fromkeys([*self.spec.x, *retain])), m)
+        held = implicates(spread(df.select(self.spec.id_col, *dict.fromkeys([*self.spec.x, *retain])), self.spec.id_col, "recipient"), m)
         for step in self.steps:
-            held = stored(self._simulate(step, held, keys), "fused")
+            held = stored(self._simulate(step, held, keys, k_block), "fused")
         return held.select("M", self.spec.id_col, *retain, *[t for s in self.steps for t in s.targets])
 
-    def _simulate(self, step: Step, held: DataFrame, keys: list[str]) -> DataFrame:
+    def tuning(self) -> DataFrame:
+        """(y, model, params, rounds, loss, chosen): a row for each set of hyperparameters tried, params as JSON."""
+        sets = [(s, {k: v for k, v in r.items() if k not in ("model", "rounds", "loss", "chosen") and v is not None}, r) for s in self.steps for r in s.tuning]
+        rows = [("+".join(s.targets), r["model"], json.dumps(p, sort_keys=True), r["rounds"], r["loss"], r["chosen"]) for s, p, r in sets]
+        return SparkSession.getActiveSession().createDataFrame(rows, "y string, model string, params string, rounds int, loss double, chosen boolean")
+
+    def _simulate(self, step: Step, held: DataFrame, keys: list[str], k_block: int) -> DataFrame:
         t, spec, plain = step.targets[0], self.spec, held.columns
         data = _featured(held, step)
         u = uniform(f"fuse|{'+'.join(step.targets)}", *keys)
@@ -294,12 +413,16 @@ class FittedFusion:
             data = step.zero.transform(data).withColumn("_zero", zero < vector_to_array("probability")[1]).select(*plain, "_x", "_key", "_zero")
         else:
             data = data.withColumn("_zero", F.lit(False))
-        rest = spec.scale(step, spec.expect(step, data.where("not _zero"), keys))
+        rest = spec.scale(step, spec.expect(step, data.where("not _zero")))
         rest = nearest_center(rest, step.centers, "cid", spec.expectations(step)).withColumn("_u", u)
-        drawn = donor_draw(rest.select("_key", "cid", "_u"), step.donors, "cid", "_w", step.targets, F.col("_u"), "_key", "donor_id")
-        none = [F.lit(0).cast(step.donors.schema[c].dataType).alias(c) for c in step.targets]
-        full = rest.select(*plain, "_key").join(drawn.select("_key", *step.targets), "_key").select(*plain, *step.targets)
-        return full.unionByName(data.where("_zero").select(*plain, *none))
+        donors = step.donors.where(F.col("rank") <= k_block) if step.kind == "block" else step.donors
+        none = [F.lit(0).cast(donors.schema[c].dataType).alias(c) for c in step.targets]
+        full = pool_draw(rest.select(*plain, "cid", "_u"), donors, "cid", "_w", step.targets, "_u", "donor_id")
+        if full is None:
+            drawn = donor_draw(rest.select("_key", "cid", "_u"), donors, "cid", "_w", step.targets, F.col("_u"), "_key", "donor_id")
+            full = rest.select(*plain, "_key").join(drawn.select("_key", *step.targets), "_key")
+        full = full.select(*plain, *step.targets)
+        return full if step.zero is None else full.unionByName(data.where("_zero").select(*plain, *none))
 
     def importance(self) -> tuple[DataFrame, DataFrame]:
         """(summary, detailed): the predictors' shares of gain by target, and by target and model."""
@@ -335,8 +458,8 @@ class FittedFusion:
             if s.centers is not None:
                 s.centers.write.mode("overwrite").parquet(f"{at}/centers")
                 s.donors.write.mode("overwrite").parquet(f"{at}/donors")
-            described.append({"targets": s.targets, "predictors": s.predictors, "kind": s.kind, "levels": s.levels, "zero": s.zero is not None, "models": list(s.models), "scales": s.scales, "r2": s.r2})
-        spec = {k: getattr(self.spec, k) for k in ("y", "x", "id_col", "weight", "quantiles", "nclusters", "krange", "k_block", "trees", "depth", "iterations", "seed")}
+            described.append({"targets": s.targets, "predictors": s.predictors, "kind": s.kind, "levels": s.levels, "zero": s.zero is not None, "models": list(s.models), "scales": s.scales, "r2": s.r2, "tuning": s.tuning})
+        spec = {k: getattr(self.spec, k) for k in ("y", "x", "id_col", "weight", "quantiles", "nclusters", "krange", "k_block", "trees", "depth", "iterations", "seed", "nfolds", "hyper", "kmeans_rounds", "parallelism")}
         text = json.dumps({"spec": spec, "steps": described, "contract": self.contract})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
         return path
@@ -349,9 +472,9 @@ def load_fusion(spark: SparkSession, path: str) -> FittedFusion:
     meta = json.loads("".join(r.value for r in spark.read.text(f"{path}/metadata").collect()))
     steps = []
     for n, d in enumerate(meta["steps"]):
-        at, s = f"{path}/step{n}", Step(d["targets"], d["predictors"], d["kind"], d["levels"], r2=d["r2"])
+        at, s = f"{path}/step{n}", Step(d["targets"], d["predictors"], d["kind"], d["levels"], r2=d["r2"], tuning=d["tuning"])
         s.features = PipelineModel.load(f"{at}/features")
-        s.scales = {k: tuple(v) for k, v in d["scales"].items()}
+        s.scales = {k: v and tuple(v) for k, v in d["scales"].items()}
         s.zero = GBTClassificationModel.load(f"{at}/zero") if d["zero"] else None
         for name in d["models"]:
             if name == "class":

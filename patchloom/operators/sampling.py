@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -13,6 +15,8 @@ from patchloom.operators.rank import interval
 
 #: Pieces that a stratum or cluster is worked on in, however many rows it has.
 PIECES = 64
+#: Donors of all pools together that go to every task as arrays (16 bytes each and 8 more for each further target).
+MOST_DONORS = 2_000_000
 
 
 def strata(df: DataFrame, y: str, tiles: int, id_col: str, name: str = "stratum") -> DataFrame:
@@ -115,3 +119,36 @@ def donor_draw(recipients: DataFrame, donors: DataFrame, cluster: str, donor_wei
     # a draw at exactly a donor's end belongs to the next donor: ends sort after asks in falling order
     found = ends.unionByName(carried).unionByName(asks).withColumn("_found", F.last("_d", ignorenulls=True).over(ahead)).where("_kind = 0")
     return found.select(id_col, cluster, F.col("_found._donor").alias(donor_id), *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
+def pool_draw(df: DataFrame, donors: DataFrame, cid: str, weight: str, targets: Sequence[str], u: str, donor_id: str) -> DataFrame | None:
+    """Adds the targets of a donor drawn for each row from its cluster's pool by weight, as donor_draw picks it; None where the pools are too large.
+
+    Pools of up to MOST_DONORS rows are counted, sent to every task, and searched there by running weight, so no row of df moves. A row
+    without a pool gets nulls. Targets pass through doubles.
+    """
+    held = donors.select(cid, donor_id, F.col(weight).cast("double").alias("_w"), *[F.col(t).cast("double").alias(t) for t in targets])
+    if held.limit(MOST_DONORS + 1).count() > MOST_DONORS:
+        return None
+    pdf = held.toPandas().sort_values([cid, donor_id])
+    names, start = np.unique(pdf[cid].to_numpy(), return_index=True)
+    upto = np.cumsum(pdf["_w"].to_numpy(float))
+    end = np.append(start[1:], len(pdf))
+    before = np.concatenate(([0.0], upto))[start]
+    sent = df.sparkSession.sparkContext.broadcast((names, start, end, upto, before, pdf[list(targets)].to_numpy(float)))
+
+    def draw(own: pd.Series, place: pd.Series) -> pd.DataFrame:
+        names, start, end, upto, before, values = sent.value
+        out = np.full((len(own), len(targets)), np.nan)
+        wanted, at = pd.to_numeric(own).to_numpy(float), place.to_numpy(float)
+        k = np.minimum(np.searchsorted(names, wanted), max(0, len(names) - 1))
+        good = np.flatnonzero(names[k] == wanted) if len(names) else np.zeros(0, int)
+        k = k[good]
+        total = upto[end[k] - 1] - before[k]
+        pick = np.searchsorted(upto, before[k] + at[good] * total, "right")
+        out[good] = values[np.clip(pick, start[k], end[k] - 1)]
+        return pd.DataFrame({f"t{j}": pd.Series(out[:, j]).where(np.isfinite(out[:, j]), None) for j in range(len(targets))})
+
+    types = ", ".join(f"t{j} double" for j in range(len(targets)))
+    found = df.withColumn("_drawn", F.pandas_udf(draw, types)(F.col(cid), F.col(u)))
+    return found.select(*df.columns, *[F.col(f"_drawn.t{j}").cast(donors.schema[t].dataType).alias(t) for j, t in enumerate(targets)])

@@ -28,3 +28,12 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     path, schema = scratch_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str, name: str = "spread") -> DataFrame:
+    """df stored, in as many files at least as tasks run side by side, so that costly work over a small table uses them all.
+
+    Where there are fewer, rows are dealt out by the hash of key and sorted by it, so reruns meet the same rows in the same order.
+    """
+    out, wanted = stored(df, name), df.sparkSession.sparkContext.defaultParallelism
+    return out if len(out.inputFiles()) >= wanted else stored(out.repartition(wanted, key).sortWithinPartitions(key), name)
