@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from patchloom.functions.stats import partial_sums, pooled_error, t_quantile, we
 from patchloom.operators.rank import PARTS, interval
 from patchloom.sources.scratch import stored
 
+#: Groups of up to so many rows have the variance of their median from so many resamples, larger ones from the density.
+SMALL, DRAWS = 1000, 200
+
 
 def weighted_median(df: DataFrame, groups: Sequence[str], x: str = "x", w: str = "w") -> DataFrame:
     """(groups, est): the interpolated weighted median; equal values are one with their weights' sum.
@@ -54,6 +61,58 @@ def median_variance(df: DataFrame, groups: Sequence[str], medians: DataFrame, x:
     return dense.select(*groups, F.coalesce(F.try_divide(F.lit(1.0), 4 * F.col("_n") * F.col("_f") * F.col("_f")), F.lit(0.0)).alias("var"))
 
 
+@lru_cache(maxsize=2)
+def draw_table(draws: int = DRAWS, most: int = SMALL) -> np.ndarray:
+    """Keyed uniforms, a row for each resample and a column for each place in a group: 1.6 MB, the same for all groups."""
+    digest = lambda b, i: int(hashlib.md5(f"boot|{b}|{i}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
+    return np.array([[digest(b, i) for i in range(1, most + 1)] for b in range(1, draws + 1)]) / 4294967296.0
+
+
+def medians_of(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The interpolated weighted median of each row of x, all with the weights w; equal values are one with their weights' sum."""
+    order = np.argsort(x, axis=1, kind="stable")
+    x, w = np.take_along_axis(x, order, 1), w[order]
+    upto = np.cumsum(w, axis=1)
+    new = np.concatenate((np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]), axis=1)
+    start = np.maximum.accumulate(np.where(new, upto - w, -np.inf), axis=1)
+    last = np.concatenate((new[:, 1:], np.ones((len(x), 1), bool)), axis=1)
+    end = np.minimum.accumulate(np.where(last, upto, np.inf)[:, ::-1], axis=1)[:, ::-1]
+    c, half = (start + end) / 2, upto[:, -1:] / 2
+    below = (c <= half).sum(1)
+    row, lo, hi = np.arange(len(x)), np.maximum(below - 1, 0), np.minimum(below, x.shape[1] - 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(c[row, hi] > c[row, lo], (half[:, 0] - c[row, lo]) / (c[row, hi] - c[row, lo]), 0.0)
+    return x[row, lo] + np.where(below == 0, 0.0, t) * (x[row, hi] - x[row, lo])
+
+
+def bootstrap_variance(df: DataFrame, groups: Sequence[str], x: str = "x", w: str = "w") -> DataFrame:
+    """(groups, var): the variance of the weighted median over DRAWS resamples of each group of up to SMALL rows; larger groups have no row.
+
+    A resample draws values with replacement and leaves the weights in their places, the order of the rows by value and
+    weight. Draws are keyed by resample and place, so they don't depend on partitions. Groups are counted before any rows are
+    brought together, and a task holds one group's rows at a time.
+    """
+    data = df.where(F.col(x).isNotNull()).select(*groups, F.col(x).cast("double").alias("_x"), F.col(w).cast("double").alias("_w"))
+    held = F.when(F.count("*") <= SMALL, F.lit(True))
+    sizes = data.groupBy(*groups).agg(held.alias("_small")).where("_small").drop("_small")
+    names = [f"_g{k}" for k in range(len(groups))]
+    small = sizes.select(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)])
+    same = F.lit(True)
+    for g, n in zip(groups, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    rows = data.join(small, same).groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("_x", "_w"))).alias("_r"))
+    draws = df.sparkSession.sparkContext.broadcast(draw_table(DRAWS, SMALL))
+
+    def variance(values: pd.Series, weights: pd.Series) -> pd.Series:
+        out = []
+        for v, own in zip(values, weights, strict=True):
+            pick = np.floor(draws.value[:, : len(v)] * len(v)).astype(int)
+            out.append(float(np.var(medians_of(v[pick], np.asarray(own, float)), ddof=1)) if v.min() < v.max() else 0.0)
+        return pd.Series(out)
+
+    return rows.select(*groups, F.pandas_udf(variance, "double")(F.col("_r._x"), F.col("_r._w")).alias("var"))
+
+
 def analyze(implicates: DataFrame, mean: Sequence[str] = (), sum: Sequence[str] = (), median: Sequence[str] = (), proportion: dict[str, Sequence] | None = None, count: dict[str, Sequence] | None = None, by: Sequence[str] = (), weight: str | None = None, rep_weights: Sequence[str] | None = None, static: DataFrame | None = None, id_col: str = "rid", m_col: str = "M", var_scale: float = 4.0, fun: Callable[[DataFrame], DataFrame] | None = None, detail: bool = False) -> DataFrame:  # noqa: A002
     """(by..., N, y, level, type, est, moe[, se, df]) pooled over implicates by Rubin's rules, at 90% confidence.
 
@@ -88,7 +147,8 @@ def analyze(implicates: DataFrame, mean: Sequence[str] = (), sum: Sequence[str]
     if median:
         rows = long.where("type = 'median'").withColumn("level", F.lit(""))
         first = weighted_median(rows, keys, "x", "_w")
-        spread = median_variance(rows, keys, first, "x", "_w")
+        wide, drawn = median_variance(rows, keys, first, "x", "_w"), bootstrap_variance(rows, keys, "x", "_w").withColumnRenamed("var", "_drawn")
+        spread = wide.join(drawn, keys, "left").select(*keys, F.coalesce("_drawn", "var").alias("var"))
         second = weighted_median(rows, keys, "x", "_w2").withColumnRenamed("est", "_second") if rep_weights else first.withColumnRenamed("est", "_second")
         medians = first.join(second, keys).join(spread, keys)
         counts = each.where("type = 'median'").withColumn("level", F.lit("")).select(*keys, "_n")

@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.operators.smooth import in_order, met, super_smoothed
+from patchloom.sources.scratch import stored
+
 
 def expend_fixups(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
     """y is 0 where x is 0, and the group's least positive y where x is positive and y is 0; negative values raise."""
-    least = F.min(F.when(F.col(y) > 0, F.col(y))).over(Window.partitionBy(*groups))
+    least = df.groupBy(*groups).agg(F.min(F.when(F.col(y) > 0, F.col(y))).alias("_least"))
     bad = F.when((F.col(x) < 0) | (F.col(y) < 0), F.raise_error(F.lit("x and y must not be negative")).cast("double"))
-    return df.withColumn(y, F.when(bad.isNotNull(), bad).when(F.col(x) == 0, F.lit(0.0)).when(F.col(y) == 0, least).otherwise(F.col(y)))
+    fixed = F.when(bad.isNotNull(), bad).when(F.col(x) == 0, F.lit(0.0)).when(F.col(y) == 0, F.col("_least")).otherwise(F.col(y))
+    return met(df, least, list(groups)).withColumn(y, fixed).drop("_least")
 
 
 def rearranged(df: DataFrame, x: str, y: str, groups: Sequence[str], id_col: str, name: str = "y_mono") -> DataFrame:
@@ -43,41 +47,35 @@ def interpolated(queries: DataFrame, knots: DataFrame, groups: Sequence[str], x:
     return met.select(id_col, *groups, F.col("_x").alias(x), value.alias(name))
 
 
-def smoothed(df: DataFrame, x: str, y: str, groups: Sequence[str], id_col: str, span: int = 50, name: str = "y_smooth") -> DataFrame:
-    """A running local line: least squares over the `span` rows on either side in order of x, at the row's x."""
-    near = Window.partitionBy(*groups).orderBy(x, id_col).rowsBetween(-span, span)
-    n, sx, sy = F.count("*").over(near), F.avg(F.col(x)).over(near), F.avg(F.col(y)).over(near)
-    sxy, sxx = F.avg(F.col(x) * F.col(y)).over(near), F.avg(F.col(x) * F.col(x)).over(near)
-    stats = df.withColumns({"_n": n, "_sx": sx, "_sy": sy, "_sxy": sxy, "_sxx": sxx})
-    slope = F.when(F.col("_sxx") - F.col("_sx") * F.col("_sx") > 1e-9 * F.abs("_sxx"), (F.col("_sxy") - F.col("_sx") * F.col("_sy")) / (F.col("_sxx") - F.col("_sx") * F.col("_sx"))).otherwise(0.0)
-    return stats.withColumn(name, F.col("_sy") + slope * (F.col(x) - F.col("_sx"))).drop("_n", "_sx", "_sy", "_sxy", "_sxx")
-
-
-def monotonic(df: DataFrame, x: str, y: str, id_col: str, groups: Sequence[str] = (), weight: str | None = None, preserve: bool = True, expend: bool = True, span: int = 50, name: str = "y_mono") -> DataFrame:
-    """Adds name: y smoothed over x, sorted along x in its own direction and, if preserve, scaled to the group's weighted mean of y.
+def monotonic(df: DataFrame, x: str, y: str, id_col: str, groups: Sequence[str] = (), weight: str | None = None, preserve: bool = True, expend: bool = True, name: str = "y_mono") -> DataFrame:
+    """Adds name: y super-smoothed over x, sorted along x in its own direction and, if preserve, scaled to the group's weighted mean of y.
 
-    expend also sets y to 0 where x is 0 and never below the least positive y elsewhere. Equal x get equal values.
+    expend also sets y to 0 where x is 0 and never below the least positive y elsewhere. Equal x get equal values. All steps
+    are aggregations, ordered ranges and joins over the distinct x of a group, so one group is as good as many.
     """
-    groups = list(groups)
+    keys = list(groups)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    if not groups:
-        df, groups, alone = df.withColumn("_all", F.lit(1)), ["_all"], True
-    else:
-        alone = False
-    base = df.withColumn("_was", F.col(y).cast("double")).withColumn(y, F.col(y).cast("double"))
-    fixed = expend_fixups(base, x, y, groups) if expend else base
-    smooth = smoothed(fixed, x, y, groups, id_col, span)
-    paired = rearranged(smooth, x, "y_smooth", groups, id_col, "_m")
-    level = Window.partitionBy(*groups, x)
-    paired = paired.withColumn("_m", F.avg("_m").over(level))
-    floor = F.min(F.when(F.col("_was") > 0, F.col("_was"))).over(Window.partitionBy(*groups))
-    low = lambda c: F.when(F.col(x) == 0, F.lit(0.0)).otherwise(F.greatest(c, floor)) if expend else c
-    out = paired.withColumn("_m", low(F.col("_m")))
+    base = stored(df.select(id_col, *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), w.alias("_w")), "base")
+    fixed = expend_fixups(base, "_x", "_y", keys) if expend else base
+    curve = stored(super_smoothed(fixed, "_x", "_y", keys, "_w"), "curve")
+    facts = base.groupBy(*keys).agg(F.min(F.when(F.col("_y") > 0, F.col("_y"))).alias("_least"), F.sum(F.col("_y") * F.col("_w")).alias("_total"))
+    facts = met(facts, curve.groupBy(*keys).agg(F.coalesce(F.corr("_x", "smooth"), F.lit(1.0)).alias("_r0")), keys)
+    facts = stored(facts, "facts")
+    # the smoothed values in order, met by their places with the x in order
+    values = met(curve, facts, keys).select(*keys, F.when(F.col("_r0") >= 0, F.col("smooth")).otherwise(-F.col("smooth")).alias("_v"))
+    ties = stored(values.groupBy(*keys, "_v").agg(F.count("*").cast("double").alias("_k")), "values")
+    upto = in_order(ties, keys, "_v", ["_k"]).select(*keys, "_v", F.explode(F.sequence((F.col("_c__k") - F.col("_k") + 1).cast("long"), F.col("_c__k").cast("long"))).alias("_place"))
+    xs = in_order(curve.select(*keys, "_x", "w"), keys, "_x").select(*keys, "_x", "w", F.col("_r").cast("long").alias("_place"))
+    paired = met(met(xs, upto, [*keys, "_place"]), facts, keys)
+    low = lambda c: F.when(F.col("_x") == 0, F.lit(0.0)).otherwise(F.greatest(c, F.col("_least"))) if expend else c
+    paired = paired.withColumn("_m", low(F.when(F.col("_r0") >= 0, F.col("_v")).otherwise(-F.col("_v"))))
     if preserve:
-        whole = Window.partitionBy(*groups)
-        scale = F.coalesce(F.try_divide(F.sum(F.col("_was") * w).over(whole), F.sum(F.col("_m") * w).over(whole)), F.lit(1.0))
-        out = out.withColumn("_m", low(F.col("_m") * scale))
-    return out.withColumn(y, F.col("_was")).withColumnRenamed("_m", name).drop("_was", "y_smooth", *["_all"] * alone)
+        paired = stored(paired, "paired")
+        scale = paired.groupBy(*keys).agg(F.coalesce(F.try_divide(F.first("_total"), F.sum(F.col("_m") * F.col("w"))), F.lit(1.0)).alias("_scale"))
+        paired = met(paired, scale, keys).withColumn("_m", low(F.col("_m") * F.col("_scale")))
+    flat = paired.select(*keys, F.col("_x").alias("_at"), F.col("_m").alias(name))
+    held = df.withColumns({"_at": F.col(x).cast("double"), y: F.col(y).cast("double")})
+    return met(held, flat, [*keys, "_at"], "left").drop("_at")
 
 
 def isotonic(df: DataFrame, x: str, y: str, weight: str | None = None, rising: bool = True, name: str = "y_iso") -> DataFrame:

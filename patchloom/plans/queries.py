@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.functions.random import uniform
-from patchloom.functions.stats import denormalize, normalize, partial_sums, signif_within, weighted_estimates
+from patchloom.functions.stats import denormalize, normalize, signif_within
 from patchloom.operators import encode, fusion, monotonic, neighbors, prepare, rank, sampling, validate
-from patchloom.operators.analyze import analyze, weighted_median
-from patchloom.plans.fixtures import IMP, LEVELS, MICRO, analyze_sql, imputed, u_sql
+from patchloom.operators.analyze import analyze, bootstrap_variance, weighted_median
+from patchloom.operators.smooth import super_smoothed, super_smoothed_sql
+from patchloom.plans.fixtures import IMP, LEVELS, MICRO, POOLED, POOLED_COLUMNS, SE, analyze_sql, bootstrap_sql, imputed, median_sql, t_sql, u_sql
 from patchloom.sources import fsd
 from patchloom.sources.scratch import scratch_path
 from patchloom.sources.tables import micro, table
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*by, "N", "y", "level", "type", F.round("est", 4).alias("est"), F.round("se", 3).alias("se"))
+    return df.select(*by, "N", "y", "level", "type", F.round("est", 4).alias("est"), F.round("se", 3).alias("se"), F.round(F.log("df"), 3).alias("log_df"), F.round("moe", 2).alias("moe"))
 
 
 STATUS = [("drawn", v, kind, f"CASE WHEN drawn = '{v}' THEN 1 ELSE 0 END") for kind in ("proportion",) for v in LEVELS]
@@ -113,9 +114,22 @@ def analyze_median_by(s: SparkSession, d: str) -> DataFrame:
     return weighted_median(imputed(s, d), ["region", "M"], "x", "weight").withColumn("est", F.round("est", 6))
 
 
-@query()
+@query(f"""WITH {IMP}, {bootstrap_sql('region, segment, M', 'imp')} SELECT region, segment, M, round(var, 4) AS var FROM boot""")
+def analyze_median_bootstrap(s: SparkSession, d: str) -> DataFrame:
+    return bootstrap_variance(imputed(s, d), ["region", "segment", "M"], "x", "weight").withColumn("var", F.round("var", 4))
+
+
+DENSE = """sd AS (SELECT region, M, count(*) AS n, stddev_samp(x) AS sd, quantile_disc(x, 0.75) - quantile_disc(x, 0.25) AS iqr FROM imp GROUP BY ALL),
+wd AS (SELECT *, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34) ELSE sd END * pow(n, -0.2) AS h FROM sd),
+fd AS (SELECT region, M, any_value(n) AS n, sum(weight * exp(-pow((x - est) / h, 2) / 2)) / (sum(weight) * any_value(h) * 2.5066282746310002) AS f FROM imp JOIN wd USING (region, M) JOIN md USING (region, M) GROUP BY ALL)"""
+
+
+@query(f"""WITH {IMP}, md AS ({median_sql('region, M', 'imp')}), {bootstrap_sql('region, M', 'imp')}, {DENSE},
+t AS (SELECT region, M, n, est AS e1, coalesce(var, 1 / (4 * n * f * f)) AS v1 FROM md JOIN fd USING (region, M) LEFT JOIN boot USING (region, M)),
+p AS (SELECT region, count(*) AS k, CAST(sum(n) / count(*) AS BIGINT) AS N, avg(e1) AS est, avg(v1) AS ub, var_samp(e1) AS b FROM t GROUP BY ALL), {POOLED}
+SELECT region, N, 'x' AS y, NULL::VARCHAR AS level, 'median' AS type, {POOLED_COLUMNS}""")
 def analyze_median_pooled(s: SparkSession, d: str) -> DataFrame:
-    return analyze(imputed(s, d), median=["x"], by=["region"], weight="weight")
+    return rounded(analyze(imputed(s, d), median=["x"], by=["region"], weight="weight", detail=True), ("region",))
 
 
 @query(f"WITH {IMP} SELECT rid, M, round({u_sql('fuse|qty', 'M', 'rid')}, 9) AS u, x, large, drawn FROM imp")
@@ -136,9 +150,27 @@ def read_fsd_semi(s: SparkSession, d: str) -> DataFrame:
     return fsd.read_implicates(s, path, ["rid", "x", "region"], m=None, match=match)
 
 
-@query()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_TYPE = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(column_type) END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS path, column_name AS var, {_TYPE} AS type FROM (DESCRIBE {t})" for t in TABLES))
 def lookup_catalog(s: SparkSession, d: str) -> DataFrame:
-    return fsd.catalog(s, d)
+    return fsd.catalog(s, d).withColumn("path", F.regexp_extract("path", r"([^/]*)\.parquet$", 1))
+
+
+#: Data sets of several surveys and years, made of the tables.
+SURVEYS = {"customer": "ACME_2015_2019_H_fused", "supplier": "ACME_2015_2020_P_fused", "nation": "GEO_2020_2019_P_custom", "part": "ITEMS_1998_core_2019_H_fused", "orders": "SALES_1998_2018_H_custom"}
+_LOOKUP = " UNION ALL ".join(f"SELECT column_name AS var, '{n.split('_')[-3]}' AS acs_year, '{'Household' if n.split('_')[-2] == 'H' else 'Person'}' AS respondent, '{n.split('_')[0]}' AS survey, '{n.split('_')[1]}' AS vintage, '{n}' AS path FROM (DESCRIBE {t})" for t, n in SURVEYS.items())
+
+
+@query(f"SELECT * FROM ({_LOOKUP}) WHERE acs_year IN ('2019', '2020') AND var IN ('c_nationkey', 's_nationkey', 'n_nationkey', 'n_name', 's_acctbal', 'p_brand', 'o_totalprice')")
+def lookup_variables(s: SparkSession, d: str) -> DataFrame:
+    root = scratch_path(s, "surveys")
+    for t, n in SURVEYS.items():
+        table(s, d, t).withColumns({"weight": F.lit(1), "rep_1": F.lit(2), "M": F.lit(1)}).write.parquet(f"{root}/{n}.parquet")
+    found = fsd.lookup(s, root, ["c_nationkey", "s_nationkey", "n_nationkey", "n_name", "s_acctbal", "p_brand", "o_totalprice", "weight", "rep_1"], [2019, "2020"])
+    return found.withColumn("path", F.regexp_extract("path", r"([^/]*)\.parquet$", 1))
 
 
 @query(f"WITH {MICRO} " + " UNION ALL ".join(f"SELECT rid, 'status' AS y, '{v}' AS level, CASE WHEN status = '{v}' THEN 1 ELSE 0 END::INTEGER AS value FROM micro" for v in LEVELS))
@@ -249,14 +281,13 @@ def validate_obs_est(s: SparkSession, d: str) -> DataFrame:
     return got.select("subset", *VARS, "y", "n", F.round("est_obs", 5).alias("est_obs"))
 
 
-@query(f"WITH {IMP}, a AS (SELECT *, {_EST} FROM ({_agg('imp', 'x', 'M')})) SELECT subset, region, segment, status, 'x' AS y, max(n) AS n, round(avg(e), 5) AS est_sim, round(sqrt(avg(v) + (1 + 1.0 / count(*)) * var_samp(e)), 3) AS se FROM a GROUP BY subset, region, segment, status")
+@query(f"""WITH {IMP}, a AS (SELECT *, {_EST} FROM ({_agg('imp', 'x', 'M')})),
+p AS (SELECT subset, region, segment, status, max(n) AS n, count(*) AS k, avg(e) AS est, avg(v) AS ub, var_samp(e) AS b FROM a GROUP BY subset, region, segment, status), {SE},
+q AS (SELECT *, coalesce(df, n - 1) AS dn FROM se)
+SELECT subset, region, segment, status, 'x' AS y, n, round(est, 5) AS est_sim, round(se * {t_sql(0.95, 'dn')}, 2) AS moe_sim FROM q""")
 def validate_sim_est(s: SparkSession, d: str) -> DataFrame:
-    from patchloom.functions.stats import pooled_error
-
-    parts = validate.subset_rows(imputed(s, d).withColumn("w", F.col("weight").cast("double")), VARS, partial_sums("x", "w"), ["M"]).where("_n >= 30")
-    mean, _, var = weighted_estimates()
-    pooled = parts.select("subset", *VARS, "_n", mean.alias("e"), var.alias("v")).groupBy("subset", *VARS).agg(F.max("_n").alias("n"), F.count("*").alias("k"), F.avg("e").alias("est_sim"), F.avg("v").alias("u"), F.var_samp("e").alias("b"))
-    return pooled.select("subset", *VARS, F.lit("x").alias("y"), "n", F.round("est_sim", 5).alias("est_sim"), F.round(pooled_error("k", "u", "b")[0], 3).alias("se"))
+    got = validate.simulated(imputed(s, d), {"x": None}, VARS, "weight")
+    return got.select("subset", *VARS, "y", "n", F.round("est_sim", 5).alias("est_sim"), F.round("moe_sim", 2).alias("moe_sim"))
 
 
 @query(f"""WITH {IMP}, o AS (SELECT *, sv / s AS eo FROM ({_agg('micro', 'qty * 10')})), q AS (SELECT subset, region, segment, status, avg(sv / s) AS es FROM ({_agg('imp', 'x', 'M')}) GROUP BY ALL),
@@ -374,9 +405,22 @@ def expend_fixups(s: SparkSession, d: str) -> DataFrame:
     return monotonic.expend_fixups(df, "x", "y", ["segment"]).select("rid", F.round("y", 2).alias("y"))
 
 
-@query()
+@query(f"WITH {MICRO}, {super_smoothed_sql('micro', ['segment'], 'qty', 'returned_value', 'weight')} SELECT segment, qty, round(smooth, 1) AS smooth FROM smooth")
+def super_smoother(s: SparkSession, d: str) -> DataFrame:
+    return super_smoothed(micro(s, d), "qty", "returned_value", ["segment"], "weight").select("segment", "qty", F.round("smooth", 1).alias("smooth"))
+
+
+@query(f"""WITH {MICRO}, mn AS (SELECT segment, min(returned_value) FILTER (returned_value > 0) AS least, sum(returned_value * weight) AS total FROM micro GROUP BY 1),
+fx AS (SELECT segment, qty AS ax, weight, CASE WHEN qty = 0 THEN 0 WHEN returned_value = 0 THEN least ELSE returned_value END AS yf FROM micro JOIN mn USING (segment)),
+{super_smoothed_sql('fx', ['segment'], 'ax', 'yf', 'weight')}, c AS (SELECT segment, coalesce(corr(ax, smooth), 1) AS r0 FROM smooth GROUP BY 1),
+xs AS (SELECT segment, ax, w, row_number() OVER (PARTITION BY segment ORDER BY ax) AS p FROM smooth),
+vs AS (SELECT segment, smooth AS v, row_number() OVER (PARTITION BY segment ORDER BY CASE WHEN r0 >= 0 THEN smooth ELSE -smooth END) AS p FROM smooth JOIN c USING (segment)),
+lo AS (SELECT segment, ax, w, least, total, CASE WHEN ax = 0 THEN 0 ELSE greatest(v, least) END AS m FROM xs JOIN vs USING (segment, p) JOIN mn USING (segment)),
+sc AS (SELECT segment, any_value(total) / sum(m * w) AS scale FROM lo GROUP BY 1)
+SELECT rid, round(CASE WHEN ax = 0 THEN 0 ELSE greatest(m * scale, least) END, 1) AS y_mono FROM micro JOIN lo ON micro.segment = lo.segment AND micro.qty = lo.ax JOIN sc ON sc.segment = lo.segment""")
 def monotonic_fit(s: SparkSession, d: str) -> DataFrame:
-    return monotonic.monotonic(micro(s, d).select("rid", "segment", "qty", "returned_value", "weight"), "qty", "returned_value", "rid", ["segment"], "weight")
+    got = monotonic.monotonic(micro(s, d).select("rid", "segment", "qty", "returned_value", "weight"), "qty", "returned_value", "rid", ["segment"], "weight")
+    return got.select("rid", F.round("y_mono", 1).alias("y_mono"))
 
 
 @query()
@@ -430,6 +474,14 @@ def train_fuse_continuous(s: SparkSession, d: str) -> DataFrame:
     return fused(s, d, ["qty"])
 
 
+@query()
+def train_grid_tuned(s: SparkSession, d: str) -> DataFrame:
+    """The table of a grid: depths and rates by two folds, boosting that stops early."""
+    hyper = {"max_depth": [2, 5], "learning_rate": [0.1, 0.4], "num_iterations": 24}
+    model = fusion.DonorFusion(["qty"], X, "rid", "weight", nclusters=100, nfolds=2, hyper=hyper).fit(micro(s, d).where("rid % 2 = 1"))
+    return model.tuning().withColumn("loss", F.round("loss", 6))
+
+
 @query()
 def train_fuse_block(s: SparkSession, d: str) -> DataFrame:
     return fused(s, d, [["disc_share", "tax_share"]])
