@@ -25,7 +25,7 @@ from patchloom.operators.neighbors import MAX_CENTERS, donor_pools, lloyd, neare
 from patchloom.operators.rank import interval
 from patchloom.operators.sampling import categorical_draw, donor_draw, implicates, pool_draw
 from patchloom.operators.tuning import Tuned, grid_of, tune_boosting, tune_by_loss, with_folds
-from patchloom.sources.scratch import spread, stored
+from patchloom.sources.scratch import scratch_path, spread, stored
 
 RESERVED = ("M",)
 #: Equal-count cuts of a target for the forests' quantiles, and leaves that a forest may have.
@@ -133,6 +133,15 @@ def ptiles(n: int) -> tuple[float, ...]:
     return tuple((2 * k + 1) / (2 * n) for k in range(n))
 
 
+def tree_use(spark: SparkSession, model) -> dict[int, tuple[int, int]]:
+    """By feature: how many training rows come to the splits of a tree model that use it, and how many splits there are."""
+    path = scratch_path(spark, "trees")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0")
+    found = nodes.groupBy(F.col("split.featureIndex").alias("feature")).agg(F.count("*").alias("n"), F.sum("rawCount").alias("rows")).collect()  # a row a feature
+    return {r.feature: (r.rows, r.n) for r in found}
+
+
 @dataclass
 class DonorFusion:
     """Estimator of fusion models.
@@ -425,19 +434,32 @@ class FittedFusion:
         return full if step.zero is None else full.unionByName(data.where("_zero").select(*plain, *none))
 
     def importance(self) -> tuple[DataFrame, DataFrame]:
-        """(summary, detailed): the predictors' shares of gain by target, and by target and model."""
-        rows = []
+        """(summary, detailed): the predictors' shares of gain, cover and frequency by target, and by target and model.
+
+        Gain is what a predictor's splits take off the impurity, cover the donors that come to them, and frequency their
+        number, read from the models' trees. The summary averages a target's models and makes shares of it; place is the
+        order to show predictors in: targets, the last one first, then the others by their mean gain.
+        """
+        models = []
         for s in self.steps:
-            names = [p for p in s.predictors] + [p for p in s.predictors if f"_i_{p}" not in s.features.stages[-1].getInputCols()]
-            models = [("zero", s.zero)] * (s.zero is not None)
-            models += [(kind, m) for t in s.targets if t in s.models for kind, m in (("mean", s.models[t][0]), ("quantile", s.models[t][1].forest))] or [("class", s.models["class"])]
-            for kind, m in models:
-                gain = m.featureImportances.toArray()
-                rows += [("+".join(s.targets), kind, n, float(g)) for n, g in zip(names, gain, strict=False)]
+            names = list(s.predictors) + [p for p in s.predictors if f"_i_{p}" not in s.features.stages[-1].getInputCols()]
+            own = [("zero", s.zero)] * (s.zero is not None)
+            own += [(kind, m) for t in s.targets if t in s.models for kind, m in (("mean", s.models[t][0]), ("quantile", s.models[t][1].forest))] or [("class", s.models["class"])]
+            models += [("+".join(s.targets), kind, names, m) for kind, m in own]
         spark = SparkSession.getActiveSession()
-        detailed = spark.createDataFrame(rows, "y string, model string, x string, gain double").groupBy("y", "model", "x").agg(F.sum("gain").alias("gain"))
-        mean = detailed.groupBy("y", "x").agg(F.avg("gain").alias("gain"))
-        return mean.withColumn("gain", F.try_divide("gain", F.sum("gain").over(Window.partitionBy("y")))), detailed
+        used = in_parallel([lambda m=m: tree_use(spark, m) for *_, m in models], self.spec.parallelism)
+        rows = [(y, kind, x, float(g), *map(float, splits.get(k, (0, 0)))) for (y, kind, names, m), splits in zip(models, used, strict=True) for k, (x, g) in enumerate(zip(names, m.featureImportances.toArray(), strict=False))]
+        kinds = ["gain", "cover", "frequency"]
+        detailed = spark.createDataFrame(rows, "y string, model string, x string, gain double, cover double, frequency double").groupBy("y", "model", "x").agg(*[F.sum(c).alias(c) for c in kinds])
+        shares = lambda by: {c: F.coalesce(F.try_divide(c, F.sum(c).over(Window.partitionBy(*by))), F.lit(0.0)) for c in kinds}
+        detailed = detailed.withColumns(shares(["y", "model"]))
+        mean = detailed.groupBy("y", "x").agg(*[F.avg(c).alias(c) for c in kinds]).withColumns(shares(["y"]))
+        targets = [t for s in self.steps for t in s.targets]
+        rank = {t: k for k, t in enumerate(reversed(targets))}
+        by_gain = mean.groupBy("x").agg(F.avg("gain").alias("_g")).orderBy("_g", "x").select("x").collect()  # one row a predictor
+        order = sorted((r.x for r in by_gain), key=lambda x: rank.get(x, len(targets)))
+        places = spark.createDataFrame([(x, k) for k, x in enumerate(order, 1)], "x string, place int")
+        return mean.join(places, "x").select("y", "x", *kinds, "place"), detailed
 
     def save(self, path: str) -> str:
         """Writes the models, the neighbour tables and a JSON description under a folder."""

@@ -200,3 +200,24 @@ def test_pools_sent_to_the_tasks_draw_as_joins_do(spark, monkeypatch):
     assert [r.p for r in odd] == [None, None]
     monkeypatch.setattr(sampling, "MOST_DONORS", 100)
     assert sampling.pool_draw(rows, pools, "cid", "w", ["p"], "u", "donor_id") is None
+
+
+def test_importance_by_counting_the_trees(spark):
+    """Cover and frequency against the printed trees, shares that sum to 1, and the order for display."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, float(a), float(b), bool(a > 0.4), float(5 * a + b + rng.normal(0, 0.1))) for k, (a, b) in enumerate(rng.random((300, 2)))], "rid int, a double, b double, z boolean, y double")
+    model = DonorFusion(["z", "y"], ["a", "b"], "rid", nclusters=5, krange=(5, 20), trees=2, depth=2, iterations=2).fit(df)
+    summary, detailed = (d.collect() for d in model.importance())
+    boost = model.steps[1].models["y"][0]
+    lines = [x for x in boost.toDebugString.splitlines() if "If (feature" in x]
+    features = [int(x.split("feature ")[1].split()[0]) for x in lines]
+    names = [*model.steps[1].predictors, *model.steps[1].predictors]
+    want = {n: sum(names[f] == n for f in features) / len(features) for n in set(names)}
+    got = {r.x: r for r in detailed if (r.y, r.model) == ("y", "mean")}
+    assert {n: r.frequency for n, r in got.items()} == pytest.approx(want)
+    for key in ("gain", "cover", "frequency"):
+        assert sum(r[key] for r in summary if r.y == "y") == pytest.approx(1) and sum(r[key] for r in got.values()) == pytest.approx(1)
+    root = boost.trees[0].toDebugString.splitlines()[1]
+    assert got[names[int(root.split("feature ")[1].split()[0])]].cover >= 0.3
+    places = {r.x: r.place for r in summary}
+    assert places == {"z": 1, "b": 2, "a": 3}
