@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.stats import partial_sums, pooled_error, t_quantile, weighted_estimates
+from patchloom.operators.smooth import met
+from patchloom.sources.scratch import stored
 
 
 def subsets(subset_vars: Sequence[str]) -> list[list[str]]:
@@ -105,18 +109,59 @@ def compared(obs: DataFrame, sim: DataFrame, baseline: DataFrame, subset_vars: S
     return both.withColumns({"err": err, "moe_ratio": ratio, "vad": vad})
 
 
-def smooth_curve(df: DataFrame, group: str, x: str, y: str, points: int = 50) -> DataFrame:
-    """(group, x, y): the median of y in bins of equal counts of x, smoothed over neighbouring bins; a curve of at most `points` points a group."""
-    from pyspark.sql import Window
+def smooth_curve(df: DataFrame, groups: str | Sequence[str], x: str, y: str, points: int = 50) -> DataFrame:
+    """(groups, x, y): the median of y in bins of equal counts of x, smoothed over neighbouring bins; a curve of at most `points` points a group.
+
+    Rows are estimates of subsets, not data, so a group's rows are few. Ties in x are ordered by y; rows with a null y play no part.
+    """
+    keys = [groups] if isinstance(groups, str) else list(groups)
+    rank = Window.partitionBy(*keys).orderBy(x, y)
+    bins = df.where(F.col(y).isNotNull()).withColumn("_k", F.ntile(points).over(rank)).groupBy(*keys, "_k").agg(F.avg(x).alias(x), F.percentile(y, 0.5).alias("_m"))
+    near = Window.partitionBy(*keys).orderBy("_k").rowsBetween(-2, 2)
+    return bins.select(*keys, x, F.avg("_m").over(near).alias(y))
+
+
+#: The metrics of a comparison by the names of their columns, and how a chart shows them: title, least and greatest value, line of reference.
+METRICS = {"err": ("Median absolute percent error", 0.0, None, None), "vad": ("Median value-added", 0.0, 1.0, 1.0), "moe_ratio": ("Median ratio of simulated-to-observed uncertainty", 0.0, None, 1.0)}
 
-    rank = Window.partitionBy(group).orderBy(x)
-    bins = df.where(F.col(y).isNotNull()).withColumn("_k", F.ntile(points).over(rank)).groupBy(group, "_k").agg(F.avg(x).alias(x), F.percentile(y, 0.5).alias("_m"))
-    near = Window.partitionBy(group).orderBy("_k").rowsBetween(-2, 2)
-    return bins.select(group, x, F.avg("_m").over(near).alias(y))
 
+@dataclass
+class Report:
+    """smooth: (y, level, metric, share, value); means: (y, level, err, vad, moe_ratio), averages of the smoothed values; charts: one JSON text each."""
 
-def plot_specs(curves: DataFrame, metric: str, x: str, y: str) -> list[dict]:
-    """A line-chart description with its data for a smoothed metric, one series a group: what a chart library needs, and no picture."""
-    groups = [c for c in curves.columns if c not in (x, y)]
-    data = [r.asDict() for r in curves.orderBy(*groups, x).collect()]  # at most 50 points a curve
-    return [{"title": metric, "mark": "line", "x": {"field": x, "scale": "sqrt"}, "y": {"field": y}, "series": groups, "data": data}]
+    smooth: DataFrame
+    means: DataFrame
+    charts: DataFrame
+
+
+def report(compared_: DataFrame, total: int, points: int = 50) -> Report:
+    """Curves of each variable's metrics over the share that subsets have of all rows, held to what the variable's estimates reach.
+
+    A smoothed value below the least or above the greatest of its variable and metric is that one instead. Charts are one of all variables
+    for each metric, and one for each variable and metric with its estimates as points within ten MADs of their median.
+    """
+    keys = ["y", "level", "metric"]
+    item = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS]))
+    long = stored(compared_.select("y", "level", (F.col("n") / F.lit(total)).alias("share"), item.alias("_i")).select("y", "level", "share", "_i.*").where("value is not null"), "metrics")
+    curves = smooth_curve(long, keys, "share", "value", points)
+    bounds = long.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    smooth = stored(met(curves, bounds, keys).select(*keys, "share", F.least(F.greatest("value", F.col("_lo")), F.col("_hi")).alias("value")), "smooth")
+    means = smooth.groupBy("y", "level").pivot("metric", list(METRICS)).agg(F.avg("value"))
+    middle = long.groupBy(*keys).agg(F.percentile("value", 0.5).alias("_mid"))
+    off = met(long, middle, keys)
+    off = met(off, off.groupBy(*keys).agg((F.percentile(F.abs(F.col("value") - F.col("_mid")), 0.5) * 1.4826).alias("_mad")), keys)
+    dots = off.where(F.abs(F.col("value") - F.col("_mid")) <= 10 * F.col("_mad")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("share", "value"))).alias("points"))
+    lines = smooth.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("share", "value"))).alias("line"))
+    label = F.concat_ws(" = ", "y", "level")
+    facts = F.create_map(*[F.lit(v) for m, (title, lo, hi, ref) in METRICS.items() for v in (m, json.dumps({"title": title, "least": lo, "greatest": hi, "reference": ref}))])
+    axis = F.lit(json.dumps({"field": "share", "scale": "sqrt", "title": "Subset size (share of total population)"}))
+    everyone = lines.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct(label.alias("series"), "line"))).alias("series")).select(F.concat(F.lit("allvars_"), "metric").alias("name"), "metric", F.to_json(F.struct("series")).alias("data"))
+    each = met(lines, dots, keys, "left").select(F.concat_ws("_", "y", "level", "metric").alias("name"), "metric", F.to_json(F.struct("line", "points")).alias("data"))
+    charts = everyone.unionByName(each).select("name", F.concat(F.lit('{"name":'), F.to_json(F.struct("name")).substr(F.lit(9), F.length(F.to_json(F.struct("name"))) - 9), F.lit(',"x":'), axis, F.lit(',"y":'), facts[F.col("metric")], F.lit(',"data":'), "data", F.lit("}")).alias("spec"))
+    return Report(smooth, means, charts)
+
+
+def write_charts(charts: DataFrame, path: str) -> str:
+    """Writes each chart's description to path/name=.../, a JSON text a folder; what was there goes."""
+    charts.write.mode("overwrite").partitionBy("name").text(path)
+    return path

@@ -307,10 +307,30 @@ def validated(s: SparkSession, d: str) -> DataFrame:
     return validate.compared(obs, sim, overall, VARS)
 
 
-@query()
+COMPARED = f"""a AS (SELECT *, {_EST} FROM ({_agg('imp', 'x', 'M')})), o AS (SELECT *, {_EST} FROM ({_agg('micro', 'qty * 10')})),
+p AS (SELECT subset, region, segment, status, count(*) AS k, avg(e) AS est, avg(v) AS ub, var_samp(e) AS b FROM a GROUP BY subset, region, segment, status), {SE},
+al AS (SELECT sum(weight * qty * 10) / sum(weight) AS m, count(*) AS total FROM micro),
+pairs AS (SELECT o.n / total AS share, o.n - 1 AS d1, coalesce(df, o.n - 1) AS dn, o.e, o.v, est, se, m FROM o JOIN se ON o.subset = se.subset AND o.region IS NOT DISTINCT FROM se.region AND o.segment IS NOT DISTINCT FROM se.segment AND o.status IS NOT DISTINCT FROM se.status, al),
+metrics AS (SELECT share, abs(est - e) / abs(e) AS err, greatest(0, 1 - abs(est - e) / abs(m - e)) AS vad, (se * {t_sql(0.95, 'dn')} / est) / (sqrt(v) * {t_sql(0.95, 'd1')} / e) AS moe_ratio FROM pairs),
+long AS (SELECT share, unnest(['err', 'vad', 'moe_ratio']) AS metric, unnest([err, vad, moe_ratio]) AS value FROM metrics),
+bins AS (SELECT metric, share, value, ntile(20) OVER (PARTITION BY metric ORDER BY share, value) AS k FROM long),
+middle AS (SELECT metric, k, avg(share) AS share, median(value) AS m FROM bins GROUP BY ALL),
+curve AS (SELECT metric, share, avg(m) OVER (PARTITION BY metric ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS value FROM middle)"""
+
+
+@query(f"WITH {IMP}, {COMPARED} SELECT 'x' AS y, round(share, 9) AS share, round(value, 6) AS err FROM curve WHERE metric = 'err'")
 def smooth_curve(s: SparkSession, d: str) -> DataFrame:
     got = validated(s, d).withColumn("share", F.col("n") / F.lit(micro(s, d).count()))
-    return validate.smooth_curve(got, "y", "share", "err", 20)
+    return validate.smooth_curve(got, "y", "share", "err", 20).select("y", F.round("share", 9).alias("share"), F.round("err", 6).alias("err"))
+
+
+@query(f"""WITH {IMP}, {COMPARED}, held AS (SELECT metric, share, least(greatest(value, lo), hi) AS value FROM curve JOIN (SELECT metric, min(value) AS lo, max(value) AS hi FROM long GROUP BY 1) USING (metric))
+SELECT 'x' AS y, metric, round(share, 9) AS share, round(value, 5) AS value, round(avg(value) OVER (PARTITION BY metric), 5) AS mean FROM held""")
+def validate_report(s: SparkSession, d: str) -> DataFrame:
+    got = validate.report(validated(s, d), micro(s, d).count(), 20)
+    kinds = list(validate.METRICS)
+    means = got.means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("mean")) for m in kinds])).alias("_m")).select("_m.*")
+    return got.smooth.join(means, "metric").select("y", "metric", F.round("share", 9).alias("share"), F.round("value", 5).alias("value"), F.round("mean", 5).alias("mean"))
 
 
 @query()

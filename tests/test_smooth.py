@@ -1,8 +1,10 @@
+import json
+
 import duckdb
 import numpy as np
 import pytest
 
-from patchloom.operators import smooth
+from patchloom.operators import smooth, validate
 from patchloom.operators.monotonic import monotonic
 from patchloom.operators.smooth import in_order, super_smoothed, super_smoothed_sql
 
@@ -125,3 +127,26 @@ def test_monotonic_by_definition(spark, expend, preserve):
     whole = slow_monotonic([r[2:] for r in rows], expend, preserve)
     got = monotonic(df, "x", "y", "id", (), "w", preserve, expend).collect()
     assert [r.y_mono for r in got] == pytest.approx([whole[r.x] for r in got], rel=1e-6)
+
+
+def test_report_holds_curves_to_their_variables_and_writes_charts(spark, tmp_path):
+    """Bounds are of each variable, not of all; a spike's bin is no higher than its values; charts are read back."""
+    rng = np.random.default_rng(1)
+    rows = [("a", None, int(n), float(e), float(min(1, 1 - e)), 1.0 + float(e)) for n, e in zip(rng.integers(30, 900, 120), rng.random(120) / 10, strict=True)]
+    rows += [("b", "x", int(n), float(5 + e), 0.0, 2.0) for n, e in zip(rng.integers(30, 900, 60), rng.random(60), strict=True)] + [("b", "x", 50, 900.0, None, 2.0)]
+    df = spark.createDataFrame(rows, "y string, level string, n long, err double, vad double, moe_ratio double")
+    got = validate.report(df, 1000, 10)
+    smooth_ = got.smooth.collect()
+    assert len(smooth_) == 60 and {(r.y, r.level) for r in smooth_} == {("a", None), ("b", "x")}
+    for r in smooth_:
+        own = [x[{"err": 3, "vad": 4, "moe_ratio": 5}[r.metric]] for x in rows if x[0] == r.y]
+        own = [v for v in own if v is not None]
+        assert min(own) <= r.value <= max(own)
+    means = {r.y: r for r in got.means.collect()}
+    assert means["a"].err == pytest.approx(np.mean([r.value for r in smooth_ if (r.y, r.metric) == ("a", "err")])) and means["b"].moe_ratio == 2
+    path = validate.write_charts(got.charts, str(tmp_path / "charts"))
+    charts = {r.name: json.loads(r.value) for r in spark.read.text(path).collect()}
+    assert set(charts) == {"allvars_err", "allvars_vad", "allvars_moe_ratio", "a_err", "a_vad", "a_moe_ratio", "b_x_err", "b_x_vad", "b_x_moe_ratio"}
+    assert [s["series"] for s in charts["allvars_err"]["data"]["series"]] == ["a", "b = x"] and charts["allvars_vad"]["y"]["reference"] == 1
+    assert len(charts["b_x_err"]["data"]["points"]) == 60 and charts["b_x_err"]["name"] == "b_x_err"  # the spike is no point
+    assert validate.report(df.limit(0), 1000).smooth.collect() == []
