@@ -24,6 +24,7 @@ from patchloom.functions.threads import in_parallel
 from patchloom.operators.neighbors import MAX_CENTERS, donor_pools, lloyd, nearest_center, seeded_centers
 from patchloom.operators.rank import interval
 from patchloom.operators.sampling import categorical_draw, donor_draw, implicates, pool_draw
+from patchloom.operators.screen import impute_screen
 from patchloom.operators.tuning import Tuned, grid_of, tune_boosting, tune_by_loss, with_folds
 from patchloom.sources.scratch import scratch_path, spread, stored
 
@@ -32,6 +33,8 @@ RESERVED = ("M",)
 CUTS, MOST_LEAVES = 512, 1 << 15
 #: Levels that a category may have, donors that a block's pool keeps, and rounds allowed to boosting that stops early.
 MOST_LEVELS, BLOCK_POOL, MOST_ROUNDS = 1000, 30, 2500
+#: Rows and columns beyond which imputation screens its predictors.
+SCREEN_ROWS, SCREEN_COLUMNS = 10_000, 20
 
 
 def kind_of(df: DataFrame, column: str) -> str:
@@ -510,14 +513,20 @@ def load_fusion(spark: SparkSession, path: str) -> FittedFusion:
     return FittedFusion(DonorFusion(**spec), steps, meta["contract"])
 
 
-def impute_by_fusion(df: DataFrame, id_col: str, weight: str | None = None, ignore: Sequence[str] = (), **options) -> DataFrame:
-    """Fills every column that has some nulls, fewest first, by fusion from the rows that have a value; filled columns predict later ones."""
+def impute_by_fusion(df: DataFrame, id_col: str, weight: str | None = None, ignore: Sequence[str] = (), screen: bool | None = None, **options) -> DataFrame:
+    """Fills every column that has some nulls, fewest first, by fusion from the rows that have a value; filled columns predict later ones.
+
+    Predictors are screened first if screen, or by default if there are more than 10,000 rows or 20 columns.
+    """
     columns = [c for c in df.columns if c not in (id_col, weight, *ignore)]
     row = df.agg(F.count("*").alias("_n"), *[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in columns]).collect()[0]
     todo = sorted((c for c in columns if 0 < (row[c] or 0) < row["_n"]), key=lambda c: row[c])
+    chosen = {c: [p for p in columns if p != c] for c in todo}
+    if todo and (row["_n"] > SCREEN_ROWS or len(df.columns) > SCREEN_COLUMNS if screen is None else screen):
+        kept = {(r.y, r.x) for r in impute_screen(df, todo, columns).collect()}  # 30 rows a target at most
+        chosen = {c: [p for p in x if (c, p) in kept] for c, x in chosen.items()}
     for c in todo:
-        x = [p for p in columns if p != c]
-        model = DonorFusion([c], x, id_col, weight, **options).fit(df.where(F.col(c).isNotNull()))
+        model = DonorFusion([c], chosen[c], id_col, weight, **options).fit(df.where(F.col(c).isNotNull()))
         drawn = model.transform(df.where(F.col(c).isNull()), 1).select(id_col, F.col(c).alias("_new"))
         df = stored(df.join(drawn, id_col, "left").withColumn(c, F.coalesce(c, "_new")).drop("_new"), "imputed")
     return df

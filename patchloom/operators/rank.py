@@ -44,13 +44,13 @@ def _dealt(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, Column], di
     return parts, sizes
 
 
-def ranked(df: DataFrame, columns: str | Sequence[str], dense: str | Sequence[str] = (), average: str | Sequence[str] = ()) -> DataFrame:
-    """Adds the dense ranks and/or the average ranks of numeric columns over the whole table, by the names given; nulls have none.
+def ranked(df: DataFrame, columns: str | Sequence[str], dense: str | Sequence[str] = (), average: str | Sequence[str] = (), upto: str | Sequence[str] = ()) -> DataFrame:
+    """Adds the dense ranks, the average ranks and/or the numbers of rows up to a value of numeric columns over the whole table, by the names given; nulls have none.
 
     The input is stored once, since every column's values are counted in it. Ranks are worked out for the distinct
     values, whose counts are combined before the shuffle, and joined back: a frequent value is one row.
     """
-    columns, dense, average = ([c] if isinstance(c, str) else list(c) for c in (columns, dense, average))
+    columns, dense, average, upto = ([c] if isinstance(c, str) else list(c) for c in (columns, dense, average, upto))
     base = stored(df, "ranked")
     parts, sizes = _dealt(base, columns)
     out = base
@@ -60,12 +60,14 @@ def ranked(df: DataFrame, columns: str | Sequence[str], dense: str | Sequence[st
             n[part + 1 :] = [v + rows for v in n[part + 1 :]]
             d[part + 1 :] = [v + values for v in d[part + 1 :]]
         order = Window.partitionBy("_part").orderBy("_value")
-        upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        so_far = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
         new = {}
         if dense:
             new[dense[k]] = (held_by("_part", d) + F.row_number().over(order)).cast("bigint")
         if average:
-            new[average[k]] = held_by("_part", n) + upto - (F.col("_n") - 1) / 2
+            new[average[k]] = held_by("_part", n) + so_far - (F.col("_n") - 1) / 2
+        if upto:
+            new[upto[k]] = held_by("_part", n) + so_far
         values = base.where(F.col(c).isNotNull()).groupBy(parts[c].alias("_part"), F.col(c).alias("_value")).agg(F.count("*").alias("_n"))
         values = values.select("_value", *[v.alias(name) for name, v in new.items()])
         out = out.join(values, F.col(c) == F.col("_value"), "left").drop("_value")

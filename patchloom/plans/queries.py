@@ -9,6 +9,7 @@ from patchloom.functions.random import uniform
 from patchloom.functions.stats import denormalize, normalize, signif_within
 from patchloom.operators import encode, fusion, monotonic, neighbors, prepare, rank, sampling, validate
 from patchloom.operators.analyze import analyze, bootstrap_variance, weighted_median
+from patchloom.operators.screen import impute_screen
 from patchloom.operators.smooth import super_smoothed, super_smoothed_sql
 from patchloom.plans.fixtures import IMP, LEVELS, MICRO, POOLED, POOLED_COLUMNS, SE, analyze_sql, bootstrap_sql, imputed, median_sql, t_sql, u_sql
 from patchloom.sources import fsd
@@ -528,6 +529,19 @@ def impute_fusion(s: SparkSession, d: str) -> DataFrame:
     return fusion.impute_by_fusion(with_missing(s, d).select("rid", "qty", "segment", "region", "n_lines", "acctbal"), "rid")
 
 
+SCREENED = {c: f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c} NULLS LAST) END" for c in ("qty", "acctbal", "n_lines", "mon", "totalprice", "returned_value")} | {"is_large": "CAST(is_large AS INTEGER)"}
+SCREENED |= {c: f"CAST({c} = (SELECT {c} FROM na WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS INTEGER)" for c in ("segment", "region", "status", "priority")}
+_SCREEN = f"""na AS (SELECT * REPLACE (CASE WHEN {u_sql('na:qty', '0', 'rid')} < 0.2 THEN NULL ELSE qty END AS qty, CASE WHEN {u_sql('na:segment', '0', 'rid')} < 0.1 THEN NULL ELSE segment END AS segment) FROM micro),
+codes AS (SELECT {', '.join(f'{e} AS {c}' for c, e in SCREENED.items())} FROM na), full_ AS (SELECT {', '.join(f'coalesce({c}, (SELECT median({c}) FROM codes)) AS {c}' for c in SCREENED)} FROM codes),
+pairs AS ({' UNION ALL '.join(f"SELECT '{y}' AS y, '{x}' AS x, coalesce(corr({y}, {x}), 0) AS r FROM full_" for y in ('segment', 'qty') for x in SCREENED if x != y)}),
+best AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY abs(r) DESC, x) AS k, count(*) FILTER (abs(r) > 0.025) OVER (PARTITION BY y) AS n FROM pairs)"""
+
+
+@query(f"WITH {MICRO}, {_SCREEN} SELECT y, x, round(r, 6) AS r FROM best WHERE k <= CASE WHEN least(n, 30) < 5 THEN 5 ELSE least(n, 30) END")
+def impute_predictors(s: SparkSession, d: str) -> DataFrame:
+    return impute_screen(with_missing(s, d), ["segment", "qty"], list(SCREENED)).withColumn("r", F.round("r", 6))
+
+
 @query()
 def prepxy_order(s: SparkSession, d: str) -> DataFrame:
     y = ["qty", "returned_value", "totalprice", "status", "is_large", ["disc_share", "tax_share"]]

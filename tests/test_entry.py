@@ -13,7 +13,7 @@ def test_names_and_sql_agree():
     assert set(driver.oracle_sql()) <= set(queries) and len(registry.queries()) >= 50
 
 
-@pytest.mark.parametrize("name", ["analyze_mean_by", "analyze_replicate_weights", "analyze_median_by", "validate_errors", "donor_draw", "knn_top_k", "interpolate_linear", "ntile_strata"])
+@pytest.mark.parametrize("name", ["analyze_mean_by", "analyze_replicate_weights", "analyze_median_by", "validate_errors", "donor_draw", "knn_top_k", "interpolate_linear", "ntile_strata", "impute_predictors"])
 def test_against_sql(spark, data_dir, name):
     db = duckdb.connect()
     for p in glob.glob(f"{data_dir}/*.parquet"):
