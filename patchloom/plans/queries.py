@@ -9,6 +9,7 @@ from patchloom.functions.random import uniform
 from patchloom.functions.stats import denormalize, normalize, signif_within
 from patchloom.operators import encode, fusion, monotonic, neighbors, prepare, rank, sampling, validate
 from patchloom.operators.analyze import analyze, bootstrap_variance, weighted_median
+from patchloom.operators.curves import smooth_quantiles
 from patchloom.operators.screen import impute_screen
 from patchloom.operators.smooth import super_smoothed, super_smoothed_sql
 from patchloom.plans.fixtures import IMP, LEVELS, MICRO, POOLED, POOLED_COLUMNS, SE, analyze_sql, bootstrap_sql, imputed, median_sql, t_sql, u_sql
@@ -542,6 +543,16 @@ def impute_predictors(s: SparkSession, d: str) -> DataFrame:
     return impute_screen(with_missing(s, d), ["segment", "qty"], list(SCREENED)).withColumn("r", F.round("r", 6))
 
 
+@query()
+def quantile_curves(s: SparkSession, d: str) -> DataFrame:
+    return smooth_quantiles(micro(s, d), "qty", "totalprice", [0.1, 0.5, 0.9], ["region"])
+
+
+@query()
+def quantile_spread(s: SparkSession, d: str) -> DataFrame:
+    return smooth_quantiles(micro(s, d), "acctbal", "returned_value", "mad")
+
+
 @query()
 def prepxy_order(s: SparkSession, d: str) -> DataFrame:
     y = ["qty", "returned_value", "totalprice", "status", "is_large", ["disc_share", "tax_share"]]
