@@ -7,6 +7,7 @@ not implied by a shorter one judge the other pages, found through an index from
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -20,8 +21,8 @@ from .common import stored, table
 # Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 3
-#: Tokens of a labelled URL that FP-growth is given, the most frequent ones: each URL holds 2^13 itemsets with its
-#: verdict at most, so there are no more than 2^13 / MIN_SUPPORT frequent ones. Matching reads all tokens.
+#: Frequent tokens of a labelled URL that FP-growth is given at most: each URL holds 2^13 itemsets with its verdict, so
+#: there are no more than 2^13 / MIN_SUPPORT frequent ones. URLs with more tokens are counted level by level instead.
 MINED_TOKENS = 12
 DEFAULT = "allow"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,9 +80,11 @@ def pruned(rules: list[MinedRule]) -> list[MinedRule]:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most: int = MINED_TOKENS) -> list[MinedRule]:
-    """Rules from (tokens, verdict). Their number is bounded by the support and `most`, not by the rows. No rows: no rules.
+    """Rules of up to MAX_TOKENS tokens from (tokens, verdict), exact for any number of tokens. No rows: no rules.
 
-    Of a URL's tokens only those frequent enough for a rule count, of more than `most` the most frequent.
+    FP-growth mines the URLs of up to `most` frequent tokens. Where there are others, combinations are grown in them
+    level by level; what is frequent overall is frequent in one of the two parts, and what is found in either is
+    counted over all rows. The number of rules is bounded by the support, not by the rows.
     """
     total = labelled.count()
     if not total:
@@ -90,22 +93,52 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     ranked = [r.token for r in often.orderBy(F.desc("count"), "token").collect()]  # at most a URL's mean number of tokens / min_support
     if not ranked:
         return []
-    own = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "tokens"), 1, most)
-    baskets = labelled.select(F.concat(own, F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("verdict:") & (F.size("antecedent") <= MAX_TOKENS)).collect()
-    return pruned([MinedRule(frozenset(r.antecedent), r.consequent[0][len("verdict:") :], r.confidence, r.support) for r in rules])
-
-
-def matcher(rules: list[MinedRule]):
-    """A function from token arrays to the number of the best rule whose tokens are all there, or null."""
+    held = labelled.select(F.array_intersect(F.array(*map(F.lit, ranked)), "tokens").alias("own"), "verdict")
+    wide = held.where(F.size("own") > most)
+    grown = grown_combinations(wide, min_support) if wide.limit(1).count() else []
+    narrow = held.where(F.size("own") <= most) if grown else held
+    found = []
+    if not grown or narrow.limit(1).count():
+        baskets = narrow.select(F.concat("own", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0 if grown else min_confidence).fit(baskets)
+        found = model.associationRules.where(F.col("consequent")[0].startswith("verdict:") & (F.size("antecedent") <= MAX_TOKENS)).collect()
+    if not grown:
+        return pruned([MinedRule(frozenset(r.antecedent), r.consequent[0][len("verdict:") :], r.confidence, r.support) for r in found])
+    candidates = sorted({tuple(sorted(r.antecedent)) for r in found} | set(grown))
+    fitting = held.select("verdict", F.explode(matcher(candidates, every=True)("own")).alias("n"))
+    counts = fitting.groupBy("n", "verdict").count().collect()  # candidates x verdicts
+    whole: dict[int, int] = {}
+    for r in counts:
+        whole[r.n] = whole.get(r.n, 0) + r["count"]
+    rules = [MinedRule(frozenset(candidates[r.n]), r.verdict, r["count"] / whole[r.n], r["count"] / total) for r in counts]
+    return pruned([r for r in rules if r.support >= min_support and r.confidence >= min_confidence])
+
+
+def grown_combinations(wide: DataFrame, min_support: float) -> list[tuple]:
+    """The combinations of up to MAX_TOKENS of own that go with a verdict in min_support of the rows (own, verdict) or more, each from a frequent one of a token less."""
+    least = min_support * wide.count()
+    wide = wide.select("verdict", F.array_sort("own").alias("own"))
+    level = wide.select("verdict", "own", F.explode("own").alias("t")).select("verdict", "own", F.array("t").alias("items"))
+    found: set[tuple] = set()
+    for size in range(1, MAX_TOKENS + 1):
+        counts = stored(level.groupBy("verdict", "items").count().where(F.col("count") >= least).select("verdict", "items"), "grown")
+        found |= {tuple(r["items"]) for r in counts.select("items").distinct().collect()}  # combinations of a URL / min_support
+        if size < MAX_TOKENS:
+            level = level.join(counts, ["verdict", "items"], "left_semi")
+            level = level.select("verdict", "own", "items", F.explode(F.expr("filter(own, t -> t > element_at(items, -1))")).alias("t"))
+            level = level.select("verdict", "own", F.concat("items", F.array("t")).alias("items"))
+    return sorted(found)
+
+
+def matcher(combos: Sequence[Collection[str]], every: bool = False):
+    """A function from token arrays to the least number of a combination whose tokens are all there, or null; with every, to all their numbers."""
     index: dict[str, list[int]] = {}
-    for n, r in enumerate(rules):
-        for t in r.tokens:
+    for n, own in enumerate(combos):
+        for t in own:
             index.setdefault(t, []).append(n)
-    sizes = [len(r.tokens) for r in rules]
+    sizes = [len(own) for own in combos]
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("array<int>" if every else "int")
     def best(items: pd.Series) -> pd.Series:
         out = []
         for own in items:
@@ -113,7 +146,8 @@ def matcher(rules: list[MinedRule]):
             for t in own:
                 for n in index.get(t, ()):
                     left[n] = left.get(n, sizes[n]) - 1
-            out.append(min((n for n, x in left.items() if not x), default=None))
+            full = [n for n, x in left.items() if not x]
+            out.append(full if every else min(full, default=None))
         return pd.Series(out, dtype="object")
 
     return best
@@ -133,7 +167,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     found = mine(judged.where("verdict is not null").select("tokens", "verdict"), min_support, min_confidence)
     if found:
         names = spark.createDataFrame([(n, r.verdict, " & ".join(sorted(r.tokens))) for n, r in enumerate(found)], "_n int, _verdict string, mined string")
-        judged = judged.withColumn("_n", F.when(F.col("verdict").isNull(), matcher(found)("tokens"))).join(names, "_n", "left")
+        judged = judged.withColumn("_n", F.when(F.col("verdict").isNull(), matcher([r.tokens for r in found])("tokens"))).join(names, "_n", "left")
     else:
         judged = judged.withColumns({"_verdict": F.lit(None).cast("string"), "mined": F.lit(None).cast("string")})
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", "_verdict", F.lit(DEFAULT)).alias("verdict"), "mined")

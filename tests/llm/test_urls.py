@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -53,37 +54,59 @@ def test_mined_rules_decide(spark):
     assert by[61].verdict == "allow" and by[72].verdict == "block" and by[63].verdict == "allow"
 
 
-def test_mined_verdicts_of_the_query(spark, data_dir):
-    """Against rules counted one itemset after the other."""
-    rows = [(r.page_id, r.url, r.t) for r in spark.read.parquet(f"{data_dir}/pages.parquet").select("page_id", "url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).withColumn("t", tokens("url", "h", "p")).collect()]
+def mined_by_hand(rows, got, support=MIN_SUPPORT):
+    """Holds got against rules counted one itemset after the other, from (id, url, tokens); the number of rows that a mined rule judges."""
     labelled = [(set(t), ruled(*parts(url))[1]) for _, url, t in rows if ruled(*parts(url))[1]]
     held, by = Counter(), Counter()
     for t, v in labelled:
-        assert len(t) <= MINED_TOKENS
         for k in range(1, MAX_TOKENS + 1):
             for c in combinations(sorted(t), k):
                 held[c] += 1
                 by[c, v] += 1
     n = len(labelled)
-    rules = {(frozenset(c), v): (x / held[c], x / n) for (c, v), x in by.items() if x >= MIN_SUPPORT * n and x / held[c] >= MIN_CONFIDENCE}
-    kept = [(c, v) for (c, v), (conf, _) in rules.items() if not any(s < c and w == v and rules[s, w][0] >= conf for s, w in rules)]
+    rules = {(frozenset(c), v): (x / held[c], x / n) for (c, v), x in by.items() if x >= support * n and x / held[c] >= MIN_CONFIDENCE}
+    parts_of = lambda c: (frozenset(p) for k in range(1, len(c)) for p in combinations(c, k))
+    kept = [(c, v) for (c, v), (conf, _) in rules.items() if not any(rules.get((p, v), (-1,))[0] >= conf for p in parts_of(c))]
     kept.sort(key=lambda r: (-rules[r][0], -rules[r][1], len(r[0]), sorted(r[0])))
-    got = {r.page_id: r for r in op9_url_rules(spark, data_dir).collect()}
-    mined = 0
+    got, mined = {r.page_id: r for r in got}, 0
     for i, url, t in rows:
-        rule, verdict = ruled(*parts(url))
-        if not rule:
+        if not ruled(*parts(url))[0]:
             best = next((r for r in kept if r[0] <= set(t)), None)
             mined += best is not None
             assert (got[i].verdict, got[i].mined) == ((best[1], " & ".join(sorted(best[0]))) if best else ("allow", None))
-    assert mined
+    return mined
+
+
+def with_tokens(pages):
+    return [(r.page_id, r.url, r.t) for r in pages.select("page_id", "url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).withColumn("t", tokens("url", "h", "p")).collect()]
+
+
+def test_mined_verdicts_of_the_query(spark, data_dir):
+    rows = with_tokens(spark.read.parquet(f"{data_dir}/pages.parquet"))
+    assert max(len(t) for *_, t in rows) <= MINED_TOKENS
+    assert mined_by_hand(rows, op9_url_rules(spark, data_dir).collect())
+
+
+def test_mined_verdicts_of_urls_with_many_tokens(spark):
+    """Up to 26 frequent tokens a URL: what FP-growth finds in narrow ones and what grows in wide ones, counted over all."""
+    r = random.Random(4)
+    words = [f"s{chr(97 + j)}" for j in range(22)]
+    some = lambda share: "/".join(w for w in words if r.random() < share)
+    urls = [f"http://h{k}.net/es/{some(0.9)}" for k in range(30)] + [f"http://h{k}.com/de/{some(0.6)}" for k in range(30)] + [f"http://h{k}.net/fr/{some(0.1)}?a=1" for k in range(20)] + [f"http://h{k}.com/{some(0.2)}#f" for k in range(20)]
+    urls += [f"https://y{k}.org/{some(0.1 * (k % 10))}" for k in range(40)] + ["http://z.org/es/sb", "http://z.org/a?a=2", "http://z.org/sc#f"]
+    df = spark.createDataFrame([(i, u, None, "h", 1, "t") for i, u in enumerate(urls)], SCHEMA)
+    rows = with_tokens(df)
+    assert max(len(t) for *_, t in rows) > 22 and mined_by_hand(rows, filter_urls(df, min_support=0.1).collect(), 0.1) > 20
+    wide = df.where("page_id < 30 or page_id >= 100")  # no narrow one has a verdict
+    assert mined_by_hand(with_tokens(wide), filter_urls(wide, min_support=0.1).collect(), 0.1) > 20
 
 
 def test_many_tokens_that_go_together(spark):
     urls = [f"http://h{k}.net/es/" + "/".join(f"s{chr(97 + j)}" for j in range(22)) for k in range(40)] + [f"http://h{k}.com/x" for k in range(40)] + ["http://y.org/sa/" + "/".join(f"s{chr(97 + j)}" for j in range(22))]
     df = spark.createDataFrame([(i, u, None, "h", 1, "t") for i, u in enumerate(urls)], SCHEMA)
-    got = {r.page_id: r for r in filter_urls(df).collect()}
-    assert got[80].verdict == "block" and len(got) == 81
+    got = filter_urls(df).collect()
+    assert {r.page_id: r for r in got}[80].verdict == "block" and len(got) == 81
+    assert mined_by_hand(with_tokens(df), got)
 
 
 def test_empty_and_unlabelled(spark):
