@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.stats import partial_sums, pooled_error, t_quantile, weighted_estimates
-from patchloom.operators.rank import PARTS, interval
+from patchloom.operators.rank import interval, pieces
 from patchloom.sources.scratch import stored
 
 #: Groups of up to so many rows have the variance of their median from so many resamples, larger ones from the density.
@@ -23,12 +23,13 @@ def weighted_median(df: DataFrame, groups: Sequence[str], x: str = "x", w: str =
     """(groups, est): the interpolated weighted median; equal values are one with their weights' sum.
 
     A value stands at the weight before it plus half its own; the median is read at half the total
-    weight, linearly between neighbours. Only distinct values of a group are ordered, in PARTS ranges
+    weight, linearly between neighbours. Only distinct values of a group are ordered, in ranges of values
     whose weights are added up before, so few groups don't mean few tasks.
     """
     knots = df.where(F.col(x).isNotNull()).groupBy(*groups, F.col(x).cast("double").alias("_x")).agg(F.sum(w).alias("_w"))
     knots = stored(knots, "values")
-    cuts = sorted(set(knots.approxQuantile("_x", [k / PARTS for k in range(1, PARTS)], 0.2 / PARTS)))
+    n = pieces(knots.count())
+    cuts = sorted(set(knots.approxQuantile("_x", [k / n for k in range(1, n)], 0.2 / n)))
     knots = knots.withColumn("_part", interval("_x", cuts))
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = knots.groupBy(*groups, "_part").agg(F.sum("_w").alias("_s"))

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from patchloom.sources.scratch import stored
 
-PARTS = 64
+#: Rows that a piece of a table is to have, and pieces at least and at most.
+PIECE_ROWS, LEAST_PIECES, MOST_PIECES = 500_000, 64, 4096
+
+
+def pieces(rows: int) -> int:
+    """Pieces or ranges to work in, from the rows there are."""
+    return max(LEAST_PIECES, min(MOST_PIECES, -(-rows // PIECE_ROWS)))
 
 
 def interval(column: str, cuts: Sequence[float]) -> Column:
@@ -34,12 +40,13 @@ def _dealt(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, Column], di
 
     All columns' cuts come from one pass and all ranges' sizes from another.
     """
-    cuts = [sorted(set(c)) for c in df.approxQuantile(list(columns), [k / PARTS for k in range(1, PARTS)], 0.005)]
+    n = pieces(df.count())
+    cuts = [sorted(set(c)) for c in df.approxQuantile(list(columns), [k / n for k in range(1, n)], 0.32 / n)]
     parts = {c: interval(c, own) for c, own in zip(columns, cuts, strict=True)}
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), parts[c].alias("part"), F.col(c).cast("double").alias("value")) for c in columns]))
     held = df.select(cells.alias("_c")).select("_c.*").where("part is not null").groupBy("column", "part", "value").agg(F.count("*").alias("n"))
     sizes: dict[str, list] = {c: [] for c in columns}
-    for r in held.groupBy("column", "part").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy("column", "part").collect():  # PARTS rows a column
+    for r in held.groupBy("column", "part").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy("column", "part").collect():  # MOST_PIECES rows a column at most
         sizes[r.column].append((r.part, r.n, r.d))
     return parts, sizes
 
@@ -55,7 +62,7 @@ def ranked(df: DataFrame, columns: str | Sequence[str], dense: str | Sequence[st
     parts, sizes = _dealt(base, columns)
     out = base
     for k, c in enumerate(columns):
-        n, d = [0] * (PARTS + 1), [0] * (PARTS + 1)  # rows and values in the ranges before
+        n, d = [0] * (MOST_PIECES + 1), [0] * (MOST_PIECES + 1)  # rows and values in the ranges before
         for part, rows, values in sizes[c]:
             n[part + 1 :] = [v + rows for v in n[part + 1 :]]
             d[part + 1 :] = [v + values for v in d[part + 1 :]]

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from patchloom.functions.random import uniform
-from patchloom.operators.rank import interval
+from patchloom.operators.rank import interval, pieces
 
-#: Pieces that a stratum or cluster is worked on in, however many rows it has.
-PIECES = 64
 #: Donors of all pools together that go to every task as arrays (16 bytes each and 8 more for each further target).
 MOST_DONORS = 2_000_000
 
@@ -45,10 +43,10 @@ def strata(df: DataFrame, y: str, tiles: int, id_col: str, name: str = "stratum"
 def _shuffled(df: DataFrame, stratum: str, tag: str, id_col: str) -> DataFrame:
     """Adds _rank, the place of a row in its stratum by keyed uniforms, from 1, and _n, the stratum's rows.
 
-    Rows are ranked inside PIECES equal pieces of [0, 1) and moved by the rows of the pieces before, so a stratum is no task's alone.
+    Rows are ranked inside equal pieces of [0, 1), as many as the rows ask for, and moved by the rows of the pieces before, so a stratum is no task's alone.
     """
     cell = Window.partitionBy("_s", "_piece")
-    held = df.withColumn("_u", uniform(tag, id_col)).withColumn("_piece", F.floor(F.col("_u") * PIECES))
+    held = df.withColumn("_u", uniform(tag, id_col)).withColumn("_piece", F.floor(F.col("_u") * pieces(df.count())))
     sizes = held.groupBy(F.col(stratum).alias("_s"), "_piece").agg(F.count("*").alias("_c"))
     before = Window.partitionBy("_s").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_s", F.col("_piece").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"), F.sum("_c").over(Window.partitionBy("_s")).alias("_n"))
@@ -88,24 +86,45 @@ def categorical_draw(probabilities: Sequence[Column], levels: Sequence[str], u:
     return F.element_at(F.array(*[F.lit(v) for v in levels]), code + 1)
 
 
+def text_cuts(df: DataFrame, column: str, ranges: int, each: int = 16) -> list:
+    """Rising values that cut a column into about equal ranges: every sixteenth of those with the least hashes, 16 a range."""
+    drawn = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.xxhash64(column).alias("h")).distinct().orderBy("h", "v").limit(ranges * each)
+    return sorted(r.v for r in drawn.collect())[each - 1 : -1 : each]
+
+
+def text_interval(column: str, cuts: Sequence) -> Column:
+    """The number of rising cuts below the value, by halves, for values of any type that can be ordered; null for null."""
+
+    def halves(lo: int, hi: int) -> Column:
+        k = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col(column) <= F.lit(cuts[k]), halves(lo, k)).otherwise(halves(k + 1, hi))
+
+    return F.when(F.col(column).isNotNull(), halves(0, len(cuts)))
+
+
 def donor_draw(recipients: DataFrame, donors: DataFrame, cluster: str, donor_weight: str, values: Sequence[str], u: Column, id_col: str, donor_id: str) -> DataFrame:
     """Draws for each recipient a donor of its cluster, with replacement and in proportion to weight, and copies its values jointly.
 
     Donors' cumulative weights and the scaled draws meet in a merge by cluster: both are ordered by
     position, and each draw takes the first donor whose interval ends beyond it. A cluster is merged in
-    PIECES pieces of equal weight, each of which begins with the first donor of the pieces after it.
-    Numeric ids deal the donors out before their weights are added up; other ids leave that to a task for each cluster.
+    pieces of equal weight, as many as the rows ask for, each of which begins with the first donor of the pieces after it.
+    Donors are dealt out by ranges of their ids before their weights are added up.
     Donors of no weight are never drawn.
     """
     numeric = isinstance(donors.schema[donor_id].dataType, NumericType)
-    cuts = sorted(set(donors.approxQuantile(donor_id, [k / PIECES for k in range(1, PIECES)], 0.2 / PIECES))) if numeric else []
-    own = donors.select(cluster, F.col(donor_id).alias("_donor"), *values, F.col(donor_weight).alias("_w"), interval(donor_id, cuts).alias("_part"))
+    held = donors.count()
+    ranges, n = pieces(held), pieces(max(held, recipients.count()))
+    if numeric:
+        part = interval(donor_id, sorted(set(donors.approxQuantile(donor_id, [k / ranges for k in range(1, ranges)], 0.2 / ranges))))
+    else:
+        part = text_interval(donor_id, text_cuts(donors, donor_id, ranges))
+    own = donors.select(cluster, F.col(donor_id).alias("_donor"), *values, F.col(donor_weight).alias("_w"), part.alias("_part"))
     sums = own.groupBy(F.col(cluster).alias("_c"), F.col("_part").alias("_p")).agg(F.sum("_w").alias("_w_part"))
     before = Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_c", "_p", F.coalesce(F.sum("_w_part").over(before), F.lit(0)).alias("_start"), F.sum("_w_part").over(Window.partitionBy("_c")).cast("double").alias("_all"))
     order = Window.partitionBy(cluster, "_part").orderBy("_donor").rowsBetween(Window.unboundedPreceding, 0)
     cum = own.join(starts, (F.col(cluster) == F.col("_c")) & (F.col("_part") == F.col("_p")))
-    piece = lambda pos: F.least(F.floor(F.try_divide(pos, F.col("_all")) * PIECES), F.lit(PIECES - 1))
+    piece = lambda pos: F.least(F.floor(F.try_divide(pos, F.col("_all")) * n), F.lit(n - 1))
     cum = cum.withColumn("_pos", (F.col("_start") + F.sum("_w").over(order)).cast("double")).withColumn("_piece", piece(F.col("_pos")))
     totals = donors.groupBy(cluster).agg(F.sum(donor_weight).cast("double").alias("_all"))
     drawn = recipients.withColumn("_u", u).join(totals, cluster).withColumn("_pos", F.col("_u") * F.col("_all")).withColumn("_piece", piece(F.col("_pos")))

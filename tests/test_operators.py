@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from patchloom.operators import encode, monotonic, neighbors, prepare, sampling, validate
 from patchloom.operators.fusion import DonorFusion, impute_by_fusion, load_fusion, zero_inflated
 from patchloom.operators.rank import ranked, spearman
+from patchloom.operators.rank import pieces
 from patchloom.sources import fsd
 from patchloom.sources.tables import micro
 
@@ -47,6 +48,25 @@ def test_donor_draw_against_a_search(spark):
         assert got == {k: int(np.searchsorted(ends, v * ends[-1], "right")) for k, v in enumerate(u)}
 
 
+def test_donor_draw_by_many_text_ids(spark):
+    """Ids in ranges between sampled cuts, some donors without weight, some ids beyond ASCII."""
+    rng = np.random.default_rng(8)
+    ids = sorted({f"{chr(int(c))}{k}" for k, c in enumerate(rng.choice([65, 97, 233, 0x4E00, 0x1F600], 900))})
+    weights = rng.integers(0, 4, len(ids)).astype(float)
+    donors = spark.createDataFrame([(1, i, float(w)) for i, w in zip(ids, weights, strict=True)], "g int, donor string, w double")
+    cuts = sampling.text_cuts(donors, "donor", 20)
+    parts = donors.select(sampling.text_interval("donor", cuts).alias("part"), "donor").collect()
+    assert len(cuts) == 19 and all(r.part == sum(c < r.donor for c in cuts) for r in parts)
+    u = [k / 1024 for k in range(1024)]
+    got = sampling.donor_draw(spark.createDataFrame([(k, 1, v) for k, v in enumerate(u)], "id long, g int, u double"), donors, "g", "w", [], F.col("u"), "id", "donor").collect()
+    ends = np.cumsum(weights)
+    assert {r.id: r.donor for r in got} == {k: ids[int(np.searchsorted(ends, v * ends[-1], "right"))] for k, v in enumerate(u)}
+
+
+def test_pieces_follow_the_rows():
+    assert [pieces(n) for n in (0, 10**6, 10**8, 10**12)] == [64, 64, 200, 4096]
+
+
 def test_samples_and_folds_are_even(spark):
     df = spark.createDataFrame([(k, "a" if k < 3 else "b") for k in range(503)], "id long, g string")
     got = {(r.g, r.fold): r["count"] for r in sampling.k_folds(df, "g", 5, "t", "id").groupBy("g", "fold").count().collect()}
