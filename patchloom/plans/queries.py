@@ -461,9 +461,17 @@ def wsd_by(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {MICRO}, g AS (SELECT segment, count(*) AS n, sum(weight) AS s, avg(weight) AS wb, sum(weight * qty) / sum(weight) AS m FROM micro GROUP BY 1)
 SELECT segment, round(any_value(m), 6) AS mean, round(any_value(n / ((n - 1) * s::DOUBLE * s)) * (sum(power(weight * qty - wb * m, 2)) - 2 * any_value(m) * sum((weight - wb) * (weight * qty - wb * m)) + any_value(m) * any_value(m) * sum(power(weight - wb, 2))), 8) AS variance FROM micro JOIN g USING (segment) GROUP BY segment""")
 def weighted_variance_by(s: SparkSession, d: str) -> DataFrame:
-    parts = micro(s, d).withColumn("w", F.col("weight").cast("double")).groupBy("segment").agg(*partial_sums("qty", "w"))
-    mean, _, var = weighted_estimates()
-    return parts.select("segment", F.round(mean, 6).alias("mean"), F.round(var, 8).alias("variance"))
+    """Cochran's variance of the weighted mean, with the sums of squares as central moments, which combine before the shuffle.
+
+    As in the SQL, rows without qty (all but k) count in n and the weights, values of 0 and 1 have no formula of their own, and a divisor of 0 gives an infinite value or NaN.
+    """
+    x, w = F.col("qty"), F.col("weight").cast("double")
+    sums = [F.count("*").alias("n"), F.sum(w).alias("s"), F.avg(w).alias("wb"), F.sum(w * x).alias("sx"), F.var_pop(w).alias("ww")]
+    sums += [F.count(x).alias("k"), F.avg(w * x).alias("p"), F.avg(F.when(x.isNotNull(), w)).alias("wk"), F.var_pop(w * x).alias("pp"), F.covar_pop(w, w * x).alias("wp")]
+    divided = lambda a, b: f"CASE WHEN {b} = 0 THEN {a} * double('Infinity') ELSE try_divide({a}, {b}) END"
+    parts = micro(s, d).where("segment IS NOT NULL").groupBy("segment").agg(*sums).withColumn("m", F.expr(divided("sx", "s"))).withColumn("c", F.expr("wb * m"))
+    squares = F.expr("k * (pp + (p - c) * (p - c)) - 2 * m * k * (wp + (wk - wb) * (p - c)) + m * m * n * ww")
+    return parts.select("segment", F.round("m", 6).alias("mean"), F.round(F.expr(divided("n", "((n - 1) * s * s)")) * squares, 8).alias("variance"))
 
 
 _AT = lambda k: f"round(totalprice / pow(10.0, floor(log10(abs(totalprice))) - {k - 1})) * pow(10.0, floor(log10(abs(totalprice))) - {k - 1})"
