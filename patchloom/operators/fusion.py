@@ -44,17 +44,24 @@ def kind_of(df: DataFrame, column: str) -> str:
     return "binary" if isinstance(t, T.BooleanType) else "number"
 
 
+def all_inflated(df: DataFrame, columns: Sequence[str], share: float = 0.01, ratio: float = 0.9) -> list[str]:
+    """The columns whose zeros are at least 1% and whose density at 0 falls by a tenth or more without them. One pass counts all columns' zeros, two more look at those that have enough."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    some = lambda of, cs: df.agg(*[of(x[c]).alias(f"_{k}") for k, c in enumerate(cs)]).collect()[0] if cs else []
+    zeros = some(lambda v: F.struct(F.count(v).alias("n"), F.sum((v == 0).cast("int")).alias("z")), columns)
+    rows = {c: a.n for c, a in zip(columns, zeros, strict=True) if a.n and share * a.n <= a.z < a.n}
+    widths = {}
+    for (c, n), a in zip(rows.items(), some(lambda v: F.struct(F.stddev_samp(v).alias("sd"), F.percentile_approx(v, [0.25, 0.75]).alias("q")), list(rows)), strict=True):
+        iqr = (a.q[1] - a.q[0]) / 1.34
+        widths[c] = 0.9 * (min(a.sd, iqr) if iqr > 0 else a.sd) * n**-0.2
+    near = {c: F.exp(-(x[c] / h) * (x[c] / h) / 2) for c, h in widths.items()}
+    found = df.agg(*[F.struct(F.avg(v).alias("all"), F.avg(F.when(x[c] != 0, v)).alias("rest")).alias(f"_{k}") for k, (c, v) in enumerate(near.items())]).collect()[0] if near else []
+    return [c for c, d in zip(near, found, strict=True) if d.rest / d.all < ratio]
+
+
 def zero_inflated(df: DataFrame, column: str, share: float = 0.01, ratio: float = 0.9) -> bool:
     """Whether zeros are at least 1% and the density at 0 falls by a tenth or more without them."""
-    x = F.col(column).cast("double")
-    a = df.agg(F.count(x).alias("n"), F.sum((x == 0).cast("int")).alias("z"), F.stddev_samp(x).alias("sd"), F.percentile_approx(x, [0.25, 0.75]).alias("q")).collect()[0]
-    if not a.n or a.z < share * a.n or a.z == a.n:
-        return False
-    iqr = (a.q[1] - a.q[0]) / 1.34
-    h = 0.9 * (min(a.sd, iqr) if iqr > 0 else a.sd) * a.n**-0.2
-    near = F.exp(-(x / h) * (x / h) / 2)
-    d = df.agg(F.avg(near).alias("all"), F.avg(F.when(x != 0, near)).alias("rest")).collect()[0]
-    return d.rest / d.all < ratio
+    return bool(all_inflated(df, [column], share, ratio))
 
 
 @dataclass

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.operators.encode import lump_levels
-from patchloom.operators.fusion import kind_of, zero_inflated
-from patchloom.operators.rank import screened, spearman
+from patchloom.operators.encode import weighted_table
+from patchloom.operators.fusion import all_inflated, kind_of
+from patchloom.operators.rank import ranked, screened
 from patchloom.sources.scratch import stored
 
-#: Values of a category beyond which the lighter ones are lumped, and predictors that a target gets at least.
-LEVELS, AT_LEAST = 5, 20
+#: Values of a category beyond which the lighter ones are lumped, predictors that a target gets at least, and the lumped values' name.
+LEVELS, AT_LEAST, OTHER = 5, 20, "_Other_"
 
 
 @dataclass
@@ -27,6 +28,7 @@ class Coded:
     origin: str
     value: Column
     flag: bool
+    ends: tuple[float, float] | None  # least and greatest value; None if it has one value or none
 
 
 def lasso_path(r: np.ndarray, c: np.ndarray, most: int = 100, steps: int = 30) -> tuple[list[tuple[np.ndarray, float]], bool]:
@@ -50,33 +52,61 @@ def lasso_path(r: np.ndarray, c: np.ndarray, most: int = 100, steps: int = 30) -
     return out, True
 
 
-def coded(df: DataFrame, columns: Sequence[str], inflated: Sequence[str] = ()) -> list[Coded]:
-    """The numeric columns that stand for `columns`: one for numbers and booleans, one for each value of a category after lumping."""
+def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
+    """Each column's LEVELS most frequent values and their rows, ties to the lesser value. One job for all columns."""
+    if not columns:
+        return {}
+    top = [weighted_table(df, c, drop_null=True).orderBy(F.desc("freq"), c).limit(LEVELS).select(F.lit(c).alias("column"), F.col(c).alias("value"), "freq") for c in columns]
+    out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
+    for r in sorted(reduce(DataFrame.unionAll, top).collect(), key=lambda r: (-r.freq, r.value)):  # LEVELS rows a column at most
+        out[r.column].append((r.value, r.freq))
+    return out
+
+
+def coded(df: DataFrame, x: Sequence[str], y: Sequence[str], inflated: Sequence[str] = ()) -> list[Coded]:
+    """The numeric columns that stand for x and y: one for numbers and booleans, one for each value of a category after lumping. Null numbers of x are medians.
+
+    Values are counted and ends found in one pass each, so no constant column has to be written to be seen as one.
+    """
+    columns, n = [*x, *y], df.count()
+    kinds = {c: kind_of(df, c) for c in columns}
+    held = levels(df, [c for c in columns if kinds[c] == "category"])
+    numbers = [c for c in columns if kinds[c] != "category"]
+    v = {c: F.col(c).cast("double") for c in numbers}
+    ends = dict(zip(numbers, df.agg(*[F.struct(F.count(v[c]).alias("n"), F.min(v[c]).alias("a"), F.max(v[c]).alias("b"), (F.min(v[c]) < F.max(v[c])).alias("spread")).alias(c) for c in numbers]).collect()[0], strict=True)) if numbers else {}
+    gaps = [c for c in x if c in ends and 0 < ends[c].n < n]
+    medians = df.agg(*[F.percentile_approx(v[c], 0.5).alias(c) for c in gaps]).collect()[0] if gaps else {}
     out = []
     for c in columns:
-        if kind_of(df, c) == "category":
-            lumped = lump_levels(df.select(c), c, LEVELS)
-            levels = sorted(r[0] for r in lumped.where(F.col(c).isNotNull()).distinct().limit(LEVELS).collect())
-            rest = [v for v in levels if v != "_Other_"]
-            for v in levels:
-                there = F.col(c) == v if v in rest or len(levels) < LEVELS else F.col(c).isNull() | ~F.col(c).isin(rest)
-                out.append(Coded(f"{c}..{v}", c, F.coalesce(there.cast("double"), F.lit(0.0)), True))
+        if kinds[c] == "category":
+            lumped = len(held[c]) == LEVELS
+            rows = {value: k for value, k in held[c][: LEVELS - 1] if not (lumped and value == OTHER)}
+            rest = list(rows)
+            if lumped:
+                rows[OTHER] = n - sum(rows.values())
+            for value in sorted(rows):
+                there = F.col(c).isNull() | ~F.col(c).isin(rest) if lumped and value == OTHER else F.col(c) == value
+                out.append(Coded(f"{c}..{value}", c, F.coalesce(there.cast("double"), F.lit(0.0)), True, (0.0, 1.0) if 0 < rows[value] < n else None))
         else:
-            out.append(Coded(c, c, F.col(c).cast("double"), kind_of(df, c) == "binary"))
+            value = F.coalesce(v[c], F.lit(medians[c])) if c in gaps else v[c]
+            out.append(Coded(c, c, value, kinds[c] == "binary", (ends[c].a, ends[c].b) if ends[c].spread else None))
             if c in inflated:
-                out.append(Coded(f"{c}_zero", c, (F.col(c) != 0).cast("double"), True))
+                out.append(Coded(f"{c}_zero", c, (F.col(c) != 0).cast("double"), True, (0.0, 1.0)))
     return out
 
 
-def correlations(df: DataFrame, columns: Sequence[str], weight: str, only: Sequence[str] = ()) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(weighted means, {name: weighted correlation matrix}): over all rows under "", and over the rows where a column of `only` isn't 0 under its name.
+def correlations(df: DataFrame, columns: Sequence[str], weight: str, only: Sequence[str] = (), ends: Sequence[tuple[float, float]] | None = None, plain: bool = False) -> tuple[np.ndarray, dict[str | None, np.ndarray]]:
+    """(weighted means, {name: weighted correlation matrix}): over all rows under "", and over the rows where a column of `only` isn't 0 under its name; plain: over all rows without weights under None.
 
     One pass: each task sums the products of its rows, so what is gathered grows with the square of the columns alone.
+    Columns are moved and scaled by their ends, which another pass finds unless they are given.
     """
-    first = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(columns)]).collect()[0]
-    p, kept = len(columns), ["", *only]
-    center = np.array([first[f"m{k}"] or 0.0 for k in range(p)])
-    scale = np.array([first[f"s{k}"] or 1.0 for k in range(p)])
+    p, kept = len(columns), ["", *only, *([None] if plain else [])]
+    if ends is None:
+        first = df.agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(f"m{k}") for k, c in enumerate(columns)]).collect()[0]
+        ends = [(r.a or 0.0, r.b or 0.0) for r in first]
+    center = np.array([(a + b) / 2 for a, b in ends], float)
+    scale = np.array([(b - a) or 1.0 for a, b in ends], float)
     masks = [list(columns).index(c) for c in only]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +115,8 @@ def correlations(df: DataFrame, columns: Sequence[str], weight: str, only: Seque
             x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p + 1)]).astype(float)
             w, z = x[:, p], np.column_stack([np.ones(len(x)), (x[:, :p] - center) / scale])
             for k in range(len(kept)):
-                own = w if k == 0 else w * (x[:, masks[k - 1]] != 0)
-                sums[k] += z.T @ (z * own[:, None])
+                own = w if k == 0 else w * (x[:, masks[k - 1]] != 0) if k <= len(masks) else None
+                sums[k] += z.T @ (z if own is None else z * own[:, None])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(kept)), pa.int32()), pa.array([s.ravel().tolist() for s in sums], pa.list_(pa.float64()))], names=["of", "sums"])
 
     parts = df.select(*columns, weight).mapInArrow(run, "of int, sums array<double>")
@@ -117,7 +147,7 @@ def prepare(
     No model takes more than xmax columns. fraction < 1 looks at a random part of the rows, if the caller asks for it.
 
     Rows with a null target or weight are left out; a null number of x is its median, a null category no value (or a lumped one).
-    Constant columns are left out. One pass gives the ranks' and one the values' correlations; the search needs only those matrices.
+    Constant columns are left out. One pass counts the numbers' values, from which ranks come, and one gives the ranks' and the values' correlations; the search needs only those matrices.
     """
     blocks = [[b] if isinstance(b, str) else list(b) for b in y]
     ys = [t for b in blocks for t in b]
@@ -132,16 +162,8 @@ def prepare(
     back = {v: c for c, v in names.items()}
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], w.alias("w")).dropna(subset=[*(names[t] for t in ys), "w"])
     rows = stored(rows.sample(fraction=fraction, seed=seed) if fraction < 1 else rows, "rows")
-    inflated = [names[t] for t in ys if kind_of(rows, names[t]) == "number" and zero_inflated(rows, names[t])]
-    numbers = [names[c] for c in x if kind_of(rows, names[c]) != "category"]
-    medians = rows.agg(*[F.percentile_approx(F.col(n).cast("double"), 0.5).alias(n) for n in numbers]).collect()[0] if numbers else {}
-    columns = coded(rows, [names[c] for c in x], ()) + coded(rows, [names[t] for t in ys], inflated)
-    for c in columns:
-        if c.name in numbers:
-            c.value = F.coalesce(c.value, F.lit(medians[c.name]))
-    table = rows.select(*[c.value.alias(f"v{k}") for k, c in enumerate(columns)], "w")
-    spread = table.agg(*[(F.min(f"v{k}") < F.max(f"v{k}")).alias(f"v{k}") for k in range(len(columns))]).collect()[0]
-    at = {f"v{k}": c for k, c in enumerate(columns) if spread[f"v{k}"]}
+    inflated = all_inflated(rows, [names[t] for t in ys if kind_of(rows, names[t]) == "number"])
+    at = {f"v{k}": c for k, c in enumerate(c for c in coded(rows, [names[c] for c in x], [names[t] for t in ys], inflated) if c.ends)}
     own: dict[str, list[str]] = {}  # coded columns by column
     for v, c in at.items():
         own.setdefault(c.origin, []).append(v)
@@ -150,13 +172,17 @@ def prepare(
     if not xcols or not blocks:
         raise ValueError("all targets or all predictors are constant")
 
-    table = stored(table.select(*at, "w"), "coded")
+    table = rows.select(*[c.value.alias(v) for v, c in at.items()], "w")  # cheaper to work out again than to write
+    order = [v for v, c in at.items() if not c.flag]
+    rank_of = {v: f"r{v}" for v in order}
+    everything, ends = [*at, *rank_of.values()], [c.ends for c in at.values()] + [(1.0, float(rows.count()))] * len(order)
+    values = [v for v, c in at.items() if c.name in inflated]
+    means, matrices = correlations(ranked(table, order, average=list(rank_of.values()), kept=True) if order else table, everything, "w", values, ends, plain=True)
+    index = {v: k for k, v in enumerate(everything)}
+    spearman = [(y, x, float(matrices[None][index[rank_of.get(y, y)], index[rank_of.get(x, x)]])) for y in ycols for x in xcols]  # flags correlate as their ranks do
     passed: dict[str, list[str]] = {v: [] for v in ycols}
-    for r in sorted(screened(spearman(table, ycols, xcols, flags=[v for v, c in at.items() if c.flag]), cor_thresh, AT_LEAST).collect(), key=lambda r: (-abs(r.r or 0.0), xcols.index(r.x))):  # columns of y * columns of x rows at most
+    for r in sorted(screened(df.sparkSession.createDataFrame(spearman, "y string, x string, r double"), cor_thresh, AT_LEAST).collect(), key=lambda r: (-abs(r.r), xcols.index(r.x))):  # columns of y * columns of x rows at most
         passed[r.y].append(r.x)
-    index = {v: k for k, v in enumerate(at)}
-    values = [v for v, c in at.items() if c.name in inflated]
-    means, matrices = correlations(table, list(at), "w", values)
 
     def best(v: str, xs: list[str], chosen: float) -> tuple[float, list[str]]:
         matrix, k = matrices[v if v in values else ""], [index[c] for c in xs]
